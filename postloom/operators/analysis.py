@@ -211,10 +211,15 @@ def _gap_order(found: Column) -> Column:
         k["in_req"].alias("in_requirements"), k["section"].alias("section"))))
 
 
-def pair_gaps(a: Analysis) -> DataFrame:
-    """M4 + R5 per pair: sorted matched keywords, and missing ones in gap order."""
-    held = matched_keywords(a).groupBy(*PAIR).agg(F.array_sort(F.collect_list("keyword")).alias("matched_keywords"))
-    rows = pairs(a).select(*PAIR).join(held, list(PAIR), "left").withColumn(
+def pair_gaps(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
+    """M4 + R5 per pair: sorted matched keywords, and missing ones in gap order.
+
+    ``wanted`` limits the work to the given pairs, for reports on a few per candidate.
+    """
+    asked = pairs(a).select(*PAIR) if wanted is None else wanted.select(*PAIR)
+    found = matched_keywords(a) if wanted is None else matched_keywords(a).join(wanted, list(PAIR), "left_semi")
+    held = found.groupBy(*PAIR).agg(F.array_sort(F.collect_list("keyword")).alias("matched_keywords"))
+    rows = asked.join(held, list(PAIR), "left").withColumn(
         "matched_keywords", F.coalesce("matched_keywords", F.array().cast("array<string>")))
     with_all = rows.join(a.postings.select("posting_id", "keywords"), "posting_id")
     gaps = _gap_order(F.filter("keywords", lambda k: ~F.array_contains("matched_keywords", k["keyword"])))
