@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postloom import lookups
 from postloom.functions.phrases import PhraseScanner, lookup
-from postloom.functions.text import bind, strip, text
+from postloom.functions.text import bind, literal_strings, strip, text
 
 _COUNTRY_SCAN = PhraseScanner(list(lookups.COUNTRIES), letters="a-z")
 _COUNTRY_ORDER = {name: i for i, name in enumerate(lookups.COUNTRIES)}
@@ -58,7 +58,7 @@ def infer_country(location: Column) -> Column:
     low = F.lower(trimmed)
     # position in the ordered list: the earliest listed country wins, wherever it stands
     first = F.array_min(F.transform(_COUNTRY_SCAN.hits(low), lambda h: lookup(h, _COUNTRY_ORDER)))
-    named = F.get(F.array(*[F.lit(n) for n in _COUNTRY_NAMES]), first)
+    named = F.get(literal_strings(_COUNTRY_NAMES), first)
     codes = F.transform(
         F.regexp_extract_all(trimmed, F.lit(r"(?U),\s*([A-Za-z]{2})(?:\s|,|$|\))"), 1), lambda c: F.upper(c))
     coded = bind(codes, lambda cs: (

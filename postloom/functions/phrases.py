@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postloom.functions.text import literal_map, literal_strings
+from postloom.functions.text import sql_literal, literal_map, literal_strings
 
 
 class PhraseScanner:
@@ -46,10 +46,8 @@ class PhraseScanner:
 
     @staticmethod
     def _prefixes(hit: Column, nested: dict[str, list[str]]) -> Column:
-        out = F.array().cast("array<string>")
-        for phrase, shorter in nested.items():
-            out = F.when(hit == phrase, literal_strings(shorter)).otherwise(out)
-        return out
+        cases = " ".join(f"{sql_literal(p)}, array({', '.join(map(sql_literal, qs))})," for p, qs in nested.items())
+        return F.coalesce(F.element_at(F.expr(f"map({cases[:-1]})"), hit), literal_strings([]))
 
 
 def lookup(term: Column, table: dict[str, object]) -> Column:

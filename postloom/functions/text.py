@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable, Iterable, Mapping
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -20,6 +21,17 @@ WORD_TOKEN = r"[a-zA-Z][a-zA-Z0-9+#.\-]{1,}"
 PLAIN_TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
+_built: dict[tuple, Column] = {}
+
+
+def built_once(make: Callable[..., Column], *args: str | tuple) -> Column:
+    """A column expression kept for reuse: building a long one takes many calls into the JVM."""
+    key = (id(SparkContext._gateway), make.__qualname__, *args)
+    if key not in _built:
+        _built[key] = make(*args)
+    return _built[key]
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``, which may use it often.
 
@@ -29,12 +41,21 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def sql_literal(value: object) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
 def literal_strings(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    """A constant array, built in one call however long it is."""
+    listed = list(values)
+    return F.expr(f"array({', '.join(map(sql_literal, listed))})" if listed else "cast(array() as array<string>)")
 
 
 def literal_map(entries: Mapping[str, object]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+    """A constant map, built in one call."""
+    return F.expr(f"map({', '.join(sql_literal(x) for pair in entries.items() for x in pair)})")
 
 
 def strip(c: Column) -> Column:
@@ -100,7 +121,7 @@ def run_lengths(values: Column) -> Column:
             ),
         ))
 
-    return bind(F.array_sort(values), counted)
+    return bind(F.sort_array(values), counted)
 
 
 def count_substring(haystack: Column, needle: Column) -> Column:

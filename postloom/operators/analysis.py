@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom import lookups
-from postloom.functions.text import bind, plain_tokens, run_lengths, text, without, word_tokens
+from postloom.functions.text import bind, built_once, plain_tokens, run_lengths, text, without, word_tokens
 from postloom.operators.keywords import keyword_context, keywords
 from postloom.operators.matching import bullets, keyword_hits
-from postloom.operators.scale import fits_broadcast, hot_keys, maybe_broadcast, salted_join, spread, unnest
+from postloom.operators.scale import fits_broadcast, hot_keys, maybe_broadcast, salted_join, unnest
 from postloom.session import cut_lineage
 
 PAIR = ("posting_id", "candidate_id")
@@ -26,7 +26,18 @@ def posting_features(postings: DataFrame, stop_words: Sequence[str] = lookups.ST
     Input needs ``posting_id``, ``profiles`` and ``description``. The result is an
     order of magnitude narrower to join than the text, and is written once.
     """
-    jd = text(F.col("description"))
+    stops = tuple(stop_words)
+    return postings.select("posting_id", "profiles",
+                           built_once(_keywords_with_context, "description", stops).alias("keywords"),
+                           built_once(_words, "description", stops).alias("words"))
+
+
+def _words(column: str, stop_words: tuple[str, ...]) -> Column:
+    return run_lengths(without(plain_tokens(F.lower(text(F.col(column)))), stop_words))
+
+
+def _keywords_with_context(column: str, stop_words: tuple[str, ...]) -> Column:
+    jd = text(F.col(column))
 
     def with_context(found: Column) -> Column:
         names = F.transform(found, lambda k: k["keyword"])
@@ -35,9 +46,7 @@ def posting_features(postings: DataFrame, stop_words: Sequence[str] = lookups.ST
             k["section"].alias("section"), k["soft"].alias("soft"), k["importance"].alias("importance"),
             F.get(ctx, i).alias("context"))))
 
-    words = run_lengths(without(plain_tokens(F.lower(jd)), stop_words))
-    return spread(postings, "posting_id").select(
-        "posting_id", "profiles", bind(keywords(jd, stop_words), with_context).alias("keywords"), words.alias("words"))
+    return bind(keywords(jd, stop_words), with_context)
 
 
 @dataclass
@@ -93,7 +102,7 @@ def pairs(a: Analysis) -> DataFrame:
         F.aggregate(found, F.lit(0.0), lambda acc, k: acc + k["importance"]).alias("total_weight"),
         F.size(F.filter(found, lambda k: k["section"] == "required")).cast("long").alias("required_total"),
         F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc + w["n"] * w["n"]).alias("posting_sq"))
-    words = run_lengths(without(plain_tokens(F.lower(text(F.col("text")))), a.stop_words))
+    words = built_once(_words, "text", tuple(a.stop_words))
     candidate = a.candidates.select("candidate_id", "profile_id", F.aggregate(
         words, F.lit(0).cast("long"), lambda acc, w: acc + w["n"] * w["n"]).alias("candidate_sq"))
     if a.fits:
@@ -117,7 +126,7 @@ def matched_missing(a: Analysis) -> DataFrame:
 def shared_words(a: Analysis) -> DataFrame:
     """R3's sums per pair over the words both texts have; combined before the shuffle."""
     left = unnest(a.postings, F.col("words"), "posting_id", "profiles").withColumnRenamed("n", "tf")
-    words = run_lengths(without(plain_tokens(F.lower(text(F.col("text")))), a.stop_words))
+    words = built_once(_words, "text", tuple(a.stop_words))
     right = unnest(a.candidates, words, "candidate_id", "profile_id").withColumnRenamed("n", "ctf")
     return _meet(left, right, "value", a.fits).groupBy(*PAIR).agg(
         F.sum(F.col("tf") * F.col("ctf")).alias("dot"),
@@ -194,7 +203,7 @@ def find_spots(a: Analysis, k: int = lookups.SPOT_CAP) -> DataFrame:
         F.collect_list(F.when(F.col("bullet_index") >= 0, F.struct("bullet_index", "dot"))).alias("dots"))
     # nearest first; of equally near bullets the later one, compared at 9 decimals
     ranked = F.transform(
-        F.slice(F.array_sort(F.transform("dots", lambda d: F.struct(
+        F.slice(F.sort_array(F.transform("dots", lambda d: F.struct(
             (-F.round(d["dot"] / F.col("norm"), 9)).alias("neg"), (-d["bullet_index"]).alias("last"),
             (d["dot"] / F.col("norm")).alias("similarity")))), 1, k),
         lambda d: F.struct((-d["last"]).alias("bullet_index"), d["similarity"].alias("similarity")))
@@ -206,7 +215,7 @@ def find_spots(a: Analysis, k: int = lookups.SPOT_CAP) -> DataFrame:
 
 def _gap_order(found: Column) -> Column:
     rank = lambda k: F.when(k["section"] == "required", 0).when(k["section"] == "preferred", 2).otherwise(1)
-    return F.array_sort(F.transform(found, lambda k: F.struct(
+    return F.sort_array(F.transform(found, lambda k: F.struct(
         rank(k).alias("rank"), (-k["importance"]).alias("neg"), k["keyword"].alias("keyword"),
         k["in_req"].alias("in_requirements"), k["section"].alias("section"))))
 
@@ -218,7 +227,7 @@ def pair_gaps(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
     """
     asked = pairs(a).select(*PAIR) if wanted is None else wanted.select(*PAIR)
     found = matched_keywords(a) if wanted is None else matched_keywords(a).join(wanted, list(PAIR), "left_semi")
-    held = found.groupBy(*PAIR).agg(F.array_sort(F.collect_list("keyword")).alias("matched_keywords"))
+    held = found.groupBy(*PAIR).agg(F.sort_array(F.collect_list("keyword")).alias("matched_keywords"))
     rows = asked.join(held, list(PAIR), "left").withColumn(
         "matched_keywords", F.coalesce("matched_keywords", F.array().cast("array<string>")))
     with_all = rows.join(a.postings.select("posting_id", "keywords"), "posting_id")

@@ -21,7 +21,7 @@ def with_keys(postings: DataFrame) -> DataFrame:
     })
 
 
-def _without(rows: DataFrame, known: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def _without(rows: DataFrame, known: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     return salted_join(rows, known.select(key).filter(F.col(key).isNotNull()), key, "left_anti", hot, F.col("seq"))
 
 
@@ -43,7 +43,8 @@ def accepted_keys(batch: DataFrame, state: DataFrame | None = None, tombstones:
     # copies under both keys stand or fall with their first row
     rows = batch.groupBy(*KEYS).agg(F.min("seq").alias("seq"))
     rows = cut_lineage(rows, "dedup-keys")
-    hot = {k: cut_lineage(hot_keys(rows, k, hot_rows), "dedup-hot") for k in KEYS}
+    small = rows.count() < hot_rows      # too few rows for any key to be hot
+    hot = {k: None if small else cut_lineage(hot_keys(rows, k, hot_rows), "dedup-hot") for k in KEYS}
     for known in (tombstones, state):
         if known is not None:
             for key in KEYS:

@@ -14,7 +14,7 @@ from postloom import lookups
 from postloom.functions.phrases import PhraseScanner, lookup
 from postloom.operators.scale import unnest
 from postloom.functions.text import (
-    SPACE, bind, count_substring, lines, normalize_text, run_lengths, sentences, strip, text,
+    SPACE, bind, built_once, count_substring, lines, literal_strings, normalize_text, run_lengths, sentences, strip, text,
     without, word_tokens,
 )
 
@@ -108,7 +108,7 @@ def ngrams(jd: Column, stop_words: Sequence[str], top: int = lookups.NGRAM_CAP)
             F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))),
             lambda t, i: F.concat_ws(" ", F.get(tokens, i), t))
         runs = run_lengths(F.concat(tokens, pairs))
-        ordered = F.array_sort(F.transform(runs, lambda r: F.struct((-r["n"]).alias("neg"), r["value"].alias("term"))))
+        ordered = F.sort_array(F.transform(runs, lambda r: F.struct((-r["n"]).alias("neg"), r["value"].alias("term"))))
         return F.transform(F.slice(ordered, 1, top), lambda r: F.struct(r["term"].alias("term"), (-r["neg"]).alias("tf")))
 
     return bind(without(word_tokens(F.lower(jd)), stop_words), counted)
@@ -124,11 +124,12 @@ def _soft_candidates(ranked: Column) -> Column:
             F.transform(ts, canonical).alias("parts"))))
 
     def allowed(c: Column) -> Column:
-        never = lookups.FILLER_WORDS + lookups.STRUCTURE_WORDS + lookups.KNOWN_SKILLS
+        never = literal_strings(lookups.FILLER_WORDS + lookups.STRUCTURE_WORDS + lookups.KNOWN_SKILLS)
         return ((c["term"] != "")
-                & ~F.exists(c["words"], lambda t: t.isin(never) | (F.length(t) < 3))
-                & ~F.forall(c["words"], lambda t: t.isin(lookups.SKILL_WORDS))
-                & ~c["keyword"].isin(lookups.KNOWN_SKILLS)
+                & ~F.arrays_overlap(c["words"], never)
+                & ~F.exists(c["words"], lambda t: F.length(t) < 3)
+                & (F.size(F.array_except(c["words"], literal_strings(lookups.SKILL_WORDS))) > 0)
+                & ~F.array_contains(literal_strings(lookups.KNOWN_SKILLS), c["keyword"])
                 & ~c["term"].rlike(r"\A[0-9]+\z"))
 
     return F.filter(F.transform(ranked, cleaned), allowed)
@@ -206,4 +207,8 @@ def keyword_context(jd: Column, names: Column) -> Column:
 def jd_keywords(postings: DataFrame, id_column: str = "seq",
                 stop_words: Sequence[str] = lookups.STOP_WORDS) -> DataFrame:
     """One row per (posting, keyword)."""
-    return unnest(postings, keywords(text(F.col("description")), stop_words), id_column)
+    return unnest(postings, built_once(_keywords_of, "description", tuple(stop_words)), id_column)
+
+
+def _keywords_of(column: str, stop_words: tuple[str, ...]) -> Column:
+    return keywords(text(F.col(column)), stop_words)

@@ -46,7 +46,7 @@ def candidate_terms(candidates: DataFrame) -> DataFrame:
 
 # --- the four tiers ---------------------------------------------------------------
 
-def _substring_hits(names: DataFrame, candidates: DataFrame) -> DataFrame:
+def _substring_hits(names: DataFrame, candidates: DataFrame, fits: bool) -> DataFrame:
     """Tier 2 without comparing every keyword to every résumé.
 
     A keyword can only be inside a résumé that contains the keyword's first
@@ -65,7 +65,7 @@ def _substring_hits(names: DataFrame, candidates: DataFrame) -> DataFrame:
         F.coalesce(grams(t, wide), F.array().cast("array<string>")),
         F.coalesce(grams(t, narrow), F.array().cast("array<string>")))), lambda g: F.struct(g.alias("block"))))
     held = unnest(candidates, blocks, "candidate_id")
-    pairs = salted_join(held, asked, "block", "inner", hot_keys(held, "block", HOT_GRAM_ROWS), F.col("candidate_id"))
+    pairs = salted_join(held, asked, "block", "inner", None if fits else hot_keys(held, "block", HOT_GRAM_ROWS), F.col("candidate_id"))
     texts = candidates.select("candidate_id", norm.alias("_norm"))
     # a block equal to the whole keyword needs no second look
     sure = pairs.filter(F.length("keyword") == F.length("block")).select("candidate_id", "keyword")
@@ -74,7 +74,7 @@ def _substring_hits(names: DataFrame, candidates: DataFrame) -> DataFrame:
     return sure.unionByName(checked)
 
 
-def _boundary_hits(names: DataFrame, candidates: DataFrame) -> DataFrame:
+def _boundary_hits(names: DataFrame, candidates: DataFrame, fits: bool) -> DataFrame:
     """Tier 3: single tokens on boundaries; both sides meet on the first alphanumeric run."""
     asked = (names.filter(~F.contains("keyword", F.lit(" ")))
              .withColumn("core", F.regexp_extract("keyword", "[a-z0-9]+", 0)).filter("core <> ''"))
@@ -83,7 +83,7 @@ def _boundary_hits(names: DataFrame, candidates: DataFrame) -> DataFrame:
         F.array_distinct(F.split(t, "[^a-z0-9]+", -1)), lambda c: F.struct(c.alias("core"))))
     held = unnest(candidates, cores, "candidate_id").filter("core <> ''")
     texts = candidates.select("candidate_id", norm.alias("_norm"))
-    pairs = salted_join(held, asked, "core", "inner", hot_keys(held, "core", HOT_GRAM_ROWS), F.col("candidate_id"))
+    pairs = salted_join(held, asked, "core", "inner", None if fits else hot_keys(held, "core", HOT_GRAM_ROWS), F.col("candidate_id"))
     bounded = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("keyword"), F.lit(r"\E(?![a-z0-9])"))
     plain = pairs.filter(F.col("keyword") == F.col("core")).select("candidate_id", "keyword")
     checked = (pairs.filter(F.col("keyword") != F.col("core")).join(texts, "candidate_id")
@@ -150,8 +150,8 @@ def keyword_hits(names: DataFrame, candidates: DataFrame, fits: bool = False) ->
     exact = maybe_broadcast(terms.withColumnRenamed("term", "keyword"), fits)
     tiers = [
         names.join(exact, "keyword").select("candidate_id", "keyword"),
-        _substring_hits(names, candidates),
-        _boundary_hits(names, candidates),
+        _substring_hits(names, candidates, fits),
+        _boundary_hits(names, candidates, fits),
         _near_hits(names, terms),
     ]
     found = None

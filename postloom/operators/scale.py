@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000      # a key with this many rows is split over salts
 SALTS = 64
-BROADCAST_CHARS = 48_000_000   # total text that a broadcast side may be derived from
+BROADCAST_CHARS = 4_000_000   # total text that a broadcast side may be derived from
 
 
 def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
@@ -14,14 +14,18 @@ def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= rows).select(key)
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, hot: DataFrame,
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, hot: DataFrame | None,
                 spread: Column, condition: Column | None = None, salts: int = SALTS) -> DataFrame:
     """Equi-join on ``key`` that spreads the left rows of hot keys over ``salts`` tasks.
 
     ``hot`` comes from :func:`hot_keys`, so it is small by construction and may be
     broadcast. The right rows of a hot key are repeated once per salt, all others
-    stay single. The result is that of the plain join.
+    stay single. The result is that of the plain join. ``hot`` is None when the input
+    is known to be too small to hold a hot key.
     """
+    if hot is None:
+        joined = left.join(right, key, how)
+        return joined if condition is None else joined.filter(condition)
     flag = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
     spread_left = left.join(flag, key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
@@ -48,7 +52,10 @@ def maybe_broadcast(df: DataFrame, fits: bool) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores; large inputs stay as they are."""
+    """Use all cores on a scan with fewer splits than cores; large inputs stay as they are.
+
+    For a table just read. Asking a plan that holds shuffles for its partitions would run them.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 

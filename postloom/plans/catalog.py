@@ -39,11 +39,11 @@ def _keyed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(_posts(spark, sf).select("seq", "description"), "seq")
+    return overlay.postings(spark, sf, all_cores=True).select("seq", "description")
 
 
 def _analysis(spark: SparkSession, sf: str) -> analysis.Analysis:
-    wanted = filters.passing_profiles(_started(spark, sf), overlay.PROFILES)
+    wanted = filters.passing_profiles(feeds.with_start(overlay.postings(spark, sf, all_cores=True)), overlay.PROFILES)
     return analysis.Analysis.prepare(
         wanted.select(F.col("seq").alias("posting_id"), "profiles", "description"), overlay.candidates(spark, sf))
 
@@ -383,7 +383,7 @@ def assemble_analysis(spark, sf):
 # --- enrichment and documents ---------------------------------------------------------------
 
 def _crawled(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.extract_posting_text(spread(overlay.pages(spark, sf), "url"))
+    return enrich.extract_posting_text(overlay.pages(spark, sf))
 
 
 @query

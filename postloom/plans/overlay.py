@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.operators.filters import FilterProfile
+from postloom.operators.scale import spread
 
 TITLES = [
     "Data Analyst", "Finance Associate", "Senior Data Analyst", "Software Engineer", "Finance Intern",
@@ -62,8 +63,9 @@ def _pick(values: list[str], index: str) -> str:
     return f"element_at(array({quoted}), cast({index} as int) + 1)"
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = table(spark, sf_dir, "documents").selectExpr(
+def postings(spark: SparkSession, sf_dir: str, all_cores: bool = False) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    base = (spread(documents, "doc_id") if all_cores else documents).selectExpr(
         "doc_id as i", "text",
         "case when doc_id % 19 = 18 and doc_id >= 60 then doc_id - 60 else doc_id end as b",
         "case when doc_id % 17 = 16 then doc_id - 5 else doc_id end as native")
@@ -124,7 +126,7 @@ def changes(spark: SparkSession, sf_dir: str, n_docs: int, posts: DataFrame) ->
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawled pages, every third with an embedded structured-data block."""
-    raw = table(spark, sf_dir, "pages").select("page_id", "html")
+    raw = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     bare = raw.selectExpr(
         "page_id", "html",
         "trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' '), '[^A-Za-z0-9.]+', ' ')) as words")

@@ -34,7 +34,7 @@ def normalize_tracker_feed(raw: DataFrame, cap: int = lookups.TRACKER_CAP) -> Da
     indexed = F.transform(parsed, lambda x, i: F.struct((-F.coalesce(x["date_posted"], F.lit(0.0))).alias("neg"), i.alias("pos"), x.alias("x")))
     active = F.filter(indexed, lambda s: F.coalesce(s["x"]["active"] & s["x"]["is_visible"], F.lit(False)))
     slim = F.transform(active, lambda s: F.struct(s["neg"], s["pos"]))
-    order = F.slice(F.array_sort(slim), 1, cap)
+    order = F.slice(F.sort_array(slim), 1, cap)
     kept = bind(parsed, lambda xs: F.transform(order, lambda s: F.struct(s["pos"].alias("pos"), F.get(xs, s["pos"]).alias("x"))))
     rows = unnest(raw, kept, "repo")
     company, title = text(F.col("x.company_name")), text(F.col("x.title"))
