@@ -92,7 +92,7 @@ def tracker_feed_topcap(spark, sf):
 def tracker_markdown(spark, sf):
     rows = trackers.parse_tracker_table(overlay.tracker_documents(_posts(spark, sf)), FEED_CAP)
     return rows.select("source_job_id", "title", "company", "location", "remote", "url", "description",
-                       F.col("start_year").cast("long").alias("start_year"), F.col("arrival.pos").cast("long").alias("pos"))
+                       F.col("start_year").cast("string").alias("start_year"), F.col("arrival.pos").cast("long").alias("pos"))
 
 
 @query
@@ -124,14 +124,14 @@ def manual_postings(spark, sf):
         "case when seq % 10 = 0 then 2030 end as start_year")
     keyed = dedup.with_keys(feeds.manual_postings(typed))
     return keyed.select("source_job_id", "title", "company", "location", "dedup_key", "content_key",
-                        F.col("start_year").cast("long").alias("start_year"), "start_date", F.length("description").cast("long").alias("chars"))
+                        F.col("start_year").cast("string").alias("start_year"), "start_date", F.length("description").cast("long").alias("chars"))
 
 
 # --- inference --------------------------------------------------------------------
 
 @query
 def infer_start(spark, sf):
-    return _started(spark, sf).select("seq", F.col("start_year").cast("long").alias("start_year"), "start_date")
+    return _started(spark, sf).select("seq", F.col("start_year").cast("string").alias("start_year"), "start_date")
 
 
 @query
@@ -198,9 +198,9 @@ def apply_changes(spark, sf):
     n = stored.sparkSession.read.parquet(f"{sf}/documents.parquet").count()
     log = overlay.changes(spark, sf, n, _keyed(spark, sf))
     patched, refused = state.apply_changes(stored.drop("ats_score"), log)
-    return patched.select("seq", "status", F.md5("description").alias("description"), F.lit(None).cast("long").alias("refused")).unionByName(
-        refused.agg(F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("status"),
-                    F.lit(None).cast("string").alias("description"), F.count(F.lit(1)).alias("refused")))
+    return patched.select(F.col("seq").cast("string").alias("posting"), "status", F.md5("description").alias("description")).unionByName(
+        refused.agg(F.lit("refused").alias("posting"), F.count(F.lit(1)).cast("string").alias("status"),
+                    F.lit(None).cast("string").alias("description")))
 
 
 @query

@@ -414,7 +414,7 @@ SELECT *, CASE WHEN second THEN CASE WHEN seq % 4 = 1 THEN NULL ELSE company END
   CASE WHEN second THEN '' ELSE trim(location || ' Hybrid') END AS place,
   CASE WHEN second THEN CASE WHEN url <> '' THEN url END WHEN seq % 6 <> 0 THEN 'https://a.example.com/' || seq WHEN seq % 5 = 3 THEN 'https://c.example.com/' || seq END AS link,
   CASE WHEN second AND seq % 3 = 0 THEN 2027 WHEN NOT second AND seq % 9 = 4 AND seq % 17 <> 5 THEN 2028 END AS own_year
-FROM (SELECT *, seq // 50 AS d, seq % 50 >= 7 AND seq % 50 < 25 OR seq % 50 >= 32 AS second FROM posts)""", "posts")
+FROM (SELECT * REPLACE (replace(company, '_', '') AS company), seq // 50 AS d, seq % 50 >= 7 AS second FROM posts)""", "posts")
 oracle("tracker_markdown", f"""
 WITH docs AS (SELECT d, repo || CASE WHEN path IS NULL THEN '' ELSE '/' || path END AS label,
    {q(trackers.HOST)} || repo || CASE WHEN path IS NULL THEN '' ELSE '/blob/main/' || path END AS page,
@@ -425,18 +425,18 @@ WITH docs AS (SELECT d, repo || CASE WHEN path IS NULL THEN '' ELSE '/' || path
   UNION ALL SELECT d, seq, coalesce(own, last_value(own IGNORE NULLS) OVER (PARTITION BY d ORDER BY seq ROWS UNBOUNDED PRECEDING), '---'), role, place, link, own_year FROM list_rows)
 SELECT substr(label || ':' || company || ':' || role || ':' || place, 1, 200) AS source_job_id, role AS title, company, place AS location,
  contains(lower(place), 'remote') AS remote, coalesce(link, page) AS url, role || ' at ' || company || '. Location: ' || place || '. Source: ' || label || '.' AS description,
- coalesce(CAST(own_year AS BIGINT), hint) AS start_year, pos FROM (
+ CAST(coalesce(CAST(own_year AS BIGINT), hint) AS VARCHAR) AS start_year, pos FROM (
  SELECT *, row_number() OVER (PARTITION BY d ORDER BY seq) - 1 AS pos FROM (SELECT d, seq, CASE WHEN seq = -1 THEN '---' ELSE company END AS company, role, place, link, own_year FROM shown WHERE role <> '')
 ) JOIN docs USING (d) WHERE pos < {FEED_CAP}""", "list_rows")
 oracle("strip_markup", f"SELECT page_id, md5({board_strip('html')}) AS board_text, md5({squash(tagless('html'))}) AS plain_text, md5({page_strip('html')}) AS page_text FROM pages")
 oracle("manual_postings", f"""
 SELECT 'manual:' || seq AS source_job_id, title, company, location, sha1('manual::manual:' || seq) AS dedup_key,
  sha1(trim(lower(company || '::' || title || '::' || location))) AS content_key,
- CASE WHEN seq % 10 = 0 THEN 2030 ELSE CAST(substr(d, 1, 4) AS BIGINT) END AS start_year, CASE WHEN seq % 10 = 0 THEN '2030-01-01' ELSE d END AS start_date,
+ CASE WHEN seq % 10 = 0 THEN '2030' ELSE substr(d, 1, 4) END AS start_year, CASE WHEN seq % 10 = 0 THEN '2030-01-01' ELSE d END AS start_date,
  length(regexp_replace(description, '^\\s+|\\s+$', '', 'g')) AS chars
 FROM (SELECT *, {start_columns('title', 'description')} AS d FROM posts)""", "posts")
 
-oracle("infer_start", "SELECT seq, start_year, start_date FROM started", "started")
+oracle("infer_start", "SELECT seq, CAST(start_year AS VARCHAR) AS start_year, start_date FROM started", "started")
 oracle("infer_country_remote", "SELECT seq, country, remote_any AS is_remote FROM started", "started")
 oracle("posting_keys", "SELECT seq, dedup_key, content_key FROM started", "started")
 oracle("filter_reasons", "SELECT seq, reject_reason FROM judged WHERE profile_id = 'A'", "judged")
@@ -458,10 +458,10 @@ oracle("apply_changes", """
 WITH log AS (SELECT dedup_key AS id, event_id, ts, event_type FROM events JOIN started ON seq = user_id % (SELECT count(*) FROM documents)),
  st AS (SELECT id, event_type, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) AS rn FROM log WHERE event_type IN ('click', 'view', 'purchase')),
  ds AS (SELECT id, event_id, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) AS rn FROM log WHERE event_type = 'signup')
-SELECT seq, coalesce(CASE st.event_type WHEN 'click' THEN 'applied' WHEN 'view' THEN 'interviewing' WHEN 'purchase' THEN 'offer' END, s.status) AS status,
- md5(coalesce('patched ' || ds.event_id, s.description)) AS description, CAST(NULL AS BIGINT) AS refused
+SELECT CAST(seq AS VARCHAR) AS posting, coalesce(CASE st.event_type WHEN 'click' THEN 'applied' WHEN 'view' THEN 'interviewing' WHEN 'purchase' THEN 'offer' END, s.status) AS status,
+ md5(coalesce('patched ' || ds.event_id, s.description)) AS description
 FROM stored s LEFT JOIN st ON st.id = s.id AND st.rn = 1 LEFT JOIN ds ON ds.id = s.id AND ds.rn = 1 WHERE source_job_id = CAST(seq AS VARCHAR)
-UNION ALL SELECT NULL, NULL, NULL, count(*) FROM log WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup')""", "stored", "started")
+UNION ALL SELECT 'refused', CAST(count(*) AS VARCHAR), NULL FROM log WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup')""", "stored", "started")
 oracle("list_by_score", "SELECT id, seq, status, ats_score, title, company FROM stored WHERE status = 'applied' ORDER BY ats_score DESC NULLS LAST, seq DESC", "stored")
 _band = "CASE WHEN {0} IS NULL THEN 'unscored' WHEN {0} < 40 THEN 'filtered out' WHEN {0} < 60 THEN 'borderline' ELSE 'likely passes' END"
 oracle("score_bands", f"SELECT {_band.format('ats_score')} AS band, count(*) AS n FROM stored GROUP BY 1", "stored")
