@@ -44,9 +44,13 @@ def infer_start(title: Column, description: Column, start_year: Column, start_da
         ),
     )
     nothing = F.struct(start_year.cast("int").alias("start_year"), start_date.alias("start_date"))
+    # the first two rules can only match a word right before a year; looking for those
+    # words once leaves a short text for the long month and season patterns
+    def near_years(t: Column) -> Column:
+        return F.array_join(F.regexp_extract_all(t, F.lit(r"(?U)(?<![a-z])[a-z]++\s++20\d{2}"), 0), "; ")
+
     return F.coalesce(given, bind(body, lambda t: F.coalesce(
-        dated(t, lookups.MONTHS),
-        dated(t, lookups.SEASONS),
+        bind(near_years(t), lambda near: F.coalesce(dated(near, lookups.MONTHS), dated(near, lookups.SEASONS))),
         undated(t, r"(?U)(start|begin|commenc)\w*[^.\n]{0,30}?(20\d{2})"),
         undated(t, r"(?U)(class of|graduat\w+ in|grad(?:uating)? )\s*(20\d{2})"),
     )), nothing)

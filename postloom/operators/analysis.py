@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,14 +52,25 @@ def _keywords_with_context(column: str, stop_words: tuple[str, ...]) -> Column:
 
 @dataclass
 class Analysis:
-    """The inputs all pair results share, each materialised once."""
+    """The inputs all pair results share. Each is materialised once, and only when asked for."""
 
     postings: DataFrame       # posting_id, profiles, keywords, words
     candidates: DataFrame     # candidate_id, profile_id, text
-    hits: DataFrame           # candidate_id, profile_id, keyword, match_tier
     fits: bool                # candidate text is small enough to broadcast what derives from it
-    hits_fit: bool
     stop_words: Sequence[str]
+    hit_rows: int = HITS_BROADCAST_ROWS
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        """M3: candidate_id, profile_id, keyword, match_tier."""
+        named = F.transform("keywords", lambda k: F.struct(k["keyword"].alias("keyword")))
+        names = cut_lineage(unnest(self.postings, named, "posting_id").select("keyword").distinct(), "keywords")
+        owner = self.candidates.select("candidate_id", "profile_id")
+        return cut_lineage(keyword_hits(names, self.candidates, self.fits).join(owner, "candidate_id"), "hits")
+
+    @cached_property
+    def hits_fit(self) -> bool:
+        return self.hits.count() <= self.hit_rows
 
     @classmethod
     def prepare(cls, postings: DataFrame, candidates: DataFrame,
@@ -69,12 +81,7 @@ class Analysis:
         profile, as one installation does for its one résumé.
         """
         features = cut_lineage(posting_features(postings, stop_words), "features")
-        fits = fits_broadcast(candidates, "text")
-        names = unnest(features, F.transform("keywords", lambda k: F.struct(k["keyword"].alias("keyword"))), "posting_id")
-        names = cut_lineage(names.select("keyword").distinct(), "keywords")
-        owner = candidates.select("candidate_id", "profile_id")
-        hits = cut_lineage(keyword_hits(names, candidates, fits).join(owner, "candidate_id"), "hits")
-        return cls(features, candidates, hits, fits, hits.count() <= HITS_BROADCAST_ROWS, stop_words)
+        return cls(features, candidates, fits_broadcast(candidates, "text"), stop_words)
 
 
 def posting_keywords(a: Analysis) -> DataFrame:
@@ -134,24 +141,28 @@ def shared_words(a: Analysis) -> DataFrame:
         F.sum(F.col("ctf") * F.col("ctf")).alias("candidate_shared"))
 
 
-def pair_scores(a: Analysis) -> DataFrame:
-    """One row per pair with coverage, match rate, similarity and score.
+def pair_similarity(a: Analysis) -> DataFrame:
+    """R3 per pair.
 
     With two documents a shared word has idf 1 and a lone word one fixed idf, so the
     cosine follows from sums over shared words and two totals; no vectors are built.
     """
-    credit = matched_keywords(a).groupBy(*PAIR).agg(
-        F.sum("importance").alias("matched_weight"), F.count(F.lit(1)).alias("matched"),
-        F.count_if(F.col("section") == "required").alias("required_matched"))
-    base = pairs(a).join(credit, list(PAIR), "left").join(shared_words(a), list(PAIR), "left").na.fill(
-        0, ["matched_weight", "matched", "required_matched", "dot", "posting_shared", "candidate_shared"])
+    base = pairs(a).join(shared_words(a), list(PAIR), "left").na.fill(0, ["dot", "posting_shared", "candidate_shared"])
     length = "({lone} * {all} - ({lone} - 1) * {shared})"
     a2 = length.format(lone=LONE, all="posting_sq", shared="posting_shared")
     b2 = length.format(lone=LONE, all="candidate_sq", shared="candidate_shared")
-    return (base
+    return base.withColumn("similarity", F.expr(f"case when dot = 0 then 0D else dot / sqrt({a2} * {b2}) end"))
+
+
+def pair_scores(a: Analysis) -> DataFrame:
+    """One row per pair with coverage, match rate, similarity and score."""
+    credit = matched_keywords(a).groupBy(*PAIR).agg(
+        F.sum("importance").alias("matched_weight"), F.count(F.lit(1)).alias("matched"),
+        F.count_if(F.col("section") == "required").alias("required_matched"))
+    base = pair_similarity(a).join(credit, list(PAIR), "left")
+    return (base.na.fill(0, ["matched_weight", "matched", "required_matched"])
             .withColumn("coverage", F.expr("matched_weight / case when total_weight = 0 then 1D else total_weight end"))
             .withColumn("match_rate", F.expr("100D * matched / greatest(total, 1)"))
-            .withColumn("similarity", F.expr(f"case when dot = 0 then 0D else dot / sqrt({a2} * {b2}) end"))
             .withColumn("ats_score", F.expr("greatest(0D, least(100D, 100D * (0.8D * coverage + 0.2D * similarity)))"))
             .select(*PAIR, "profile_id", "coverage", "match_rate", "similarity", "ats_score",
                     "total", "matched", "required_total", "required_matched"))

@@ -31,7 +31,7 @@ def _posts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _started(spark: SparkSession, sf: str) -> DataFrame:
-    return feeds.with_start(_posts(spark, sf))
+    return feeds.with_start(overlay.postings(spark, sf, all_cores=True))
 
 
 def _keyed(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +43,7 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _analysis(spark: SparkSession, sf: str) -> analysis.Analysis:
-    wanted = filters.passing_profiles(feeds.with_start(overlay.postings(spark, sf, all_cores=True)), overlay.PROFILES)
+    wanted = filters.passing_profiles(_started(spark, sf), overlay.PROFILES)
     return analysis.Analysis.prepare(
         wanted.select(F.col("seq").alias("posting_id"), "profiles", "description"), overlay.candidates(spark, sf))
 
@@ -184,7 +184,7 @@ def dedup_insert(spark, sf):
 
 @query
 def tombstone_dismiss(spark, sf):
-    stored = _state(spark, sf).dropDuplicates(["dedup_key"])
+    stored = _state(spark, sf).filter(F.col("source_job_id") == F.col("seq").cast("string"))   # one row per key
     old = stored.filter("seq % 3 = 0").select("dedup_key", F.lit("old").alias("content_key"), F.lit("2026-01-01").alias("dismissed_at"))
     rest, tombs = state.dismiss(stored, stored.filter("seq % 5 = 0").select("id"), old, F.lit("2026-06-02"))
     return rest.groupBy(F.lit("state").alias("part"), F.col("dedup_key")).agg(F.lit("").alias("detail")).unionByName(
@@ -354,7 +354,7 @@ def coverage(spark, sf):
 
 @query
 def semantic_similarity(spark, sf):
-    return analysis.pair_scores(_analysis(spark, sf)).select("candidate_id", "posting_id", F.round("similarity", 6).alias("similarity"))
+    return analysis.pair_similarity(_analysis(spark, sf)).select("candidate_id", "posting_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query
@@ -444,15 +444,20 @@ def top_matches(spark, sf):
 
 # --- streaming ----------------------------------------------------------------------------------
 
+RUNS = 3
+
+
 def _streamed(spark: SparkSession, sf: str, channel: str) -> IngestJob:
-    """Land the postings batch by batch and run the stream over them to the end."""
-    landed, where = scratch_path(spark, "landed"), scratch_path(spark, "ingest")
-    posts = _posts(spark, sf)
-    posts.repartition("batch_id").sortWithinPartitions("seq").write.partitionBy("batch_id").parquet(landed)
-    files = spark.readStream.schema(posts.drop("batch_id").schema).option("maxFilesPerTrigger", 2).option(
-        "recursiveFileLookup", "true").parquet(landed)
-    job = IngestJob(spark, where, overlay.PROFILE["A"], channel=channel)
-    stream_ingest(job, files).awaitTermination()
+    """Land the postings in three parts and let the stream run after each, as a schedule would."""
+    landed = scratch_path(spark, "landed")
+    posts = overlay.postings(spark, sf, all_cores=True)
+    last = posts.agg(F.max("batch_id").alias("b")).first()["b"]
+    job = IngestJob(spark, scratch_path(spark, "ingest"), overlay.PROFILE["A"], channel=channel)
+    for part in range(RUNS):
+        due = F.col("batch_id") * RUNS >= part * (last + 1)
+        later = F.col("batch_id") * RUNS >= (part + 1) * (last + 1)
+        posts.filter(due & ~later).write.mode("append").parquet(landed)
+        stream_ingest(job, spark.readStream.schema(posts.schema).parquet(landed)).awaitTermination()
     return job
 
 

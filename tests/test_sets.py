@@ -95,7 +95,7 @@ def test_shuffle_and_broadcast_paths_agree(spark, sf, monkeypatch):
         return sorted(tuple(r) for r in analysis.pair_scores(a).select(*cols).collect())
 
     a = catalog._analysis(spark, sf)
-    wide = analysis.Analysis(a.postings, a.candidates, a.hits, False, False, a.stop_words)
+    wide = analysis.Analysis(a.postings, a.candidates, False, a.stop_words, hit_rows=0)
     monkeypatch.setattr(scale.hot_keys, "__defaults__", (50,))
     assert scores(a) == scores(wide)
     spots = lambda x: {(r.posting_id, r.candidate_id, r.keyword, tuple(s.bullet_index for s in r.spots)) for r in analysis.find_spots(x).collect()}
@@ -174,12 +174,13 @@ def test_plans(spark, sf):
         text = plan(df)
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "EvalPython" not in text
         assert "BroadcastHashJoin" in text
-    wide = analysis.Analysis(a.postings, a.candidates, a.hits, False, False, a.stop_words)
+    wide = analysis.Analysis(a.postings, a.candidates, False, a.stop_words, hit_rows=0)
     text = plan(analysis.pair_scores(wide))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "_salt" in text
     narrow = plan(catalog.QUERIES["infer_country_remote"](spark, sf))
     assert "Exchange" not in narrow and "ReadSchema: struct<doc_id:bigint>" in narrow
     for name in ("filter_reasons", "filter_multi_profile", "posting_keys", "candidate_terms"):
-        assert "Exchange" not in plan(catalog.QUERIES[name](spark, sf))
+        # at most the one exchange that spreads a small input file over the cores
+        assert plan(catalog.QUERIES[name](spark, sf)).count("Exchange") <= 1
     assert "WindowGroupLimit" in plan(state.top_k_postings(
         analysis.pair_scores(a).selectExpr("*", "posting_id as id", "posting_id as created_at"), 10, "candidate_id"))
