@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom import lookups
-from postloom.functions.text import bind, built_once, plain_tokens, run_lengths, text, without, word_tokens
-from postloom.operators.keywords import keyword_context, keywords
+from postloom.functions.text import bind, built_once, plain_tokens, run_lengths, sentences, text, without, word_tokens
+from postloom.operators.keywords import first_sentence, keyword_context, keywords
 from postloom.operators.matching import bullets, keyword_hits
 from postloom.operators.scale import fits_broadcast, hot_keys, maybe_broadcast, salted_join, unnest
 from postloom.session import cut_lineage
@@ -24,12 +24,13 @@ HITS_BROADCAST_ROWS = 1_000_000
 def posting_features(postings: DataFrame, stop_words: Sequence[str] = lookups.STOP_WORDS) -> DataFrame:
     """Everything the analysis reads from a posting, computed inside its row.
 
-    Input needs ``posting_id``, ``profiles`` and ``description``. The result is an
-    order of magnitude narrower to join than the text, and is written once.
+    Input needs ``posting_id``, ``profiles`` and ``description``. The result is written
+    once; each later step reads only the columns it needs.
     """
     stops = tuple(stop_words)
     return postings.select("posting_id", "profiles",
-                           built_once(_keywords_with_context, "description", stops).alias("keywords"),
+                           built_once(_keywords_with_sentence, "description", stops).alias("keywords"),
+                           sentences(text(F.col("description"))).alias("sentences"),
                            built_once(_words, "description", stops).alias("words"))
 
 
@@ -37,24 +38,24 @@ def _words(column: str, stop_words: tuple[str, ...]) -> Column:
     return run_lengths(without(plain_tokens(F.lower(text(F.col(column)))), stop_words))
 
 
-def _keywords_with_context(column: str, stop_words: tuple[str, ...]) -> Column:
+def _keywords_with_sentence(column: str, stop_words: tuple[str, ...]) -> Column:
     jd = text(F.col(column))
 
-    def with_context(found: Column) -> Column:
+    def located(found: Column) -> Column:
         names = F.transform(found, lambda k: k["keyword"])
-        return bind(keyword_context(jd, names), lambda ctx: F.transform(found, lambda k, i: F.struct(
+        return bind(first_sentence(sentences(jd), names), lambda at: F.transform(found, lambda k, i: F.struct(
             k["keyword"].alias("keyword"), k["count"].alias("count"), k["in_req"].alias("in_req"),
             k["section"].alias("section"), k["soft"].alias("soft"), k["importance"].alias("importance"),
-            F.get(ctx, i).alias("context"))))
+            F.get(at, i).alias("sentence"))))
 
-    return bind(keywords(jd, stop_words), with_context)
+    return bind(keywords(jd, stop_words), located)
 
 
 @dataclass
 class Analysis:
     """The inputs all pair results share. Each is materialised once, and only when asked for."""
 
-    postings: DataFrame       # posting_id, profiles, keywords, words
+    postings: DataFrame       # posting_id, profiles, keywords, sentences, words
     candidates: DataFrame     # candidate_id, profile_id, text
     fits: bool                # candidate text is small enough to broadcast what derives from it
     stop_words: Sequence[str]
@@ -86,7 +87,7 @@ class Analysis:
 
 def posting_keywords(a: Analysis) -> DataFrame:
     """(posting, keyword) rows with the profiles that want the posting."""
-    return unnest(a.postings, F.col("keywords"), "posting_id", "profiles").drop("context")
+    return unnest(a.postings, F.col("keywords"), "posting_id", "profiles").drop("sentence")
 
 
 def _meet(left: DataFrame, right: DataFrame, key: str, small: bool) -> DataFrame:
@@ -194,7 +195,7 @@ def find_spots(a: Analysis, k: int = lookups.SPOT_CAP) -> DataFrame:
     Tokens outside the candidate's vocabulary have no weight there and drop out.
     """
     def query(k: Column) -> Column:
-        tokens = without(word_tokens(F.lower(F.concat(k["keyword"], F.lit(" "), k["context"]))), a.stop_words)
+        tokens = without(word_tokens(F.lower(F.concat(k["keyword"], F.lit(" "), keyword_context(F.col("sentences"), k)))), a.stop_words)
         return F.transform(run_lengths(tokens), lambda r: F.struct(
             k["keyword"].alias("keyword"), r["value"].alias("token"), r["n"].alias("tf")))
 

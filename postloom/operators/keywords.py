@@ -14,7 +14,7 @@ from postloom import lookups
 from postloom.functions.phrases import PhraseScanner, lookup
 from postloom.operators.scale import unnest
 from postloom.functions.text import (
-    SPACE, bind, built_once, count_substring, lines, literal_strings, normalize_text, run_lengths, sentences, strip, text,
+    SPACE, bind, built_once, count_substring, lines, literal_strings, normalize_text, run_lengths, strip, text,
     without, word_tokens,
 )
 
@@ -197,11 +197,19 @@ def known_keywords(jd: Column) -> Column:
     return bind(normalize_text(jd), lambda norm: bind(parts, lambda s: _known(norm, s["req"], s["pref"])))
 
 
-def keyword_context(jd: Column, names: Column) -> Column:
-    """M5: for each keyword the first sentence that contains it, else the keyword itself."""
-    pairs = F.transform(sentences(jd), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
-    return bind(pairs, lambda ss: F.transform(names, lambda k: F.coalesce(
-        F.get(F.filter(ss, lambda s: s["low"].contains(k)), F.lit(0))["s"], k)))
+def first_sentence(parts: Column, names: Column) -> Column:
+    """For each keyword the index of the first sentence that contains it, null when none does.
+
+    An index, so that a long sentence is kept once however many keywords point at it.
+    """
+    lowered = F.transform(parts, F.lower)
+    return bind(lowered, lambda ss: F.transform(names, lambda k: F.array_min(F.filter(
+        F.transform(ss, lambda s, i: F.when(s.contains(k), i)), lambda i: i.isNotNull()))))
+
+
+def keyword_context(parts: Column, k: Column) -> Column:
+    """M5: the first sentence that contains the keyword, else the keyword itself."""
+    return F.coalesce(F.get(parts, k["sentence"]), k["keyword"])
 
 
 def jd_keywords(postings: DataFrame, id_column: str = "seq",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from postloom import lookups
 from postloom.functions.text import bind, lines, normalize_text, sentences, strip, text, word_tokens
 from postloom.operators.keywords import SKILL_SCAN, canonical
-from postloom.operators.scale import hot_keys, maybe_broadcast, salted_join, unnest
+from postloom.operators.scale import hot_keys, salted_join, unnest
 
 GRAMS = (7, 4)       # block lengths for the substring tier, longest first
 HOT_GRAM_ROWS = 500_000
@@ -147,9 +147,11 @@ def keyword_hits(names: DataFrame, candidates: DataFrame, fits: bool = False) ->
     lowest tier counts.
     """
     terms = candidate_terms(candidates)
-    exact = maybe_broadcast(terms.withColumnRenamed("term", "keyword"), fits)
+    exact = terms.withColumnRenamed("term", "keyword")
+    same = (names.join(F.broadcast(exact), "keyword") if fits else
+            salted_join(exact, names, "keyword", "inner", hot_keys(exact, "keyword", HOT_GRAM_ROWS), F.col("candidate_id")))
     tiers = [
-        names.join(exact, "keyword").select("candidate_id", "keyword"),
+        same.select("candidate_id", "keyword"),
         _substring_hits(names, candidates, fits),
         _boundary_hits(names, candidates, fits),
         _near_hits(names, terms),

@@ -318,9 +318,10 @@ def matched_missing(spark, sf):
 
 @query
 def keyword_context(spark, sf):
-    found = unnest(analysis.posting_features(_docs(spark, sf).select(F.col("seq").alias("posting_id"), "description", F.array().cast("array<string>").alias("profiles"))),
-                   F.col("keywords"), "posting_id")
-    return found.select("posting_id", "keyword", "context")
+    docs = _docs(spark, sf).select(F.col("seq").alias("posting_id"), "description", F.array().cast("array<string>").alias("profiles"))
+    found = F.transform("keywords", lambda k: F.struct(
+        k["keyword"].alias("keyword"), keywords.keyword_context(F.col("sentences"), k).alias("context")))
+    return unnest(cut_lineage(analysis.posting_features(docs), "features"), found, "posting_id")
 
 
 @query
