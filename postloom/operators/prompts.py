@@ -20,6 +20,19 @@ OPENING = "You are helping me tailor my resume to pass ATS screening and get an
 NO_MATCH = "(none detected)"
 NO_GAP = "(none — strong keyword coverage)"
 NO_SPOT = "(no close bullets found — may be a genuine gap)"
+# fixed values: the wording of the request document
+REQUEST_RULES = """Hard rules:
+- Only use experience the candidate genuinely has. Never invent skills, tools, employers, dates, or metrics.
+- If a required keyword can't be added truthfully, say so plainly and mark it a REAL GAP.
+- Keep phrasing ATS-parseable: plain text, standard section names, no tables or graphics.
+- Match the job's exact terminology where truthful (e.g. write "CI/CD" if the JD does)."""
+REQUEST_TASK = """Produce, in markdown:
+1. **Priority edits** — for each high-impact missing keyword that CAN be added truthfully,
+   give the exact resume bullet BEFORE and a rewritten AFTER, and name the section it's in.
+2. **Real gaps** — keywords the candidate genuinely lacks; do not fake these.
+3. **Quick wins** — small wording/format changes that raise ATS parse-ability.
+Keep it concise and specific. Prefer editing existing bullets over adding new ones."""
+NOTHING = "(none)"
 NEAR_CHARS = 90        # bullet characters shown in the tailoring document
 GAP_NEAR_CHARS = 80    # ... and in a gap block
 GAPS_SHOWN = 20
@@ -67,12 +80,34 @@ def tailoring_prompts(analyses: DataFrame, postings: DataFrame, candidates: Data
     return rows.select("posting_id", "candidate_id", F.concat_ws("\n", *parts).alias("prompt"))
 
 
-def gap_block(analyses: DataFrame) -> DataFrame:
-    """The ranked gaps of a pair as text, the first twenty with up to two near bullets each."""
+def _gap_block() -> Column:
     def line(m: Column) -> Column:
         near = F.array_join(F.transform(F.slice(m["spots"], 1, 2), lambda s: F.substring(s["bullet"], 1, GAP_NEAR_CHARS)), "; ")
         return F.concat(F.lit("- "), m["keyword"], _tag(m), F.when(
             near != "", F.concat(F.lit("  (nearest bullets: "), near, F.lit(")"))).otherwise(""))
 
     shown = F.transform(F.slice(F.col("missing_keywords"), 1, GAPS_SHOWN), line)
-    return analyses.select("posting_id", "candidate_id", _or(F.array_join(shown, "\n"), NO_MATCH).alias("gap_block"))
+    return _or(F.array_join(shown, "\n"), NO_MATCH)
+
+
+def gap_block(analyses: DataFrame) -> DataFrame:
+    """The ranked gaps of a pair as text, the first twenty with up to two near bullets each."""
+    return analyses.select("posting_id", "candidate_id", _gap_block().alias("gap_block"))
+
+
+def gap_requests(analyses: DataFrame, postings: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The request text that goes with a gap block, one per analysed pair, for an offline batch."""
+    rows = (analyses.join(postings.select("posting_id", "title", "company", "description"), "posting_id")
+            .join(candidates.select("candidate_id", strip(text(F.col("text"))).alias("_resume")), "candidate_id"))
+    # the three characters of " at" go from both ends, as the role line is built there
+    role = F.btrim(F.concat(text(F.col("title")), F.lit(" at "), text(F.col("company"))), F.lit(" at"))
+    score = F.bround("score", 0).cast("int").cast("string")
+    parts = [
+        F.lit(REQUEST_RULES), F.lit(""), F.concat(F.lit("ROLE: "), role),
+        F.concat(F.lit("DETERMINISTIC ATS SCORE: "), score, F.lit("%  |  required keywords covered: "),
+                 F.col("required_matched").cast("string"), F.lit("/"), F.col("required_total").cast("string")),
+        F.lit(""), F.lit("JOB DESCRIPTION:"), strip(text(F.col("description"))), F.lit(""),
+        F.concat(F.lit("ALREADY COVERED (don't re-add): "), _or(F.array_join("matched_keywords", ", "), NOTHING)),
+        F.lit(""), F.lit("MISSING KEYWORDS (ranked, from my keyword tool):"), _gap_block(), F.lit(""),
+        F.lit("MY RESUME:"), F.col("_resume"), F.lit(""), F.lit(REQUEST_TASK)]
+    return rows.select("posting_id", "candidate_id", F.concat_ws("\n", *parts).alias("request"))

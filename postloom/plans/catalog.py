@@ -10,7 +10,7 @@ from postloom import lookups
 from postloom.functions.infer import content_key, dedup_key, infer_country, is_remote
 from postloom.functions.text import normalize_text, run_lengths, sentences, strip_markup_board, strip_markup_page, strip_markup_plain
 from postloom.operators import analysis, dedup, enrich, filters, keywords, matching, prompts, state
-from postloom.operators.scale import spread, unnest
+from postloom.operators.scale import fits_broadcast, spread, unnest
 from postloom.plans import overlay
 from postloom.session import cut_lineage, scratch_path
 from postloom.sources import boards, feeds, trackers
@@ -303,7 +303,8 @@ def candidate_terms(spark, sf):
 @query
 def keyword_match(spark, sf):
     names = cut_lineage(_keyword_rows(spark, sf).select("keyword").distinct(), "keywords")
-    hits = matching.keyword_hits(names, overlay.candidates(spark, sf))
+    cands = overlay.candidates(spark, sf)
+    hits = matching.keyword_hits(names, cands, fits_broadcast(cands, "text"))
     return hits.withColumn("match_tier", F.col("match_tier").cast("long"))
 
 
@@ -429,6 +430,13 @@ def gap_block(spark, sf):
     return prompts.gap_block(analysis.assemble_analysis(_analysis(spark, sf)))
 
 
+@query
+def gap_requests(spark, sf):
+    a = _analysis(spark, sf)
+    made = prompts.gap_requests(analysis.assemble_analysis(a), _documents(spark, sf), a.candidates)
+    return made.select("candidate_id", "posting_id", F.md5("request").alias("request"), F.length("request").cast("long").alias("chars"))
+
+
 @query
 def top_matches(spark, sf):
     """Flagship: each candidate's ten best postings with band, required coverage and first gaps."""

@@ -523,9 +523,19 @@ SELECT g.candidate_id, g.seq, g.keyword, gap_rank, CASE WHEN in_req THEN ' [requ
  SELECT candidate_id, seq, keyword, string_agg('"' || substr(bullet, 1, {prompts.NEAR_CHARS}) || '"', '; ' ORDER BY rank) AS near_long,
   string_agg(substr(bullet, 1, {prompts.GAP_NEAR_CHARS}), '; ' ORDER BY rank) AS near_short
  FROM spots JOIN bullets USING (candidate_id, bullet_index) WHERE rank <= 2 GROUP BY ALL) USING (candidate_id, seq, keyword)""", "gaps", "spots", "bullets")
-oracle("gap_block", f"""
-SELECT candidate_id, seq AS posting_id, coalesce(string_agg('- ' || keyword || tag || CASE WHEN near_short IS NULL THEN '' ELSE '  (nearest bullets: ' || near_short || ')' END, {NL} ORDER BY gap_rank)
+cte("gap_blocks", f"""
+SELECT candidate_id, seq, coalesce(string_agg('- ' || keyword || tag || CASE WHEN near_short IS NULL THEN '' ELSE '  (nearest bullets: ' || near_short || ')' END, {NL} ORDER BY gap_rank)
  FILTER (gap_rank <= {prompts.GAPS_SHOWN}), {q(prompts.NO_MATCH)}) AS gap_block FROM pairs LEFT JOIN gap_lines USING (candidate_id, seq) GROUP BY 1, 2""", "pairs", "gap_lines")
+oracle("gap_block", "SELECT candidate_id, seq AS posting_id, gap_block FROM gap_blocks", "gap_blocks")
+oracle("gap_requests", f"""
+WITH held AS (SELECT candidate_id, seq, string_agg(keyword, ', ' ORDER BY keyword) AS words FROM pair_kw WHERE match_tier IS NOT NULL GROUP BY 1, 2),
+ done AS (SELECT s.candidate_id, s.seq, concat_ws({NL}, {q(prompts.REQUEST_RULES)}, '', 'ROLE: ' || trim(title || ' at ' || company, ' at'),
+  'DETERMINISTIC ATS SCORE: ' || CAST(round_even(round(ats_score, 1), 0) AS INTEGER) || '%  |  required keywords covered: ' || required_matched || '/' || required_total,
+  '', 'JOB DESCRIPTION:', regexp_replace(description, '^\\s+|\\s+$', '', 'g'), '', 'ALREADY COVERED (don''t re-add): ' || coalesce(words, {q(prompts.NOTHING)}), '',
+  'MISSING KEYWORDS (ranked, from my keyword tool):', gap_block, '', 'MY RESUME:', regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '', {q(prompts.REQUEST_TASK)}) AS request
+ FROM scores s JOIN posts USING (seq) JOIN cands c ON c.candidate_id = s.candidate_id JOIN gap_blocks g ON g.candidate_id = s.candidate_id AND g.seq = s.seq
+ LEFT JOIN held h ON h.candidate_id = s.candidate_id AND h.seq = s.seq)
+SELECT candidate_id, seq AS posting_id, md5(request) AS request, length(request) AS chars FROM done""", "scores", "posts", "cands", "gap_blocks", "pair_kw")
 oracle("tailoring_prompts", f"""
 WITH parts AS (SELECT candidate_id, seq, string_agg('- ' || keyword || tag, {NL} ORDER BY gap_rank) AS gaps,
   string_agg('- ' || keyword || ' -> nearest bullets: ' || near_long, {NL} ORDER BY gap_rank) FILTER (near_long IS NOT NULL) AS spots FROM gap_lines GROUP BY 1, 2),
