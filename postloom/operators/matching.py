@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom import lookups
-from postloom.functions.text import bind, lines, normalize_text, sentences, strip, text, word_tokens
+from postloom.functions.text import bind, lines, normalize_text, sentences, text, word_tokens
 from postloom.operators.keywords import SKILL_SCAN, canonical
 from postloom.operators.scale import hot_keys, salted_join, unnest
 

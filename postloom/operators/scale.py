@@ -15,7 +15,7 @@ def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, hot: DataFrame | None,
-                spread: Column, condition: Column | None = None, salts: int = SALTS) -> DataFrame:
+                spread: Column, salts: int = SALTS) -> DataFrame:
     """Equi-join on ``key`` that spreads the left rows of hot keys over ``salts`` tasks.
 
     ``hot`` comes from :func:`hot_keys`, so it is small by construction and may be
@@ -24,8 +24,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, hot: Data
     is known to be too small to hold a hot key.
     """
     if hot is None:
-        joined = left.join(right, key, how)
-        return joined if condition is None else joined.filter(condition)
+        return left.join(right, key, how)
     flag = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
     spread_left = left.join(flag, key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
@@ -33,11 +32,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, hot: Data
     repeated = right.join(flag, key, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
                            .otherwise(F.array(F.lit(0))))).drop("_hot")
-    if condition is None:
-        return spread_left.join(repeated, [key, "_salt"], how).drop("_salt")
-    left_side, right_side = spread_left.alias("l"), repeated.withColumnRenamed(key, "_rkey").withColumnRenamed("_salt", "_rsalt")
-    on = (F.col(f"l.{key}") == F.col("_rkey")) & (F.col("l._salt") == F.col("_rsalt")) & condition
-    return left_side.join(right_side, on, how).drop("_rkey", "_rsalt", "_salt")
+    return spread_left.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
 def fits_broadcast(df: DataFrame, text_column: str, limit: int = BROADCAST_CHARS) -> bool:

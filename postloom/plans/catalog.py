@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from postloom import lookups
 from postloom.functions.infer import content_key, dedup_key, infer_country, is_remote
-from postloom.functions.text import normalize_text, run_lengths, sentences, strip_markup_board, strip_markup_page, strip_markup_plain
+from postloom.functions.text import normalize_text, sentences, strip_markup_board, strip_markup_page, strip_markup_plain
 from postloom.operators import analysis, dedup, enrich, filters, keywords, matching, prompts, state
 from postloom.operators.scale import fits_broadcast, spread, unnest
 from postloom.plans import overlay

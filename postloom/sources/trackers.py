@@ -50,7 +50,8 @@ def normalize_tracker_feed(raw: DataFrame, cap: int = lookups.TRACKER_CAP) -> Da
         F.lit("github_repo").alias("source"), F.coalesce(filled(F.col("x.id")), fallback_id).alias("source_job_id"),
         title.alias("title"), company.alias("company"), place.alias("location"), mentions_remote(place).alias("remote"),
         F.coalesce(filled(F.col("x.url")), F.concat(F.lit(HOST), "repo")).alias("url"), summary.alias("description"),
-        F.date_format(F.timestamp_seconds("x.date_posted"), "yyyy-MM-dd").alias("posted_at"),
+        # whole days since the epoch, so that the session time zone plays no part
+        F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("x.date_posted") / 86400).cast("int")).cast("string").alias("posted_at"),
         arrival(3, F.col("repo"), F.col("pos")).alias("arrival")))
 
 

@@ -8,7 +8,7 @@ from postloom.operators import dedup, enrich, prompts
 from postloom.plans import catalog, overlay
 from postloom.session import scratch_path
 from postloom.sources import boards, feeds, trackers
-from postloom.streaming.ingest import IngestJob, stream_ingest
+from postloom.streaming.ingest import IngestJob
 
 
 def payload(spark, body, key="slug", name="acme"):
