@@ -10,7 +10,7 @@ SELECT doc_id, keep_id, group_size, k = 1 AS kept, h AS text_sha256 FROM r
 """
 
 SUBSTRING_DEDUP = r"""
-WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 wins AS (SELECT doc_id, s, hash(w[s:s + 19]) AS a, md5_number(array_to_string(w[s:s + 19], ' ')) AS b
          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM t WHERE len(w) >= 20)),
 later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, s) AS k FROM wins) WHERE k > 1),
@@ -18,7 +18,7 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM later),
 lists AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id)
 SELECT t.doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed,
        CASE WHEN g IS NULL THEN sha256(array_to_string(w, ' '))
-            ELSE sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(g, i)), i -> w[i]), ' '), ''))
+            ELSE sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(g, i)), lambda i: w[i]), ' '), ''))
        END AS kept_sha256
 FROM t LEFT JOIN lists USING (doc_id)
 """

@@ -25,8 +25,9 @@ from postloom.session import cut_lineage
 MIN_ROWS = 200
 H = 0.75             # share of rows that a concentration step keeps
 STEPS = 4
+SHRINK = 0.3         # of correlations
 CUTOFF = 8.0         # in robust standard deviations along any direction
-FLOOR = np.array([0.6, 0.12, 0.35, 0.5, 0.5, 0.3, 0.6, 0.15, 0.5, 0.5, 0.5, 0.5])   # least spread of each statistic
+FLOOR = np.array([1.0, 0.12, 0.35, 0.5, 0.5, 0.3, 1.5, 0.2, 1.0, 1.0, 0.8, 0.6])   # least spread of each statistic
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 X = [f"x{i}" for i in range(STATISTICS)]
 PAIRS = [(i, j) for i in range(STATISTICS) for j in range(i, STATISTICS)]
@@ -61,12 +62,16 @@ def _pool_name(min_rows: int) -> Column:
             .when(F.col("nl") >= min_rows, F.concat(F.lit("l"), quote("lang"))).otherwise(F.lit("*")))
 
 
-def _whiten(mean: np.ndarray, cov: np.ndarray, scale: float) -> list[float]:
-    """The inverse Cholesky factor of a covariance with floors, row by row."""
-    cov = cov * scale
-    lift = np.maximum(FLOOR ** 2 - np.diag(cov), 0)
-    lower = np.linalg.cholesky(cov + np.diag(lift + 1e-9))
-    return [float(v) for v in np.linalg.inv(lower).ravel()]
+def _whiten(cov: np.ndarray) -> list[float]:
+    """Row by row the inverse Cholesky factor of a regularised covariance.
+
+    Spreads have floors, and correlations are drawn towards zero by SHRINK (the minimum regularised covariance
+    determinant of Boudt et al. 2020): clean text has no symbols at all, so some statistics move together exactly.
+    """
+    spread = np.maximum(np.sqrt(np.maximum(np.diag(cov), 0)), FLOOR)
+    r = (1 - SHRINK) * cov / np.outer(spread, spread)
+    np.fill_diagonal(r, 1.0)
+    return [float(v) for v in (np.linalg.inv(np.linalg.cholesky(r)) / spread).ravel()]
 
 
 def _distance(data: DataFrame, params: DataFrame, keep: list[str]) -> DataFrame:
@@ -93,7 +98,7 @@ def _estimate(data: DataFrame, scale: float) -> DataFrame:
                 for (i, j), v in zip(PAIRS, p, strict=True):
                     cov[i, j] = cov[j, i] = v / n - mean[i] * mean[j]
                 means.append([float(v) for v in mean])
-                factors.append(_whiten(mean, cov, scale))
+                factors.append(_whiten(cov * scale))
             yield pd.DataFrame({"pool": f["pool"], "mean": means, "factor": factors})
 
     return sums.mapInPandas(solve, "pool string, mean array<double>, factor array<double>")
@@ -110,7 +115,7 @@ def _start(data: DataFrame) -> DataFrame:
             for _, r in f.iterrows():
                 low, mid, high = (np.array([float(r[x][k]) for x in X]) for k in range(3))
                 means.append([float(v) for v in mid])
-                factors.append(_whiten(mid, np.diag(((high - low) / 1.349) ** 2), 1.0))
+                factors.append(_whiten(np.diag(((high - low) / 1.349) ** 2)))
             yield pd.DataFrame({"pool": f["pool"], "mean": means, "factor": factors})
 
     return q.mapInPandas(solve, "pool string, mean array<double>, factor array<double>")
