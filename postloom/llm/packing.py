@@ -13,6 +13,8 @@ packed like others, each with sequences of its own; a null doc_id goes through.
 """
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -33,6 +35,7 @@ class WordIds:
     _made: dict[str, WordIds] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -44,7 +47,7 @@ class WordIds:
         return cls._made[path]
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        made = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in made]
 
     def learn(self, words: set[bytes]) -> None:
