@@ -56,6 +56,8 @@ def located(docs: DataFrame) -> DataFrame:
 def _state_on_disk(spark: SparkSession):
     """Streams started inside keep their state in RocksDB."""
     wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+              "spark.sql.streaming.stateStore.unloadOnCommit": "true",          # frees the executors' disks
+              "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # no megabytes set aside per partition
               "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
               "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128"}
     before = {k: spark.conf.get(k) if spark.conf.get(k, None) is not None else None for k in wanted}
