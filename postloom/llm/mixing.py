@@ -33,7 +33,8 @@ BLOCK = 128                    # words
 SHARD_SLOTS = 8192             # slots of an output shard
 ROUNDS = 8                     # of the permutations
 SEED = 20_240_607
-BUCKET_ROWS = 20_000           # documents of one hash bucket, about
+BUCKET_ROWS = 2_000            # documents of one hash bucket, about
+TASK_DRAWS = 200_000            # draws made in one task, about
 CHUNK = 4096                   # draws made from one row at once
 
 
@@ -106,11 +107,11 @@ def quotas(goals: DataFrame, block: int = BLOCK) -> DataFrame:
             .withColumn("all_draws", F.sum("draws").over(every)))
 
 
-def draws(quota: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def draws(quota: DataFrame, tasks: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """source, block, pass, shard, slot: one row for each block taken."""
     parts = quota.select("source", "blocks", "draws", "first", "all_draws", F.explode(
         F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / CHUNK).cast("long"))).alias("_chunk")).filter("draws > 0")
-    parts = parts.repartition(F.xxhash64("source", "_chunk"))
+    parts = parts.repartition(tasks, "source", "_chunk")     # a number given is kept by adaptive execution
     from_, to = F.col("_chunk") * CHUNK, F.least(F.col("_chunk") * CHUNK + CHUNK, F.col("draws")) - 1
     rows = parts.select("*", F.explode(F.sequence(from_, to)).alias("k")).select(
         "source", "blocks", "all_draws", F.floor(F.col("k") / F.col("blocks")).cast("long").alias("pass"),
@@ -145,8 +146,12 @@ def _plan(docs: DataFrame, block: int):
     buckets = max(1, -(-sizes.count() // BUCKET_ROWS))
     goals = cut_lineage(targets(sizes), "targets")
     rows = cut_lineage(placed(sizes, buckets), "placed")
-    taken = draws(quotas(goals, block)).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = taken.withColumnRenamed("source", "_s")
+    quota = quotas(goals, block)
+    most = quota.agg(F.max("all_draws")).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-most // TASK_DRAWS))
+    # written, so that the join is planned by the true size: it grows with the data and must not be broadcast
+    taken = cut_lineage(draws(quota, tasks).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
+                        .withColumnRenamed("source", "_s"), "taken-blocks")
     met = pieces(rows, block).join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("block")))
     return rows, goals, met, buckets
 
