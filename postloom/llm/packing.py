@@ -26,7 +26,7 @@ from postloom.llm.common import BATCH_ROWS
 
 VOCABULARY = "word_bpe_49k.json"
 END, FULL = 1, 2048
-KNOWN_WORDS = 250_000               # words whose ids a worker keeps, in each of two generations
+KNOWN_WORDS = 400_000               # words whose ids a worker keeps, in each of two generations
 _TAIL = b".,!?;:#*$%&|"             # punctuation that is peeled off a word that ends in a letter
 
 
