@@ -72,5 +72,7 @@ def dedup_insert(batch: DataFrame, state: DataFrame | None = None, tombstones: D
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """The inserted rows of ``batch`` in full, as new state rows."""
     keyed = batch if set(KEYS) <= set(batch.columns) else with_keys(batch)
-    won = accepted_keys(keyed, state, tombstones, hot_rows).select("seq")
-    return keyed.join(won, "seq", "left_semi").withColumn("status", F.lit("to_apply"))
+    won = accepted_keys(keyed, state, tombstones, hot_rows)
+    # a payload that landed twice has rows of equal keys and arrival: one of them enters
+    once = keyed.join(won, ["seq", *KEYS], "left_semi").dropDuplicates(["dedup_key"])
+    return once.select(*keyed.columns).withColumn("status", F.lit("to_apply"))

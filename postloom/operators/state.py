@@ -50,10 +50,9 @@ def apply_changes(state: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
         "description": F.coalesce(strip(F.col("new_description")), F.col("description")),
     })
     if "analysis" in state.columns:
-        patched = patched.withColumns({
-            "analysis": F.coalesce("new_analysis", "analysis"),
-            "ats_score": F.coalesce(F.col("new_ats_score").try_cast("double"), F.col("ats_score")),
-        })
+        patched = patched.withColumn("analysis", F.coalesce("new_analysis", "analysis"))
+    if "ats_score" in state.columns:
+        patched = patched.withColumn("ats_score", F.coalesce(F.col("new_ats_score").try_cast("double"), F.col("ats_score")))
     return patched.drop("new_status", "new_description", "new_analysis", "new_ats_score"), bad
 
 

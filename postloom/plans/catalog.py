@@ -18,7 +18,6 @@ from postloom.streaming.ingest import IngestJob, stream_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-FEED_CAP = 40
 
 
 def query(fn: Query) -> Query:
@@ -85,12 +84,12 @@ def normalize_aggregator(spark, sf):
 
 @query
 def tracker_feed_topcap(spark, sf):
-    return _normalized(trackers.normalize_tracker_feed(overlay.tracker_payloads(_posts(spark, sf)), FEED_CAP))
+    return _normalized(trackers.normalize_tracker_feed(overlay.tracker_payloads(_posts(spark, sf))))
 
 
 @query
 def tracker_markdown(spark, sf):
-    rows = trackers.parse_tracker_table(overlay.tracker_documents(_posts(spark, sf)), FEED_CAP)
+    rows = trackers.parse_tracker_table(overlay.tracker_documents(_posts(spark, sf)))
     return rows.select("source_job_id", "title", "company", "location", "remote", "url", "description",
                        F.col("start_year").cast("string").alias("start_year"), F.col("arrival.pos").cast("long").alias("pos"))
 
@@ -182,9 +181,14 @@ def dedup_insert(spark, sf):
     return stored.unionByName(new).select("seq", "dedup_key", "content_key", "status")
 
 
+def _one_per_key(stored: DataFrame) -> DataFrame:
+    """The first row of each native key, as an insert would leave it."""
+    return stored.join(stored.groupBy("dedup_key").agg(F.min("seq").alias("seq")), ["dedup_key", "seq"], "left_semi")
+
+
 @query
 def tombstone_dismiss(spark, sf):
-    stored = _state(spark, sf).filter(F.col("source_job_id") == F.col("seq").cast("string"))   # one row per key
+    stored = _one_per_key(_state(spark, sf))
     old = stored.filter("seq % 3 = 0").select("dedup_key", F.lit("old").alias("content_key"), F.lit("2026-01-01").alias("dismissed_at"))
     rest, tombs = state.dismiss(stored, stored.filter("seq % 5 = 0").select("id"), old, F.lit("2026-06-02"))
     return rest.groupBy(F.lit("state").alias("part"), F.col("dedup_key")).agg(F.lit("").alias("detail")).unionByName(
@@ -194,7 +198,7 @@ def tombstone_dismiss(spark, sf):
 
 @query
 def apply_changes(spark, sf):
-    stored = _state(spark, sf).filter(F.col("source_job_id") == F.col("seq").cast("string"))
+    stored = _one_per_key(_state(spark, sf))
     n = stored.sparkSession.read.parquet(f"{sf}/documents.parquet").count()
     log = overlay.changes(spark, sf, n, _keyed(spark, sf))
     patched, refused = state.apply_changes(stored.drop("ats_score"), log)

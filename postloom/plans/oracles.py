@@ -12,7 +12,6 @@ from postloom import lookups
 from postloom.operators import prompts
 from postloom.operators.filters import FilterProfile
 from postloom.plans import overlay
-from postloom.plans.catalog import FEED_CAP
 from postloom.sources import trackers
 
 NL = "chr(10)"
@@ -145,7 +144,7 @@ SELECT i AS seq, {pick(overlay.SOURCES, 'i % 5')} AS source, CAST(native AS VARC
   {pick(overlay.TITLES, 'b % 12')} AS title, 'company_' || b AS company,
   CASE WHEN i % 7 = 0 THEN '' ELSE 'https://jobs.example.com/' || i END AS url, location,
   contains(lower(location), 'remote') OR i % 23 = 0 AS remote,
-  substr(text, 1, ([150, 400, 1500])[i % 3 + 1]) || {NL}
+  text || {NL}
     || CASE WHEN i % 4 = 0 THEN 'CRM tooling and CRM reporting for CRM users.' || {NL} ELSE '' END
     || 'Requirements:' || {NL} || '- ' || {pick(overlay.SKILLS, 'i % 20')} || ', ' || {pick(overlay.SKILLS, '(i * 7 + 3) % 20')} || '.' || {NL}
     || 'Nice to have: ' || {pick(overlay.SKILLS, '(i * 3 + 11) % 20')} || '.' || {NL}
@@ -361,12 +360,12 @@ _node = """'{"@type": ["Thing", "JobPosting"], "description": "' || body || '"}'
 _other = """'{"@type": "Organization", "description": "not a posting"}'"""
 cte("crawl", f"""
 SELECT page_id, 'https://jobs.example.com/' || page_id AS url, description, CASE WHEN block IS NULL THEN html ELSE
-  CASE WHEN contains(html, '</body>') THEN string_split(html, '</body>')[1] ELSE html END
+  CASE WHEN contains(html, '</body>') THEN substr(html, 1, strpos(html, '</body>') - 1) ELSE html END
   || CASE WHEN page_id % 27 = 0 THEN '<script type="application/ld+json">{{broken</script>' ELSE '' END
-  || '<script type="application/ld+json">' || block || '</script>' || CASE WHEN contains(html, '</body>') THEN '</body></html>' ELSE '' END END AS html
+  || '<script type="application/ld+json">' || block || '</script>' || CASE WHEN contains(html, '</body>') THEN substr(html, strpos(html, '</body>')) ELSE '' END END AS html
 FROM (SELECT page_id, html, CASE WHEN page_id % 3 = 0 THEN body END AS description, CASE WHEN page_id % 9 = 0 THEN {_node}
    WHEN page_id % 9 = 3 THEN '{{"@graph": [' || {_other} || ', ' || {_node} || ']}}' WHEN page_id % 9 = 6 THEN '[' || {_other} || ', ' || {_node} || ']' END AS block
- FROM (SELECT page_id, html, '<p>Research &amp; growth &lt;now&gt; ' || CASE WHEN page_id % 15 = 0 THEN substr(words, 1, 150) ELSE words END || '</p>' AS body
+ FROM (SELECT page_id, html, '<p>Research &amp; growth &lt;now&gt; ' || words || '</p>' AS body
   FROM (SELECT page_id, html, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[^A-Za-z0-9.]+', ' ', 'g')) AS words FROM pages)))""")
 cte("crawled", f"""
 SELECT page_id, url, CASE WHEN length(d) > {lookups.BOARD_MIN_CHARS} THEN d WHEN length(p) > {lookups.PAGE_MIN_CHARS} THEN p ELSE '' END AS full_text,
@@ -383,15 +382,15 @@ def oracle(name: str, sql: str, *needs: str) -> None:
 
 _html = f"'<p>' || replace(description, {NL}, '</p><p>') || '</p> R&amp;amp;D &amp;lt;b&amp;gt;&nbsp;it&#39;s'"
 _board = f"'board_' || seq // {overlay.ROWS_PER_PAYLOAD}"
-_greenhouse = f"""SELECT source, source_job_id, title, {_board} AS company, location, contains(lower(location), 'remote') AS remote, url,
- {board_strip(_html)} AS description, CASE WHEN seq % 4 <> 0 THEN posted_at END AS posted_at FROM posts WHERE source = 'greenhouse'"""
-_lever = f"""SELECT source, source_job_id, title, {_board} AS company, location, contains(lower(location), 'remote') OR seq % 3 = 0 AS remote, url,
- CASE WHEN seq % 2 = 0 THEN description ELSE {squash(tagless(_html))} END AS description, CAST(NULL AS VARCHAR) AS posted_at FROM posts WHERE source = 'lever'"""
-_ashby = f"""SELECT source, CASE WHEN seq % 3 <> 0 THEN source_job_id WHEN seq % 2 = 0 THEN 'job-' || source_job_id ELSE title END AS source_job_id, title, {_board} AS company, location,
+_greenhouse = f"""SELECT 'greenhouse' AS source, source_job_id, title, {_board} AS company, location, contains(lower(location), 'remote') AS remote, url,
+ {board_strip(_html)} AS description, CASE WHEN seq % 4 <> 0 THEN posted_at END AS posted_at FROM posts"""
+_lever = f"""SELECT 'lever' AS source, source_job_id, title, {_board} AS company, location, contains(lower(location), 'remote') OR seq % 3 = 0 AS remote, url,
+ CASE WHEN seq % 2 = 0 THEN description ELSE {squash(tagless(_html))} END AS description, CAST(NULL AS VARCHAR) AS posted_at FROM posts"""
+_ashby = f"""SELECT 'ashby' AS source, CASE WHEN seq % 3 <> 0 THEN source_job_id WHEN seq % 2 = 0 THEN 'job-' || source_job_id ELSE title END AS source_job_id, title, {_board} AS company, location,
  contains(lower(location), 'remote') OR seq % 23 = 0 AS remote, CASE WHEN url <> '' THEN url ELSE 'https://apply.example.com/' || seq END AS url,
- {squash(tagless(f"CASE WHEN seq % 2 = 0 THEN {_html} ELSE description END"))} AS description, posted_at FROM posts WHERE source = 'ashby'"""
-_adzuna = """SELECT source, CASE WHEN seq % 9 = 0 THEN 'None' ELSE source_job_id END AS source_job_id, title, company, location,
- contains(lower(location), 'remote') AS remote, url, description, posted_at FROM posts WHERE source = 'adzuna'"""
+ {squash(tagless(f"CASE WHEN seq % 2 = 0 THEN {_html} ELSE description END"))} AS description, posted_at FROM posts"""
+_adzuna = """SELECT 'adzuna' AS source, CASE WHEN seq % 9 = 0 THEN 'None' ELSE source_job_id END AS source_job_id, title, company, location,
+ contains(lower(location), 'remote') AS remote, url, description, posted_at FROM posts"""
 oracle("normalize_greenhouse", _greenhouse, "posts")
 oracle("normalize_lever", _lever, "posts")
 oracle("normalize_ashby", _ashby, "posts")
@@ -405,7 +404,7 @@ SELECT 'github_repo' AS source, CASE WHEN seq % 6 <> 0 THEN source_job_id ELSE r
  CASE WHEN seq % 13 <> 0 THEN CAST(DATE '2026-01-01' + CAST(seq % 8 AS INTEGER) AS VARCHAR) END AS posted_at
 FROM (SELECT *, 'org/list_' || seq // 100 AS repo, CASE WHEN location = '' THEN '' ELSE location || ', Hybrid' END AS place,
   row_number() OVER (PARTITION BY seq // 100 ORDER BY CASE WHEN seq % 13 <> 0 THEN seq % 8 ELSE -1 END DESC, seq) AS rn
- FROM posts WHERE seq % 10 <> 3 AND seq % 11 <> 4) WHERE rn <= {FEED_CAP}""", "posts")
+ FROM posts WHERE seq % 10 <> 3 AND seq % 11 <> 4)""", "posts")
 
 # the Markdown lists, restated from the rules rather than parsed: which rows are shown how
 cte("list_rows", f"""
@@ -423,11 +422,11 @@ WITH docs AS (SELECT d, repo || CASE WHEN path IS NULL THEN '' ELSE '/' || path
    CASE WHEN seq // 50 % 3 = 0 THEN 'lists/2026.md' WHEN seq // 50 % 3 = 1 THEN 'lists/all.md' END AS path FROM posts)),
  shown AS (SELECT d, -1 AS seq, '----' AS company, '----' AS role, ':---:' AS place, CAST(NULL AS VARCHAR) AS link, CAST(NULL AS INTEGER) AS own_year FROM docs
   UNION ALL SELECT d, seq, coalesce(own, last_value(own IGNORE NULLS) OVER (PARTITION BY d ORDER BY seq ROWS UNBOUNDED PRECEDING), '---'), role, place, link, own_year FROM list_rows)
-SELECT substr(label || ':' || company || ':' || role || ':' || place, 1, 200) AS source_job_id, role AS title, company, place AS location,
+SELECT label || ':' || company || ':' || role || ':' || place AS source_job_id, role AS title, company, place AS location,
  contains(lower(place), 'remote') AS remote, coalesce(link, page) AS url, role || ' at ' || company || '. Location: ' || place || '. Source: ' || label || '.' AS description,
  CAST(coalesce(CAST(own_year AS BIGINT), hint) AS VARCHAR) AS start_year, pos FROM (
  SELECT *, row_number() OVER (PARTITION BY d ORDER BY seq) - 1 AS pos FROM (SELECT d, seq, CASE WHEN seq = -1 THEN '---' ELSE company END AS company, role, place, link, own_year FROM shown WHERE role <> '')
-) JOIN docs USING (d) WHERE pos < {FEED_CAP}""", "list_rows")
+) JOIN docs USING (d)""", "list_rows")
 oracle("strip_markup", f"SELECT page_id, md5({board_strip('html')}) AS board_text, md5({squash(tagless('html'))}) AS plain_text, md5({page_strip('html')}) AS page_text FROM pages")
 oracle("manual_postings", f"""
 SELECT 'manual:' || seq AS source_job_id, title, company, location, sha1('manual::manual:' || seq) AS dedup_key,
@@ -460,7 +459,7 @@ WITH log AS (SELECT dedup_key AS id, event_id, ts, event_type FROM events JOIN s
  ds AS (SELECT id, event_id, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) AS rn FROM log WHERE event_type = 'signup')
 SELECT CAST(seq AS VARCHAR) AS posting, coalesce(CASE st.event_type WHEN 'click' THEN 'applied' WHEN 'view' THEN 'interviewing' WHEN 'purchase' THEN 'offer' END, s.status) AS status,
  md5(coalesce('patched ' || ds.event_id, s.description)) AS description
-FROM stored s LEFT JOIN st ON st.id = s.id AND st.rn = 1 LEFT JOIN ds ON ds.id = s.id AND ds.rn = 1 WHERE source_job_id = CAST(seq AS VARCHAR)
+FROM stored s LEFT JOIN st ON st.id = s.id AND st.rn = 1 LEFT JOIN ds ON ds.id = s.id AND ds.rn = 1 WHERE seq IN (SELECT min(seq) FROM stored GROUP BY dedup_key)
 UNION ALL SELECT 'refused', CAST(count(*) AS VARCHAR), NULL FROM log WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup')""", "stored", "started")
 oracle("list_by_score", "SELECT id, seq, status, ats_score, title, company FROM stored WHERE status = 'applied' ORDER BY ats_score DESC NULLS LAST, seq DESC", "stored")
 _band = "CASE WHEN {0} IS NULL THEN 'unscored' WHEN {0} < 40 THEN 'filtered out' WHEN {0} < 60 THEN 'borderline' ELSE 'likely passes' END"
@@ -505,11 +504,12 @@ oracle("enrich_thin", f"""
 SELECT seq, CASE WHEN better THEN 'full posting' ELSE 'listing summary' END AS jd_source, md5(CASE WHEN better THEN full_text ELSE description END) AS description
 FROM (SELECT seq, description, full_text, coalesce(length(description) < {lookups.THIN_CHARS} AND p.url <> '' AND length(full_text) > length(description), false) AS better
  FROM posts p LEFT JOIN crawled c ON c.url = p.url)""", "posts", "crawled")
-_landed = f"CASE WHEN t.source = 'greenhouse' THEN {page_strip(_html.replace('description', 't.description'))} ELSE CASE WHEN t.seq % 2 = 0 THEN t.description ELSE {page_strip(_html.replace('description', 't.description'))} END END"
+_landed = page_strip(_html.replace('description', 't.description'))
 oracle("board_url_keys", f"""
 WITH landed AS (SELECT source AS kind, board, job_id, max(body) AS body FROM (
-  SELECT t.source, 'board_' || t.seq // {overlay.ROWS_PER_PAYLOAD} AS board, t.source_job_id AS job_id, {_landed} AS body
-  FROM posts t WHERE t.source IN ('greenhouse', 'lever')) GROUP BY ALL),
+  SELECT 'greenhouse' AS source, 'board_' || t.seq // {overlay.ROWS_PER_PAYLOAD} AS board, t.source_job_id AS job_id, {_landed} AS body FROM posts t
+  UNION ALL SELECT 'lever', 'board_' || t.seq // {overlay.ROWS_PER_PAYLOAD}, t.source_job_id, CASE WHEN t.seq % 2 = 0 THEN t.description ELSE {_landed} END
+  FROM posts t) GROUP BY ALL),
  keyed AS (SELECT seq, description, CASE seq % 5 WHEN 3 THEN 'lever' WHEN 4 THEN NULL ELSE 'greenhouse' END AS kind,
   CASE seq % 5 WHEN 2 THEN 'v1' WHEN 4 THEN NULL ELSE 'board_' || seq // 100 END AS board,
   CASE seq % 5 WHEN 3 THEN lpad(source_job_id, 8, '0') || '-0000-4000-8000-000000000000' WHEN 4 THEN NULL ELSE source_job_id END AS job_id FROM posts)

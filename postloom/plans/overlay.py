@@ -79,7 +79,7 @@ def postings(spark: SparkSession, sf_dir: str, all_cores: bool = False) -> DataF
         "case when i % 7 = 0 then '' else concat('https://jobs.example.com/', i) end as url",
         "location",
         "contains(lower(location), 'remote') or i % 23 = 0 as remote",
-        f"""concat(substr(text, 1, element_at(array(150, 400, 1500), cast(i % 3 as int) + 1)), '\\n',
+        f"""concat(text, '\\n',
                    case when i % 4 = 0 then 'CRM tooling and CRM reporting for CRM users.\\n' else '' end,
                    'Requirements:\\n- ', {_pick(SKILLS, 'i % 20')}, ', ', {_pick(SKILLS, '(i * 7 + 3) % 20')}, '.\\n',
                    'Nice to have: ', {_pick(SKILLS, '(i * 3 + 11) % 20')}, '.\\n',
@@ -133,7 +133,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = bare.selectExpr(
         "page_id", "html",
         """concat('<p>Research &amp; growth &lt;now&gt; ',
-                  case when page_id % 15 = 0 then substr(words, 1, 150) else words end, '</p>') as body""")
+                  words, '</p>') as body""")
     node = "concat('{\"@type\": [\"Thing\", \"JobPosting\"], \"description\": \"', body, '\"}')"
     other = "'{\"@type\": \"Organization\", \"description\": \"not a posting\"}'"
     block = described.selectExpr(
@@ -145,10 +145,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "concat('https://jobs.example.com/', page_id) as url",
         """case when block is null then html
                 else concat(
-                  case when contains(html, '</body>') then split_part(html, '</body>', 1) else html end,
+                  case when contains(html, '</body>') then substr(html, 1, locate('</body>', html) - 1) else html end,
                   case when page_id % 27 = 0 then '<script type="application/ld+json">{broken</script>' else '' end,
                   '<script type="application/ld+json">', block, '</script>',
-                  case when contains(html, '</body>') then '</body></html>' else '' end) end as html""")
+                  case when contains(html, '</body>') then substr(html, locate('</body>', html)) else '' end) end as html""")
 
 
 # --- landed payloads ----------------------------------------------------------
@@ -166,7 +166,7 @@ _HTML = "concat('<p>', replace(description, '\\n', '</p><p>'), '</p> R&amp;amp;D
 
 
 def greenhouse_payloads(posts: DataFrame) -> DataFrame:
-    return _payload(posts.filter("source = 'greenhouse'"), _SLUG, f"""named_struct(
+    return _payload(posts, _SLUG, f"""named_struct(
         'id', cast(source_job_id as bigint), 'title', title,
         'location', case when location = '' then null else named_struct('name', location) end,
         'absolute_url', url, 'content', {_HTML},
@@ -175,7 +175,7 @@ def greenhouse_payloads(posts: DataFrame) -> DataFrame:
 
 
 def lever_payloads(posts: DataFrame) -> DataFrame:
-    return _payload(posts.filter("source = 'lever'"), _SLUG, f"""named_struct(
+    return _payload(posts, _SLUG, f"""named_struct(
         'id', source_job_id, 'text', title,
         'categories', named_struct('location', location, 'commitment', case when seq % 3 = 0 then 'Remote' else 'Full-time' end),
         'descriptionPlain', case when seq % 2 = 0 then description else '' end,
@@ -183,7 +183,7 @@ def lever_payloads(posts: DataFrame) -> DataFrame:
 
 
 def ashby_payloads(posts: DataFrame) -> DataFrame:
-    return _payload(posts.filter("source = 'ashby'"), _SLUG, f"""named_struct(
+    return _payload(posts, _SLUG, f"""named_struct(
         'id', case when seq % 3 = 0 then '' else source_job_id end,
         'jobId', case when seq % 3 = 0 and seq % 2 = 0 then concat('job-', source_job_id) end,
         'title', title, 'location', case when location <> '' then location end,
@@ -193,7 +193,7 @@ def ashby_payloads(posts: DataFrame) -> DataFrame:
 
 
 def adzuna_payloads(posts: DataFrame) -> DataFrame:
-    return _payload(posts.filter("source = 'adzuna'"), _SLUG, """named_struct(
+    return _payload(posts, _SLUG, """named_struct(
         'id', case when seq % 9 <> 0 then source_job_id end, 'title', title,
         'company', named_struct('display_name', company), 'location', named_struct('display_name', location),
         'redirect_url', url, 'description', description, 'created', concat(posted_at, 'T00:00:00Z'))""",

@@ -38,6 +38,11 @@ def day(c: Column) -> Column:
     return filled(F.substring(text(c), 1, 10))
 
 
+def landed(raw: DataFrame, *parts: str) -> DataFrame:
+    """Adds ``_file``, which orders payloads: ``parts``, then the landed file where it is known."""
+    return raw.withColumn("_file", F.concat_ws("|", *parts, *(["file"] if "file" in raw.columns else [])))
+
+
 def items(raw: DataFrame, schema: str, field: str | None, *keep: str) -> DataFrame:
     """One row per payload item with its position; the payload itself is dropped."""
     parsed = F.from_json("payload", schema)
@@ -66,43 +71,43 @@ def finish(df: DataFrame) -> DataFrame:
 def normalize_greenhouse(raw: DataFrame) -> DataFrame:
     """``(slug, payload)``."""
     place = text(F.col("j.location.name"))
-    return finish(items(raw, GREENHOUSE, "jobs", "slug").select(
+    return finish(items(landed(raw, "slug"), GREENHOUSE, "jobs", "slug", "_file").select(
         F.lit("greenhouse").alias("source"), F.coalesce(F.col("j.id").cast("string"), F.lit("None")).alias("source_job_id"),
         text(F.col("j.title")).alias("title"), F.col("slug").alias("company"), place.alias("location"),
         mentions_remote(place).alias("remote"), text(F.col("j.absolute_url")).alias("url"),
         strip_markup_board(F.col("j.content")).alias("description"), day(F.col("j.updated_at")).alias("posted_at"),
-        arrival(0, F.col("slug"), F.col("pos")).alias("arrival")))
+        arrival(0, F.col("_file"), F.col("pos")).alias("arrival")))
 
 
 def normalize_lever(raw: DataFrame) -> DataFrame:
     """``(slug, payload)``; the payload is a bare array."""
     place = text(F.col("j.categories.location"))
-    return finish(items(raw, LEVER, None, "slug").select(
+    return finish(items(landed(raw, "slug"), LEVER, None, "slug", "_file").select(
         F.lit("lever").alias("source"), F.coalesce("j.id", F.lit("None")).alias("source_job_id"),
         text(F.col("j.text")).alias("title"), F.col("slug").alias("company"), place.alias("location"),
         mentions_remote(F.concat(place, text(F.col("j.categories.commitment")))).alias("remote"),
         text(F.col("j.hostedUrl")).alias("url"),
         F.coalesce(filled(F.col("j.descriptionPlain")), strip_markup_plain(F.col("j.description"))).alias("description"),
-        arrival(1, F.col("slug"), F.col("pos")).alias("arrival")))
+        arrival(1, F.col("_file"), F.col("pos")).alias("arrival")))
 
 
 def normalize_ashby(raw: DataFrame) -> DataFrame:
     """S3: ``(slug, payload)``."""
     place = text(F.col("j.location"))
-    return finish(items(raw, ASHBY, "jobs", "slug").select(
+    return finish(items(landed(raw, "slug"), ASHBY, "jobs", "slug", "_file").select(
         F.lit("ashby").alias("source"),
         F.coalesce(filled(F.col("j.id")), filled(F.col("j.jobId")), F.col("j.title"), F.lit("None")).alias("source_job_id"),
         text(F.col("j.title")).alias("title"), F.col("slug").alias("company"), place.alias("location"),
         (F.coalesce("j.isRemote", F.lit(False)) | mentions_remote(place)).alias("remote"),
         text(F.coalesce(filled(F.col("j.jobUrl")), F.col("j.applyUrl"))).alias("url"),
         strip_markup_plain(F.coalesce(filled(F.col("j.descriptionHtml")), F.col("j.descriptionPlain"))).alias("description"),
-        day(F.col("j.publishedAt")).alias("posted_at"), arrival(2, F.col("slug"), F.col("pos")).alias("arrival")))
+        day(F.col("j.publishedAt")).alias("posted_at"), arrival(2, F.col("_file"), F.col("pos")).alias("arrival")))
 
 
 def normalize_aggregator(raw: DataFrame) -> DataFrame:
     """``(payload)``; company and place come with each item, texts are plain."""
     place = text(F.col("j.location.display_name"))
-    keyed = raw.withColumn("_file", F.sha1("payload"))
+    keyed = landed(raw.withColumn("_sha", F.sha1("payload")), "_sha")
     return finish(items(keyed, ADZUNA, "results", "_file").select(
         F.lit("adzuna").alias("source"), F.coalesce("j.id", F.lit("None")).alias("source_job_id"),
         text(F.col("j.title")).alias("title"), text(F.col("j.company.display_name")).alias("company"),

@@ -28,9 +28,16 @@ def register(name: str, normalizer: Normalizer) -> None:
 
 
 def read_payloads(spark: SparkSession, path: str, key: str = "slug") -> DataFrame:
-    """Landed payload files below ``path``; each file's folder name is its ``key``."""
+    """Landed payload files below ``path``: the folder's name as ``key``, the payload, and ``file``.
+
+    ``file`` orders the pulls of one board by landing time, then by path, and tells their rows apart.
+    """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return files.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+\z", 1).alias(key), F.col("value").alias("payload"))
+    # the metadata column holds the path as a URI
+    place = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    landed = F.lpad(F.unix_millis("_metadata.file_modification_time").cast("string"), 15, "0")
+    return files.select(F.regexp_extract(place, r"([^/]+)/[^/]+\z", 1).alias(key), F.col("value").alias("payload"),
+                        F.concat_ws(" ", landed, place).alias("file"))
 
 
 def union_sources(raw: Mapping[str, DataFrame]) -> DataFrame:
@@ -42,12 +49,15 @@ def union_sources(raw: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """``.txt`` and ``.md`` résumés; bytes that are no UTF-8 are ignored."""
+    """``.txt`` and ``.md`` résumés; bytes that are no UTF-8 are ignored.
+
+    A candidate's id is the file's path below ``path``, so that equal names in two folders, or with two endings, stay apart.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(
         F.lower("path").rlike(r"\.(txt|md)\z"))
     # invalid bytes become the replacement character, which is then dropped
     decoded = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit(chr(0xFFFD)), F.lit(""))
-    return files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+\z", 1).alias("candidate_id"), decoded.alias("text"))
+    return files.select(F.substring_index("path", path.split(":", 1)[-1].rstrip("/") + "/", -1).alias("candidate_id"), decoded.alias("text"))
 
 
 def with_start(postings: DataFrame) -> DataFrame:

@@ -24,8 +24,8 @@ HEADER_WORDS = [
 HOST = "https://github.com/"
 
 
-def normalize_tracker_feed(raw: DataFrame, cap: int = lookups.TRACKER_CAP) -> DataFrame:
-    """``(repo, payload)``; the newest ``cap`` active listings of each feed.
+def normalize_tracker_feed(raw: DataFrame, cap: int | None = None) -> DataFrame:
+    """``(repo, payload)``; the active listings of each feed, newest first; only ``cap`` of them if given.
 
     A feed is one row, so choosing its head is an array sort inside the row. Equal
     dates keep the feed's order.
@@ -34,7 +34,7 @@ def normalize_tracker_feed(raw: DataFrame, cap: int = lookups.TRACKER_CAP) -> Da
     indexed = F.transform(parsed, lambda x, i: F.struct((-F.coalesce(x["date_posted"], F.lit(0.0))).alias("neg"), i.alias("pos"), x.alias("x")))
     active = F.filter(indexed, lambda s: F.coalesce(s["x"]["active"] & s["x"]["is_visible"], F.lit(False)))
     slim = F.transform(active, lambda s: F.struct(s["neg"], s["pos"]))
-    order = F.slice(F.sort_array(slim), 1, cap)
+    order = F.sort_array(slim) if cap is None else F.slice(F.sort_array(slim), 1, cap)
     kept = bind(parsed, lambda xs: F.transform(order, lambda s: F.struct(s["pos"].alias("pos"), F.get(xs, s["pos"]).alias("x"))))
     rows = unnest(raw, kept, "repo")
     company, title = text(F.col("x.company_name")), text(F.col("x.title"))
@@ -106,7 +106,7 @@ _COLUMNS = "struct<company:int,role:int,location:int,link:int,date:int>"
 _ROW = "struct<company:string,role:string,location:string,url:string,year:int>"
 
 
-def _step(cap: int):
+def _step(cap: int | None):
     """Carries header columns and the last company from line to line, as a list is read."""
     def step(acc: Column, line: Column) -> Column:
         row, cols = line["row"], acc["columns"]
@@ -122,7 +122,7 @@ def _step(cap: int):
         def state(columns: Column, last: Column, kept: Column) -> Column:
             return F.struct(columns.alias("columns"), last.alias("last"), kept.alias("kept"))
 
-        return (F.when(F.size(acc["kept"]) >= cap, acc)
+        return (F.when(F.lit(False) if cap is None else F.size(acc["kept"]) >= cap, acc)
                 .when(~line["piped"], state(F.lit(None).cast(_COLUMNS), acc["last"], acc["kept"]))
                 .when(F.size(row["cells"]) < 3, acc)
                 .when(cols.isNull() & row["header"], state(row["columns"].cast(_COLUMNS), acc["last"], acc["kept"]))
@@ -132,11 +132,11 @@ def _step(cap: int):
     return step
 
 
-def parse_tracker_table(raw: DataFrame, cap: int = lookups.TRACKER_CAP) -> DataFrame:
+def parse_tracker_table(raw: DataFrame, cap: int | None = None) -> DataFrame:
     """``(repo, path, branch, markdown)`` -> postings; ``path`` is null for a list's front page.
 
-    A document is one row and at most ``cap`` of its rows are kept, so the scan is a
-    fold inside the row with a bounded state.
+    A document is one row and its scan a fold inside the row; at most ``cap`` of its
+    entries are kept if that is given.
     """
     start = F.struct(F.lit(None).cast(_COLUMNS).alias("columns"), F.lit("").alias("last"),
                      F.array().cast(f"array<{_ROW}>").alias("kept"))
@@ -150,7 +150,7 @@ def parse_tracker_table(raw: DataFrame, cap: int = lookups.TRACKER_CAP) -> DataF
     company, role, place = F.col("r.company"), F.col("r.role"), F.col("r.location")
     return finish(rows.select(
         F.lit("github_repo").alias("source"),
-        F.substring(F.concat_ws(":", "label", company, role, place), 1, 200).alias("source_job_id"),
+        F.concat_ws(":", "label", company, role, place).alias("source_job_id"),
         role.alias("title"), company.alias("company"), place.alias("location"), mentions_remote(place).alias("remote"),
         F.coalesce(F.col("r.url"), F.col("page")).alias("url"),
         # fixed value: the summary sentence
