@@ -51,13 +51,13 @@ def union_sources(raw: Mapping[str, DataFrame]) -> DataFrame:
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """``.txt`` and ``.md`` résumés; bytes that are no UTF-8 are ignored.
 
-    A candidate's id is the file's path below ``path``, so that equal names in two folders, or with two endings, stay apart.
+    A candidate's id is the file's path below ``path`` without its ending, so that equal names in two folders stay apart.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(
         F.lower("path").rlike(r"\.(txt|md)\z"))
     # invalid bytes become the replacement character, which is then dropped
     decoded = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit(chr(0xFFFD)), F.lit(""))
-    return files.select(F.substring_index("path", path.split(":", 1)[-1].rstrip("/") + "/", -1).alias("candidate_id"), decoded.alias("text"))
+    return files.select(F.regexp_replace(F.substring_index("path", path.split(":", 1)[-1].rstrip("/") + "/", -1), r"\.[^./]+\z", "").alias("candidate_id"), decoded.alias("text"))
 
 
 def with_start(postings: DataFrame) -> DataFrame:
