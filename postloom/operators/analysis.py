@@ -91,14 +91,15 @@ def posting_keywords(a: Analysis) -> DataFrame:
 
 
 def _meet(left: DataFrame, right: DataFrame, key: str, small: bool) -> DataFrame:
-    """Equi-join on ``key`` for postings wanted by the candidate's profile.
+    """Equi-join on the profile and ``key``: only postings that the candidate's profile wants meet the candidate.
 
     A checked small candidate side is broadcast. Otherwise hot keys are salted.
     """
-    wanted = F.array_contains("profiles", F.col("profile_id"))
+    left = left.withColumn("profile_id", F.explode("profiles")).drop("profiles")
+    both = ["profile_id", key]
     if small:
-        return left.join(F.broadcast(right), key).filter(wanted)
-    return salted_join(left, right, key, "inner", hot_keys(left, key), F.col("posting_id")).filter(wanted)
+        return left.join(F.broadcast(right), both)
+    return salted_join(left, right, both, "inner", hot_keys(left, both), F.col("posting_id"))
 
 
 def pairs(a: Analysis) -> DataFrame:

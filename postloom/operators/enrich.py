@@ -95,7 +95,7 @@ def enrich_thin(postings: DataFrame, pages: DataFrame | None = None, boards: Dat
 
     if boards is not None:
         key = board_url_keys(F.col("url"))
-        keyed = poor.withColumn("_board", F.concat_ws("|", key["kind"], key["board"], key["job_id"]))
+        keyed = poor.withColumn("_board", F.nullif(F.concat_ws("|", key["kind"], key["board"], key["job_id"]), F.lit("")))
         asked = boards.select(F.concat_ws("|", "kind", "board", "job_id").alias("_board"), "board_text")
         poor = salted_join(keyed, asked, "_board", "left", hot_keys(keyed, "_board"), F.col("seq")).drop("_board")
         poor = poor.withColumn("board_text", F.when(F.length("board_text") > lookups.BOARD_MIN_CHARS, F.col("board_text")))

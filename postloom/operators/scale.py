@@ -1,7 +1,7 @@
 """Guards for size and skew, used wherever a key or a side may grow with the data."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000      # a key with this many rows is split over salts
@@ -9,30 +9,43 @@ SALTS = 64
 BROADCAST_CHARS = 4_000_000   # total text that a broadcast side may be derived from
 
 
-def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least ``rows`` rows: at most ``count(df) / rows`` of them."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= rows).select(key)
+Key = str | list[str]
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, hot: DataFrame | None,
+def hot_share(spark: SparkSession, total: int) -> int:
+    """Rows from which a key counts as hot among ``total``: an eighth of a shuffle partition's share.
+
+    At most eight keys a shuffle partition can be that large, whatever the size of the input.
+    """
+    return max(1, total // (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def hot_keys(df: DataFrame, key: Key, rows: int = HOT_ROWS) -> DataFrame:
+    """Keys (a column or several) with at least ``rows`` rows: at most ``count(df) / rows`` of them."""
+    keys = [key] if isinstance(key, str) else key
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= rows).select(*keys)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: Key, how: str, hot: DataFrame | None,
                 spread: Column, salts: int = SALTS) -> DataFrame:
-    """Equi-join on ``key`` that spreads the left rows of hot keys over ``salts`` tasks.
+    """Equi-join on ``key`` (a column or several) that spreads the left rows of hot keys over ``salts`` tasks.
 
     ``hot`` comes from :func:`hot_keys`, so it is small by construction and may be
     broadcast. The right rows of a hot key are repeated once per salt, all others
     stay single. The result is that of the plain join. ``hot`` is None when the input
     is known to be too small to hold a hot key.
     """
+    keys = [key] if isinstance(key, str) else key
     if hot is None:
-        return left.join(right, key, how)
-    flag = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
-    spread_left = left.join(flag, key, "left").withColumn(
+        return left.join(right, keys, how)
+    flag = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    spread_left = left.join(flag, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     ).drop("_hot")
-    repeated = right.join(flag, key, "left").withColumn(
+    repeated = right.join(flag, keys, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
                            .otherwise(F.array(F.lit(0))))).drop("_hot")
-    return spread_left.join(repeated, [key, "_salt"], how).drop("_salt")
+    return spread_left.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def fits_broadcast(df: DataFrame, text_column: str, limit: int = BROADCAST_CHARS) -> bool:
