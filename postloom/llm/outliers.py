@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.common import COUNTS, STATISTICS, statistics, with_counts
+from postloom.operators.scale import hot_keys, hot_share, salted_join
 from postloom.session import cut_lineage
 
 MIN_ROWS = 200
@@ -48,18 +49,26 @@ def _statistics(counts: DataFrame, keep: list[str]) -> DataFrame:
     return counts.mapInArrow(run, ", ".join([*(f"{c} {k}" for c, k in kinds.items()), *(f"{x} double" for x in X)]))
 
 
-def _pooled(rows: DataFrame, min_rows: int) -> DataFrame:
-    """Names the pool of each (lang, source): the pair, the language, or all. One row a pair, so it stays small."""
-    own = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    return (own.join(own.groupBy("lang").agg(F.sum("n").alias("nl")).withColumnRenamed("lang", "l2"),
-                     F.col("lang").eqNullSafe(F.col("l2")))
-            .select("lang", "source", "n", "nl"))
+def _group() -> Column:
+    """Language and source as one key that is never null: a null is a field left out."""
+    return F.to_json(F.struct("lang", "source"))
 
 
-def _pool_name(min_rows: int) -> Column:
-    quote = lambda c: F.coalesce(F.to_json(F.struct(c)), F.lit("null"))
-    return (F.when(F.col("n") >= min_rows, F.concat(F.lit("s"), quote("lang"), quote("source")))
-            .when(F.col("nl") >= min_rows, F.concat(F.lit("l"), quote("lang"))).otherwise(F.lit("*")))
+def _pools(counts: DataFrame, min_rows: int) -> DataFrame:
+    """group, pool, members: the pool of each (lang, source) - the pair, the language, or all - and that pool's rows."""
+    own = counts.groupBy(_group().alias("group"), "lang").agg(F.count(F.lit(1)).alias("n"))
+    lang = F.coalesce(F.to_json(F.struct("lang")), F.lit("null"))
+    by_lang = own.groupBy(lang.alias("of_lang")).agg(F.sum("n").alias("nl"))
+    pool = (F.when(F.col("n") >= min_rows, F.concat(F.lit("s"), F.col("group")))
+            .when(F.col("nl") >= min_rows, F.concat(F.lit("l"), F.col("of_lang"))).otherwise(F.lit("*")))
+    named = own.withColumn("of_lang", lang).join(by_lang, "of_lang").select("group", "n", pool.alias("pool"))
+    return named.join(named.groupBy("pool").agg(F.sum("n").alias("members")), "pool").select("group", "pool", "members")
+
+
+def _by_pool(rows: DataFrame, right: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on the pool; the rows of a hot pool are spread over salts by their statistics and id."""
+    by = [c for c in ("doc_id", *X) if c in rows.columns]
+    return salted_join(rows, right, "pool", how, hot, F.xxhash64(*by))
 
 
 def _whiten(cov: np.ndarray) -> list[float]:
@@ -74,10 +83,10 @@ def _whiten(cov: np.ndarray) -> list[float]:
     return [float(v) for v in (np.linalg.inv(np.linalg.cholesky(r)) / spread).ravel()]
 
 
-def _distance(data: DataFrame, params: DataFrame, keep: list[str]) -> DataFrame:
+def _distance(data: DataFrame, params: DataFrame, hot: DataFrame, keep: list[str], how: str = "inner") -> DataFrame:
     """Adds ``d``: the Mahalanobis distance to the row's pool. Parameters: one row a pool, with mean and factor."""
     d = STATISTICS
-    joined = data.join(params.withColumnRenamed("pool", "_pool"), F.col("pool") == F.col("_pool"))
+    joined = _by_pool(data, params, hot, how)
     z = [sum(((F.col(X[j]) - F.col("mean")[j]) * F.col("factor")[i * d + j] for j in range(i + 1)), F.lit(0.0))
          for i in range(d)]
     return joined.select(*keep, F.sqrt(sum((v * v for v in z), F.lit(0.0))).alias("d"))
@@ -135,26 +144,22 @@ def rule_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, cutoff: float = CUT
     """doc_id, n_words, the four base counts, base_failed, kept, distance (null where no estimate applies)."""
     counts = cut_lineage(with_counts(docs.select("doc_id", "lang", "source", "text"), ("doc_id", "lang", "source")),
                          "rule-counts")
-    keep = ["doc_id", "lang", "source", *COUNTS[:5]]
-    rows = _statistics(counts, keep)
-    sizes = (_pooled(counts, min_rows).select(F.col("lang").alias("_l"), F.col("source").alias("_s"),
-                                             _pool_name(min_rows).alias("pool"), "n"))
-    members = sizes.groupBy("pool").agg(F.sum("n").alias("members")).withColumnRenamed("pool", "_p")
-    sizes = sizes.join(members, F.col("pool") == F.col("_p")).select("_l", "_s", "pool", "members")
-    data = cut_lineage(rows.join(sizes, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")),
-                                 "left").select(*keep, "pool", "members", *X), "rule-statistics")
+    spark, keep = docs.sparkSession, ["doc_id", *COUNTS[:5]]
+    rows = _statistics(counts.withColumn("group", _group()), [*keep, "group"])
+    pools = cut_lineage(_pools(counts, min_rows), "rule-pools")
+    limit = hot_share(spark, counts.count())
+    wide = cut_lineage(hot_keys(counts.select(_group().alias("group")), "group", limit), "rule-hot-groups")
+    data = cut_lineage(salted_join(rows, pools, "group", "inner", wide, F.xxhash64("doc_id", *X)).drop("group"), "rule-statistics")
+    hot = pools.filter(F.col("members") >= limit).select("pool").distinct()
     # only plausible rows take part in an estimate: those with the words that the base rule asks for
-    usable = data.filter((F.col("members") >= min_rows) & ~base_failed()).select("pool", *X)
+    usable = data.filter((F.col("members") >= min_rows) & ~base_failed()).select("doc_id", "pool", *X)
     params, scale = cut_lineage(_start(usable), "rule-start"), _consistency(h)
     for _ in range(steps):
-        near = _distance(usable, params, ["pool", *X])
-        limit = near.groupBy("pool").agg(F.percentile_approx("d", h, 2000).alias("limit")).withColumnRenamed("pool", "_q")
-        inner = near.join(limit, F.col("pool") == F.col("_q")).filter("d <= limit").select("pool", *X)
+        near = _distance(usable, params, hot, ["doc_id", "pool", *X])
+        edge = near.groupBy("pool").agg(F.percentile_approx("d", h, 2000).alias("edge"))
+        inner = _by_pool(near, edge, hot).filter("d <= edge").select("pool", *X)
         params = cut_lineage(_estimate(inner, scale), "rule-step")
-    judged = _distance(data.withColumn("pool", F.coalesce("pool", F.lit("*"))),
-                       data.select("pool").distinct().join(params.withColumnRenamed("pool", "_r"),
-                                                           F.col("pool") == F.col("_r"), "left")
-                       .select("pool", "mean", "factor"), [*keep])
+    judged = _distance(data, params, hot, keep, "left")
     failed = base_failed()
     return judged.select("doc_id", *COUNTS[:5], failed.alias("base_failed"),
                          (~failed & (F.coalesce(F.col("d"), F.lit(0.0)) <= cutoff)).alias("kept"),
