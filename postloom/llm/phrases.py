@@ -224,8 +224,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = cut_lineage(keyed.join(found, same).select("rid", "doc_id", "text", "hits"), "phrase-texts")
 
     windows = cut_lineage(_windows(texts), "phrase-windows")
-    firsts = (windows.groupBy(F.col("w1").alias("_w1"), F.col("w2").alias("_w2"))
-              .agg(F.min(F.struct("doc_id", "start", "rid")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    # written, so that the join has a shuffle of its own, whose hot windows adaptive execution splits
+    firsts = cut_lineage(windows.groupBy(F.col("w1").alias("_w1"), F.col("w2").alias("_w2"))
+                         .agg(F.min(F.struct("doc_id", "start", "rid")).alias("first"), F.count(F.lit(1)).alias("n"))
+                         .filter("n > 1").drop("n"), "phrase-firsts")
     later = windows.join(firsts, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2")) & (
         F.struct("doc_id", "start") > F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))))
     needs = cut_lineage(later.select("rid", F.col("first.rid").alias("source"), F.floor(F.col("first.start") / CHUNK).cast("int")
