@@ -211,7 +211,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     reps = notes.join(groups.select("rep"), F.col("rid") == F.col("rep"), "left_semi")
     seeds = reps.select("rid", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select(
         F.col("s.seeds").alias("seed"), "rid", F.col("s.at").alias("at"))
-    recurring = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("seed").alias("_seed"))
+    # written, so that the joins have shuffles of their own, whose hot keys adaptive execution splits
+    recurring = cut_lineage(seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                            .select(F.col("seed").alias("_seed")), "phrase-recurring")
     hits = cut_lineage(seeds.join(recurring, F.col("seed") == F.col("_seed"), "left_semi").groupBy("rid")
                        .agg(F.collect_list("at").alias("hits")), "phrase-hits")
     found = cut_lineage(notes.select("rid", "doc_id", "th").join(hits, "rid")
@@ -224,7 +226,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = cut_lineage(keyed.join(found, same).select("rid", "doc_id", "text", "hits"), "phrase-texts")
 
     windows = cut_lineage(_windows(texts), "phrase-windows")
-    # written, so that the join has a shuffle of its own, whose hot windows adaptive execution splits
     firsts = cut_lineage(windows.groupBy(F.col("w1").alias("_w1"), F.col("w2").alias("_w2"))
                          .agg(F.min(F.struct("doc_id", "start", "rid")).alias("first"), F.count(F.lit(1)).alias("n"))
                          .filter("n > 1").drop("n"), "phrase-firsts")
