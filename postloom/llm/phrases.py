@@ -24,7 +24,9 @@ document, so the place of a window is (doc_id, start) and equal places don't rem
 """
 from __future__ import annotations
 
+import sys
 from hashlib import sha256
+from itertools import compress, repeat
 
 import ahocorasick
 import numpy as np
@@ -32,7 +34,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from postloom.llm.common import BATCH_ROWS, map_texts
 from postloom.session import cut_lineage
@@ -40,8 +41,10 @@ from postloom.session import cut_lineage
 WINDOW, SEED, BLOCK, CHUNK = 20, 8, 10, 64
 SHARD_WORDS = 400_000                  # words of a shard's documents, about
 BROADCAST_KEYS = 1_000_000             # keys of 16 bytes
+PART_BYTES = 1 << 18                   # bytes hashed at once, about; a longer word is hashed whole
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 EMPTY = sha256(b"").hexdigest()
+KEPT = bytes([1, 0]) + bytes(254)     # 0 for a word that is gone, 1 for one that stays
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -50,55 +53,112 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def _rolled(h: np.ndarray, n: int, odd: np.uint64) -> np.ndarray:
-    """One hash for each run of ``n`` word hashes."""
-    out, size = h[:len(h) - n + 1].copy(), len(h) - n + 1
-    for j in range(1, n):
-        out = out * odd + h[j:j + size]
-    return _mixed(out)
-
-
-class _Words(dict):
-    """Hashes of words, made when first asked for."""
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = made = xxh64_intdigest(word)
-        return made
-
-
-def hashed(words: list[bytes], known: _Words) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def _power(odd: np.uint64, n: int) -> np.uint64:
+    return np.uint64(pow(int(odd), n, 1 << 64))
 
 
-def seed_places(h: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """The seed's position for each window, and the hash of the phrase at each position."""
+def _rolled(h: np.ndarray, n: int, odd: np.uint64) -> np.ndarray:
+    """One hash for each run of ``n`` word hashes, put together from runs of 1, 2, 4 and more."""
+    out, have, run, width = h[:0], 0, h, 1
+    while True:
+        if n & width:
+            k = len(h) - have - width + 1
+            out = run[:k] * _power(odd, have) + out[width:width + k] if have else run[:k]
+            have += width
+        if have == n:
+            return _mixed(out)
+        run = run[:-width] * _power(odd, width) + run[width:]
+        width *= 2
+
+
+_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64))
+_STEP = np.uint64(0xFF51AFD7ED558CCD)
+_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _table(which: str, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of the step, or of its inverse; the tables grow with the longest part that was hashed."""
+    if len(_powers[which]) < n:
+        odd = _STEP if which == "up" else np.uint64(pow(int(_STEP), -1, 1 << 64))
+        made = np.full(max(n, 2 * PART_BYTES), odd, np.uint64)
+        made[0] = 1
+        _powers[which] = np.cumprod(made)
+    return _powers[which]
+
+
+def word_hashes(line: bytes) -> np.ndarray:
+    """A hash for each word of ``line``, whose words are joined by one space: differences of running sums over its bytes."""
+    parts, at = [], 0
+    while at < len(line):
+        end = line.find(b" ", at + PART_BYTES)
+        end = len(line) if end < 0 else end
+        x = np.frombuffer(line, np.uint8, end - at, at)
+        gaps = np.flatnonzero(x == 32)
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(_BYTE[x] * _table("up", len(x))[:len(x)], out=sums[1:])
+        starts = np.concatenate([[0], gaps + 1])
+        parts.append(_mixed((sums[np.concatenate([gaps, [len(x)]])] - sums[starts]) * _table("down", len(x))[starts]))
+        at = end + 1
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def normal_lines(raw: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """For each text its number of words, and its words joined by one space."""
+    n, lines = np.zeros(len(raw), np.int64), []
+    for i, text in enumerate(raw):
+        words = text.split()
+        n[i] = len(words)
+        lines.append(b" ".join(words))
+    return n, lines
+
+
+def grouped(lines: list[bytes]) -> list[tuple[int, int]]:
+    """Ranges of consecutive lines of about PART_BYTES, which are hashed at once."""
+    out, begin, held = [], 0, 0
+    for i, line in enumerate(lines):
+        held += len(line)
+        if held >= PART_BYTES:
+            out.append((begin, i + 1))
+            begin, held = i + 1, 0
+    return out + [(begin, len(lines))] * (begin < len(lines))
+
+
+def seed_places(h: np.ndarray, n_words: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, ...]:
+    """For documents laid end to end: the windows that lie in one document, their seeds' places, and the phrases' hashes.
+
+    The seed is the first phrase of the smallest hash; both kinds of places count words from the first document on.
+    """
     phrase = _rolled(h, seed, _ODD[0])
-    view = np.lib.stride_tricks.sliding_window_view(phrase, window - seed + 1)
-    return view.argmin(axis=1) + np.arange(len(view)), phrase
+    low, place, width = phrase, np.arange(len(phrase)), 1
+    while width < window - seed + 1:
+        step = min(width, window - seed + 1 - width)
+        place = np.where(low[step:] < low[:-step], place[step:], place[:-step])
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    ends = np.repeat(np.cumsum(n_words), n_words)[:len(place)]
+    inside = np.flatnonzero(np.arange(window, window + len(place)) <= ends)
+    return inside, place[inside], phrase
 
 
 def _notes(docs: DataFrame) -> DataFrame:
     """Per row: id, hash of the text, words, digest of its words, and its seeds (hash, position)."""
-    known = _Words()
-
     def work(raw: list[bytes]) -> dict[str, pa.Array]:
-        n, sha, seeds, at = [], [], [], []
-        for text in raw:
-            words = text.split()
-            n.append(len(words))
-            sha.append(sha256(b" ".join(words)).hexdigest())
-            if len(words) < WINDOW:
-                seeds.append(np.zeros(0, np.int64))
-                at.append(np.zeros(0, np.int32))
-                continue
-            place, phrase = seed_places(hashed(words, known))
-            place = np.unique(place)
-            seeds.append(phrase[place].view(np.int64))
-            at.append(place.astype(np.int32))
-        ends = np.cumsum([0, *map(len, seeds)]).astype(np.int32)
+        n, lines = normal_lines(raw)
+        seeds, at, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [0]
+        for a, b in grouped(lines):
+            if n[a:b].sum() >= WINDOW:
+                _, place, phrase = seed_places(word_hashes(b" ".join(filter(None, lines[a:b]))), n[a:b])
+                place = place[np.diff(place, prepend=-1) > 0]
+                begins = np.cumsum(n[a:b]) - n[a:b]
+                row = np.repeat(np.arange(b - a), n[a:b])[place]
+                seeds.append(phrase[place].view(np.int64))
+                at.append((place - begins[row]).astype(np.int32))
+                held += np.bincount(row, minlength=b - a).tolist()
+            else:
+                held += [0] * (b - a)
+        ends = pa.array(np.cumsum(held).astype(np.int32))
         nested = lambda parts: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts)))
-        return {"n_words": pa.array(n, pa.int64()), "sha": pa.array(sha, pa.string()),
+        return {"n_words": pa.array(n), "sha": pa.array([sha256(x).hexdigest() for x in lines], pa.string()),
                 "seeds": nested(seeds), "at": nested(at)}
 
     made = map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("th")),
@@ -108,42 +168,75 @@ def _notes(docs: DataFrame) -> DataFrame:
 
 def _windows(texts: DataFrame) -> DataFrame:
     """(w1, w2, doc_id, rid, start) of the windows whose seed recurs. ``texts``: rid, doc_id, text, hits."""
-    key, known = texts.schema["doc_id"].dataType.simpleString(), _Words()
+    key = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, BATCH_ROWS // 4):
                 part = batch.slice(begin, BATCH_ROWS // 4)
-                row, start, w1, w2 = [], [], [], []
-                for i, (text, hits) in enumerate(zip(part.column("text").cast(pa.binary()).to_pylist(),
-                                                     part.column("hits"), strict=True)):
-                    h = hashed(text.split(), known)
-                    place, _ = seed_places(h)
+                n, lines = normal_lines(part.column("text").cast(pa.binary()).to_pylist())
+                for a, b in grouped(lines):
+                    h, begins = word_hashes(b" ".join(lines[a:b])), np.cumsum(n[a:b]) - n[a:b]
+                    inside, place, _ = seed_places(h, n[a:b])
                     wanted = np.zeros(len(h), bool)
-                    wanted[hits.values.to_numpy(zero_copy_only=False)] = True
-                    at = np.flatnonzero(wanted[place])
-                    row.append(np.full(len(at), i))
-                    start.append(at)
-                    w1.append(_rolled(h, WINDOW, _ODD[0])[at])
-                    w2.append(_rolled(h, WINDOW, _ODD[1])[at] >> np.uint64(32))
-                row = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(w1).view(np.int64)), pa.array(np.concatenate(w2).astype(np.uint32).view(np.int32)),
-                     part.column("doc_id").take(row), part.column("rid").take(row), pa.array(np.concatenate(start).astype(np.int32))],
-                    names=["w1", "w2", "doc_id", "rid", "start"])
+                    for i in range(a, b):
+                        wanted[part.column("hits")[i].values.to_numpy(zero_copy_only=False) + begins[i - a]] = True
+                    at = inside[wanted[place]]
+                    row = np.repeat(np.arange(b - a), n[a:b])[at]
+                    w1, w2 = (_rolled(h, WINDOW, odd)[at] for odd in _ODD)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(w1.view(np.int64)), pa.array((w2 >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                         part.column("doc_id").take(pa.array(row + a)), part.column("rid").take(pa.array(row + a)),
+                         pa.array((at - begins[row]).astype(np.int32))],
+                        names=["w1", "w2", "doc_id", "rid", "start"])
 
     return texts.select("rid", "doc_id", "text", "hits").mapInArrow(run, f"w1 long, w2 int, doc_id {key}, rid long, start int")
 
 
+def _passages(texts: DataFrame) -> DataFrame:
+    """(_source, doc_id, _chunk, text): the wanted passages of each text. ``texts``: rid, doc_id, text, chunks."""
+    key = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, BATCH_ROWS // 4):
+                part = batch.slice(begin, BATCH_ROWS // 4)
+                row, chunk, made = [], [], []
+                for i, text in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
+                    words = text.split()
+                    for c in part.column("chunks")[i].as_py():
+                        row.append(i)
+                        chunk.append(c)
+                        made.append(b" ".join(words[c * CHUNK:c * CHUNK + CHUNK + WINDOW - 1]))
+                row = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("rid").take(row), part.column("doc_id").take(row), pa.array(chunk, pa.int32()),
+                     pa.array(made, pa.binary()).cast(pa.string())], names=["_source", "doc_id", "_chunk", "text"])
+
+    return texts.select("rid", "doc_id", "text", "chunks").mapInArrow(run, f"_source long, doc_id {key}, _chunk int, text string")
+
+
 class Automaton:
-    """Passages compiled for exact look-up. A passage is (place, first word's number, words); places compare."""
-    def __init__(self, passages: list[tuple[tuple, int, list[str]]]):
-        self.number: dict[str, int] = {}
+    """Passages compiled for exact look-up. A passage is (place, first word's number, words); places compare.
+
+    A word becomes one character, so that a text is a string of its word numbers; with more words than there are
+    characters it is a tuple of numbers, which gives the same matches more slowly.
+    """
+    def __init__(self, passages: list[tuple[tuple, int, list[bytes]]]):
+        self.number: dict[bytes, int | str] = {}
+        for _, _, words in passages:
+            for w in words:
+                if w not in self.number:
+                    self.number[w] = len(self.number) + 1
+        short = len(self.number) <= sys.maxunicode and ahocorasick.unicode
+        if short:
+            self.number = {w: chr(n) for w, n in self.number.items()}
+        self.join, self.other = ("".join, chr(0)) if short else (tuple, 0)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING if short else ahocorasick.KEY_SEQUENCE)
         self.passages = []
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        blocks: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        blocks: dict[str | tuple[int, ...], list[tuple[int, int]]] = {}
         for place, first, words in passages:
-            ids = tuple(self.number.setdefault(w, len(self.number) + 1) for w in words)
+            ids = self.join(map(self.number.__getitem__, words))
             for at in range(0, len(ids) - BLOCK + 1, BLOCK):
                 blocks.setdefault(ids[at:at + BLOCK], []).append((len(self.passages), at))
             self.passages.append((place, first, ids))
@@ -153,28 +246,34 @@ class Automaton:
             self.machine.make_automaton()
         self.empty = not blocks
 
-    def covered(self, place: tuple, words: list[str]) -> bytearray:
+    def covered(self, place: tuple, words: list[bytes]) -> bytearray:
         """1 for each word of a document at ``place`` that lies in a window found earlier."""
-        ids, out = tuple(self.number.get(w, 0) for w in words), bytearray(len(words))
+        ids, out = self.join(map(self.number.get, words, repeat(self.other))), bytearray(len(words))
         if self.empty or len(words) < WINDOW:
             return out
+        reach: dict[tuple[int, int], int] = {}     # how far a passage was followed at a shift
         for end, where in self.machine.iter(ids):
             p = end - BLOCK + 1
             for index, at in where:
                 other, first, passage = self.passages[index]
-                if other > place or (other == place and first + at >= p):
+                shift = p - at                     # passage position + shift = document position
+                if other > place or (other == place and first + at >= p) or reach.get((index, shift), 0) > p:
                     continue
-                low, high = max(0, p - at), min(len(ids), p - at + len(passage))
+                low, high = max(0, shift), min(len(ids), shift + len(passage))
                 if out.find(0, low, high) < 0:
                     continue                       # all that this passage can reach is covered
-                shift = p - at                     # passage position + shift = document position
                 if ids[low:high] != passage[low - shift:high - shift]:
-                    a, b = p, p + BLOCK
+                    a, b = p, end + 1
+                    while a - BLOCK >= low and ids[a - BLOCK:a] == passage[a - BLOCK - shift:a - shift]:
+                        a -= BLOCK
                     while a > low and ids[a - 1] == passage[a - 1 - shift]:
                         a -= 1
+                    while b + BLOCK <= high and ids[b:b + BLOCK] == passage[b - shift:b + BLOCK - shift]:
+                        b += BLOCK
                     while b < high and ids[b] == passage[b - shift]:
                         b += 1
                     low, high = a, b
+                reach[index, shift] = high
                 if high - low >= WINDOW:
                     out[low:high] = b"\1" * (high - low)
         return out
@@ -186,16 +285,16 @@ def _order(doc_id) -> tuple:
 
 def _shard(frame: pd.DataFrame) -> pd.DataFrame:
     """One shard: rows of passages (chunk >= 0) and of documents (chunk -1)."""
-    passages = [(_order(r.doc_id), r.chunk * CHUNK, r.text.split(" ")) for r in frame[frame["chunk"] >= 0].itertuples()]
+    passages = [(_order(r.doc_id), r.chunk * CHUNK, r.text.encode("utf-8").split(b" ")) for r in frame[frame["chunk"] >= 0].itertuples()]
     machine = Automaton(passages)
     out = {"rid": [], "n_removed": [], "kept_sha256": []}
     for r in frame[frame["chunk"] < 0].drop_duplicates("rid").itertuples():
-        words = [w.decode("utf-8") for w in r.text.encode("utf-8").split()]
+        words = r.text.encode("utf-8").split()
         gone = machine.covered(_order(r.doc_id), words)
-        kept = " ".join(w for w, x in zip(words, gone, strict=True) if not x)
+        kept = b" ".join(compress(words, gone.translate(KEPT)))
         out["rid"].append(r.rid)
         out["n_removed"].append(sum(gone))
-        out["kept_sha256"].append(sha256(kept.encode("utf-8")).hexdigest())
+        out["kept_sha256"].append(sha256(kept).hexdigest())
     return pd.DataFrame(out)
 
 
@@ -239,11 +338,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     shard = F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")
 
     wanted = needs.groupBy(F.col("source").alias("_source")).agg(F.collect_set("chunk").alias("chunks"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    passages = (texts.join(wanted, F.col("rid") == F.col("_source")).dropDuplicates(["rid"])
-                .select("rid", "doc_id", words.alias("words"), F.explode("chunks").alias("chunk"))
-                .select(F.col("rid").alias("_source"), "doc_id", F.col("chunk").alias("_chunk"),
-                        F.array_join(F.slice("words", F.col("chunk") * CHUNK + 1, F.lit(CHUNK + WINDOW - 1)), " ").alias("text")))
+    passages = _passages(texts.join(wanted, F.col("rid") == F.col("_source")).dropDuplicates(["rid"]))
     sent = (needs.select(shard.alias("shard"), "source", "chunk").distinct()
             .join(passages, (F.col("source") == F.col("_source")) & (F.col("chunk") == F.col("_chunk")))
             .select("shard", "chunk", F.lit(None).cast("long").alias("rid"), "doc_id", "text"))
