@@ -27,6 +27,7 @@ from postloom.llm.common import BATCH_ROWS
 VOCABULARY = "word_bpe_49k.json"
 END, FULL = 1, 2048
 KNOWN_WORDS = 400_000               # words whose ids a worker keeps, in each of two generations
+GROUP = 200                         # words that are encoded as one text
 _TAIL = b".,!?;:#*$%&|"             # punctuation that is peeled off a word that ends in a letter
 
 
@@ -39,6 +40,11 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)     # ids that end a word
+        if suffix:
+            self.closes[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     @classmethod
     def get(cls, path: str) -> WordIds:
@@ -46,21 +52,34 @@ class WordIds:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in made]
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word. Words of ASCII letters are encoded many at a time and cut apart at the ids that end a word."""
+        plain = [w for w in words if w.isalpha()]
+        texts = [b" ".join(plain[i:i + GROUP]).decode("ascii") for i in range(0, len(plain), GROUP)]
+        made = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.array([i for ids in made for i in ids], "<u4")
+        ends = 4 * (np.flatnonzero(self.closes[flat]) + 1)
+        if len(ends) == len(plain) and (not plain or ends[-1] == 4 * len(flat)):
+            raw, cuts = flat.tobytes(), ends.tolist()
+            out = {w: raw[a:b] for w, a, b in zip(plain, [0, *cuts], cuts)}
+            alone = [w for w in words if not w.isalpha()]
+        else:                            # a vocabulary whose ids don't show where words end
+            out, alone = {}, words
+        made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in alone], add_special_tokens=False)
+        return out | {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(alone, made, strict=True)}
 
     def learn(self, words: set[bytes]) -> None:
         """Makes sure that ``young`` knows all of ``words``."""
         if len(self.young) > KNOWN_WORDS:
             self.old, self.young = self.young, {}
         split, cores = {}, set()
-        for w in words:
-            if w in self.young:
-                continue
+        for w in words.difference(self.young):
             if w in self.old:
                 self.young[w] = self.old[w]
                 continue
+            if w.isalpha() and w.islower():
+                cores.add(w)
+                continue
             core = w.rstrip(_TAIL)
             # lower case A-Z only; a word that may hold a special token stays as it is
             if b"<" in w or not core or not (core[-1:].isalpha()):
@@ -70,7 +89,7 @@ class WordIds:
             split[w] = (core, tail)
             cores.update(x for x in (core, tail) if x)
         new = [c for c in cores if c not in self.young and c not in self.old]
-        ids = dict(zip(new, self._encode(new), strict=True))
+        ids = self._encode(new)
         get = lambda c: ids.get(c) or self.young.get(c) or self.old.get(c, b"")
         self.young.update((w, get(core) + get(tail) if tail else get(core)) for w, (core, tail) in split.items())
         self.young.update(ids)
