@@ -4,9 +4,10 @@ A template is a short licence notice. Its words and their positions form posting
 table of a few hundred rows, so it may be broadcast. One pass over the texts notes, for each file, the base phrases and
 the positions of template words other than the commonest, and whether each template's mandatory key phrases occur; files
 without such a word note nothing. From these notes come the document frequencies over all files, hence the IDF of every
-template word. A file looks up its RARE licence words of highest IDF; each occurrence meets the postings, the difference
-of positions says where the template would begin, and votes for the same beginning are added up by IDF. A template is
-found where its best beginning holds at least COVERAGE of the weight of its own looked-up words and its key phrases occur.
+template word. A file looks up the words of each template whose key phrases occur, so that several notices in one file
+don't share a number of words; each occurrence meets the postings, the difference of positions says where the template
+would begin, and votes for the same beginning are added up by IDF: the rare words decide. A template is found where its
+best beginning holds at least COVERAGE of the weight of the template's words.
 
 Only DataFrame functions are used. A file is one row until its few licence words are exploded; files meet nothing but the
 broadcast postings, and votes are grouped by file, so no licence, however common, gathers rows of other files.
@@ -25,7 +26,6 @@ from postloom.session import cut_lineage
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-RARE = 12                  # licence words of a file that are looked up
 COVERAGE = 0.7
 MOST_COMMON = 0.05         # words in more than this share of files aren't looked up
 
@@ -100,7 +100,7 @@ def _all(tests) -> Column:
     return out
 
 
-def scan(docs: DataFrame, templates: dict = TEMPLATES, rare: int = RARE, coverage: float = COVERAGE,
+def scan(docs: DataFrame, templates: dict = TEMPLATES, coverage: float = COVERAGE,
          most_common: float = MOST_COMMON) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, found (template, at, score) per file."""
     spark = docs.sparkSession
@@ -110,19 +110,13 @@ def scan(docs: DataFrame, templates: dict = TEMPLATES, rare: int = RARE, coverag
            .groupBy("word").agg(F.count(F.lit(1)).alias("df"))
            .select("word", F.log((F.lit(float(files)) + 1) / F.col("df")).alias("idf"), "df").filter(F.col("df") <= max(1.0, most_common * files)))
     weight = {r["word"]: r["idf"] for r in idf.collect()}          # at most one row for each template word
-    ranked = sorted(weight, key=lambda w: (-weight[w], w))
-    empty = F.array().cast("array<string>")
-    top = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in ranked]) if ranked else empty,
-                                    F.transform("hits", lambda h: h["w"])), 1, rare)
     postings = spark.createDataFrame([(w, t, i, float(weight[w])) for w, t, i in _postings(templates) if w in weight],
                                      "word string, template string, place long, idf double")
-    looked = (notes.filter(F.size("keys") > 0).select("file", "keys", top.alias("top"), F.explode("hits").alias("h"))
-              .filter(F.array_contains("top", F.col("h.w"))))
+    looked = notes.filter(F.size("keys") > 0).select("file", "keys", F.explode("hits").alias("h"))
     votes = (looked.join(F.broadcast(postings), F.col("h.w") == F.col("word"))
              .filter(F.array_contains("keys", F.col("template")))
              .groupBy("file", "template", (F.col("h.at") - F.col("place")).alias("at"))
              .agg(F.sum("idf").alias("vote")))
-    # a template can earn the weight of those of its words that this file looks up by their IDF rank
     whole = postings.groupBy("template").agg(F.sum("idf").alias("whole")).withColumnRenamed("template", "_t")
     best = (votes.groupBy("file", "template").agg(F.max(F.struct("vote", (-F.col("at")).alias("m"))).alias("b"))
             .join(F.broadcast(whole), F.col("template") == F.col("_t"))

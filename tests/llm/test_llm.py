@@ -226,6 +226,21 @@ def test_licenses(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_licenses_side_by_side(spark):
+    notice = {n: t for n, (t, _) in licenses.TEMPLATES.items()}
+    names = [("bsd", "isc"), ("mit", "bsd"), ("isc", "mpl", "unlicense"), ("mit", "bsd", "isc")]
+    rows = [(i, "\n\n".join(f"Notice {k}. {notice[n].capitalize()}: end." for k, n in enumerate(ns))) for i, ns in enumerate(names)]
+    more = ("Rights to modify or distribute the software and documentation files are subject to conditions. Provided that a person "
+            "obtaining a copy is permitted, the purpose of redistribution, its source, binary forms and associated fee charge is "
+            "encumbered under version 2 of the affero, lesser, mozilla, gnu or apache terms, cc, public domain, sa, nc, nd. ")
+    rows += [(10, f"{more} {notice['bsd']} {more}"), (11, f"{more} {more} {notice['mit']}"), (12, more)]
+    rows += [(i, "plain words") for i in range(100, 400)]
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, rows)).collect()}
+    for i, ns in enumerate(names):
+        assert got[i]["labels"] == ",".join(sorted(ns)) and got[i]["score"] == pytest.approx(1.0)
+    assert [got[i]["labels"] for i in (10, 11, 12)] == ["bsd", "mit", ""]
+
+
 def test_pairing_lowers_the_weight_of_identity_terms(spark):
     rng = random.Random(5)
     filler = lambda: " ".join(rng.choice(["sun", "tree", "road", "lamp", "book"]) for _ in range(8))
