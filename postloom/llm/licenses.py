@@ -2,12 +2,13 @@
 
 A template is a short licence notice. Its words and their positions form postings (word -> template, position): a fixed
 table of a few hundred rows, so it may be broadcast. One pass over the texts notes, for each file, the base phrases and
-the positions of template words other than the commonest, and whether each template's mandatory key phrases occur; files
-without such a word note nothing. From these notes come the document frequencies over all files, hence the IDF of every
-template word. A file looks up the words of each template whose key phrases occur, so that several notices in one file
-don't share a number of words; each occurrence meets the postings, the difference of positions says where the template
-would begin, and votes for the same beginning are added up by IDF: the rare words decide. A template is found where its
-best beginning holds at least COVERAGE of the weight of the template's words.
+the positions of all template words but a few of the plainest prose words (COMMON), and whether each template's
+mandatory key phrases occur; files without such a word note nothing. From these notes come the document frequencies over
+all files, hence the IDF of every template word: above 0 however frequent a word is, and that of a single file for a
+word found in none. A file looks up the words of each template whose key phrases occur, so that several notices in one
+file don't share a number of words; each occurrence meets the postings, the difference of positions says where the
+template would begin, and votes for the same beginning are added up by IDF: the rare words decide. A template is found
+where its best beginning holds at least COVERAGE of the weight of the template's words.
 
 Only DataFrame functions are used. A file is one row until its few licence words are exploded; files meet nothing but the
 broadcast postings, and votes are grouped by file, so no licence, however common, gathers rows of other files.
@@ -17,6 +18,8 @@ an empty table gives an empty result.
 """
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 COVERAGE = 0.7
-MOST_COMMON = 0.05         # words in more than this share of files aren't looked up
+LEAST = 1e-6               # weight of a word, however many files hold it
 
 # Short notices of public licences and the key phrases that must occur; a parameter of the operator.
 TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -100,17 +103,16 @@ def _all(tests) -> Column:
     return out
 
 
-def scan(docs: DataFrame, templates: dict = TEMPLATES, coverage: float = COVERAGE,
-         most_common: float = MOST_COMMON) -> DataFrame:
+def scan(docs: DataFrame, templates: dict = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, found (template, at, score) per file."""
     spark = docs.sparkSession
     notes = cut_lineage(_notes(docs.select("doc_id", "text"), templates), "licence-notes")
     files = notes.count()
-    idf = (notes.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("word"))
-           .groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-           .select("word", F.log((F.lit(float(files)) + 1) / F.col("df")).alias("idf"), "df").filter(F.col("df") <= max(1.0, most_common * files)))
-    weight = {r["word"]: r["idf"] for r in idf.collect()}          # at most one row for each template word
-    postings = spark.createDataFrame([(w, t, i, float(weight[w])) for w, t, i in _postings(templates) if w in weight],
+    held = (notes.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("word"))
+            .groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    df = {r["word"]: r["df"] for r in held.collect()}              # at most one row for each template word
+    idf = lambda w: max(LEAST, log((files + 1) / df.get(w, 1)))
+    postings = spark.createDataFrame([(w, t, i, idf(w)) for w, t, i in _postings(templates)],
                                      "word string, template string, place long, idf double")
     looked = notes.filter(F.size("keys") > 0).select("file", "keys", F.explode("hits").alias("h"))
     votes = (looked.join(F.broadcast(postings), F.col("h.w") == F.col("word"))

@@ -241,6 +241,17 @@ def test_licenses_side_by_side(spark):
     assert [got[i]["labels"] for i in (10, 11, 12)] == ["bsd", "mit", ""]
 
 
+def test_licenses_however_frequent(spark):
+    bsd, mpl = licenses.TEMPLATES["bsd"][0], licenses.TEMPLATES["mpl"][0]
+    many = [(i, f"Note {i}. {bsd if i < 20 else mpl}: end." if i % 3 == 0 else "plain words") for i in range(60)]
+    three = [(1, f"x {bsd}"), (2, f"y {bsd} {mpl}"), (3, "plain words")]
+    for rows in (many, three, three[:1], [(i, t) for i, t in many if i % 3 == 0]):
+        want = {i: ",".join(n for n, t in (("bsd", bsd), ("mpl", mpl)) if t in text) for i, text in rows}
+        assert {r["doc_id"]: r["labels"] for r in licenses.scan(docs(spark, rows)).collect()} == want
+    # words that no file holds count against a template as well
+    assert licenses.scan(docs(spark, [(1, "redistribution and use in source and binary forms. conditions are met"), (2, "b")])).first()["labels"] == ""
+
+
 def test_pairing_lowers_the_weight_of_identity_terms(spark):
     rng = random.Random(5)
     filler = lambda: " ".join(rng.choice(["sun", "tree", "road", "lamp", "book"]) for _ in range(8))
