@@ -7,7 +7,9 @@ over the written statistics - a quantile sketch of the distances and sums of pro
 combined before it is shuffled, and a task only ever holds the parameters of groups, never their rows.
 
 A group with fewer than MIN_ROWS rows uses the estimate of its language, a language with fewer rows that of all rows; if
-even those are fewer, only the base rules decide. A null language or source is a group value like any other.
+even those are fewer, only the base rules decide. The estimate of a language is made from all of its rows, those of large
+groups too, and is only made where a small group needs it; likewise that of all rows. So a row is judged by one pool and
+takes part in the estimates of up to three. A null language or source is a group value like any other.
 
 Defined cases: a null text counts as empty (all counts zero, base_failed true); repeated rows are judged alike.
 """
@@ -54,15 +56,20 @@ def _group() -> Column:
     return F.to_json(F.struct("lang", "source"))
 
 
-def _pools(counts: DataFrame, min_rows: int) -> DataFrame:
-    """group, pool, members: the pool of each (lang, source) - the pair, the language, or all - and that pool's rows."""
-    own = counts.groupBy(_group().alias("group"), "lang").agg(F.count(F.lit(1)).alias("n"))
+def _pools(counts: DataFrame, min_rows: int, total: int) -> DataFrame:
+    """group, pool, into, n: of each (lang, source) the pool it is judged by - the pair, the language, or all -, the pools
+    whose estimates its rows take part in, and its rows."""
     lang = F.coalesce(F.to_json(F.struct("lang")), F.lit("null"))
-    by_lang = own.groupBy(lang.alias("of_lang")).agg(F.sum("n").alias("nl"))
-    pool = (F.when(F.col("n") >= min_rows, F.concat(F.lit("s"), F.col("group")))
-            .when(F.col("nl") >= min_rows, F.concat(F.lit("l"), F.col("of_lang"))).otherwise(F.lit("*")))
-    named = own.withColumn("of_lang", lang).join(by_lang, "of_lang").select("group", "n", pool.alias("pool"))
-    return named.join(named.groupBy("pool").agg(F.sum("n").alias("members")), "pool").select("group", "pool", "members")
+    own = cut_lineage(counts.groupBy(_group().alias("group"), lang.alias("of_lang")).agg(F.count(F.lit(1)).alias("n")), "rule-groups")
+    by_lang = own.groupBy("of_lang").agg(F.sum("n").alias("nl"), F.min("n").alias("least"))
+    fewest = by_lang.agg(F.min("nl")).first()[0] or 0
+    large, known = F.col("n") >= min_rows, F.col("nl") >= min_rows
+    source, language, every = F.concat(F.lit("s"), F.col("group")), F.concat(F.lit("l"), F.col("of_lang")), F.lit("*")
+    into = F.array(F.when(large, source), F.when(known & (F.col("least") < min_rows), language),
+                   F.when(F.lit(fewest < min_rows <= total), every))
+    return own.join(by_lang, "of_lang").select(
+        "group", F.when(large, source).when(known, language).otherwise(every).alias("pool"),
+        F.filter(into, lambda p: p.isNotNull()).alias("into"), "n")
 
 
 def _by_pool(rows: DataFrame, right: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
@@ -146,13 +153,16 @@ def rule_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, cutoff: float = CUT
                          "rule-counts")
     spark, keep = docs.sparkSession, ["doc_id", *COUNTS[:5]]
     rows = _statistics(counts.withColumn("group", _group()), [*keep, "group"])
-    pools = cut_lineage(_pools(counts, min_rows), "rule-pools")
-    limit = hot_share(spark, counts.count())
+    total = counts.count()
+    pools = cut_lineage(_pools(counts, min_rows, total), "rule-pools")
+    limit = hot_share(spark, total)
     wide = cut_lineage(hot_keys(counts.select(_group().alias("group")), "group", limit), "rule-hot-groups")
-    data = cut_lineage(salted_join(rows, pools, "group", "inner", wide, F.xxhash64("doc_id", *X)).drop("group"), "rule-statistics")
-    hot = pools.filter(F.col("members") >= limit).select("pool").distinct()
+    data = cut_lineage(salted_join(rows, pools.drop("n"), "group", "inner", wide, F.xxhash64("doc_id", *X)).drop("group"), "rule-statistics")
+    # a pool has more rows to estimate from than to judge, unless nothing is estimated
+    hot = (pools.select(F.explode("into").alias("pool"), "n").groupBy("pool").agg(F.sum("n").alias("members"))
+           .filter(F.col("members") >= limit).select("pool"))
     # only plausible rows take part in an estimate: those with the words that the base rule asks for
-    usable = data.filter((F.col("members") >= min_rows) & ~base_failed()).select("doc_id", "pool", *X)
+    usable = data.filter(~base_failed()).select("doc_id", F.explode("into").alias("pool"), *X)
     params, scale = cut_lineage(_start(usable), "rule-start"), _consistency(h)
     for _ in range(steps):
         near = _distance(usable, params, hot, ["doc_id", "pool", *X])

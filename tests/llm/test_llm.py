@@ -283,3 +283,20 @@ def test_rules_reject_outliers_and_keep_the_rest(spark):
     junk = [(1000 + i, " ".join(w + "###$$$" for w in clean[i][1].split())) for i in range(30)]
     got = {r["doc_id"]: r for r in outliers.rule_verdicts(docs(spark, clean + junk), min_rows=100).collect()}
     assert not any(got[i]["kept"] for i, _ in junk) and all(got[i]["kept"] or got[i]["base_failed"] for i, _ in clean)
+
+
+def test_rules_judge_rare_sources_by_their_language_and_by_all_rows(spark):
+    rng = random.Random(8)
+    words = lambda: [rng.choice(["lamp", "road", "sun", "tree", "book", "water", f"n{rng.randrange(900)}x"]) for _ in range(9)]
+    clean = lambda: ". ".join(" ".join(words()) for _ in range(rng.randrange(10, 40)))
+    junk = lambda: " ".join(w + "###$$$" for w in clean().split())
+    rows = [(i, clean(), "large") for i in range(400)] + [(1000 + i, junk() if i % 10 == 0 else clean(), "rare") for i in range(50)]
+    rows += [(2000 + i, junk() if i % 5 == 0 else clean(), "other") for i in range(20)]
+    table = docs(spark, rows).withColumn("lang", F.when(F.col("source") == "other", "xx").otherwise(F.col("lang")))
+    got = {r["doc_id"]: r for r in outliers.rule_verdicts(table, min_rows=100).collect()}
+    bad = {i for i, t, _ in rows if "###" in t}
+    assert len(bad) == 9 and all(r["distance"] is not None for r in got.values())
+    assert not any(got[i]["kept"] for i in bad) and all(r["kept"] or r["base_failed"] for i, r in got.items() if i not in bad)
+    # a source of its own is judged as it was without the others
+    alone = {r["doc_id"]: r["distance"] for r in outliers.rule_verdicts(table.filter("source = 'large'"), min_rows=100).collect()}
+    assert all(got[i]["distance"] == pytest.approx(d, rel=1e-6) for i, d in alone.items())
