@@ -7,9 +7,11 @@
 3. Counts per output shard: the slots of all shards are numbered 0 .. N-1, and a pseudorandom permutation assigns them to
    the sources' quotas. The counts of a shard are thus multinomial counts, conditioned on the quotas being met exactly
    (plain multinomial totals would miss the targets by their standard deviation, and could pass the limit of two).
-4. Draw number k of a source takes block perm(k mod blocks), where perm is a pseudorandom permutation of the source's block
-   indices for each pass over them. A source is drawn at most twice its blocks, so no block is taken more than twice.
-5. Draws and documents' pieces meet by an equi-join on (source, block).
+4. The counts number the draws: those of a source in the shards before, and then its slots within the shard. Draw number k
+   of a source takes block perm(k mod blocks), where perm is a pseudorandom permutation of the source's block indices for
+   each pass over them. A source is drawn at most twice its blocks, so no block is taken more than twice.
+5. Draws and documents' pieces meet by an equi-join on (source, block): ``sharded`` gives the words of every slot of every
+   shard, ``mix`` and ``mixed_documents`` add up how often the same draws take each block.
 
 The permutations are swap-or-not shuffles (Hoang, Morris and Rogaway, 2012), which permute any range 0 .. n-1 without a
 lookup table; keys come from xxhash64. Everything is a function of the rows and the seed, so reruns agree. Only DataFrame
@@ -107,25 +109,34 @@ def quotas(goals: DataFrame, block: int = BLOCK) -> DataFrame:
             .withColumn("all_draws", F.sum("draws").over(every)))
 
 
-def draws(quota: DataFrame, tasks: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """source, block, pass, shard, slot: one row for each block taken."""
+def slots(quota: DataFrame, tasks: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """source, first, blocks, shard, slot: one row for each slot, given to a source by the permutation of all slots."""
     parts = quota.select("source", "blocks", "draws", "first", "all_draws", F.explode(
         F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / CHUNK).cast("long"))).alias("_chunk")).filter("draws > 0")
     parts = parts.repartition(tasks, "source", "_chunk")     # a number given is kept by adaptive execution
     from_, to = F.col("_chunk") * CHUNK, F.least(F.col("_chunk") * CHUNK + CHUNK, F.col("draws")) - 1
     rows = parts.select("*", F.explode(F.sequence(from_, to)).alias("k")).select(
-        "source", "blocks", "all_draws", F.floor(F.col("k") / F.col("blocks")).cast("long").alias("pass"),
-        F.pmod("k", "blocks").alias("block"), (F.col("first") + F.col("k")).alias("_at"))
-    key = F.xxhash64("source", "pass")
-    rows = rows.select("source", "pass", permuted(F.col("block"), F.col("blocks"), key).alias("block"),
-                       permuted(F.col("_at"), F.col("all_draws"), F.lit(0).cast("long")).alias("_at"))
-    return rows.select("source", "block", "pass", F.floor(F.col("_at") / shard_slots).cast("long").alias("shard"),
+        "source", "first", "blocks", permuted(F.col("first") + F.col("k"), F.col("all_draws"), F.lit(0).cast("long")).alias("_at"))
+    return rows.select("source", "first", "blocks", F.floor(F.col("_at") / shard_slots).cast("long").alias("shard"),
                        F.pmod("_at", F.lit(shard_slots)).alias("slot"))
 
 
-def shard_counts(drawn: DataFrame) -> DataFrame:
-    """shard, source, n: the counts drawn for each output shard."""
-    return drawn.groupBy("shard", "source").agg(F.count(F.lit(1)).alias("n"))
+def shard_counts(given: DataFrame) -> DataFrame:
+    """shard, source, first, n: the counts drawn for each output shard."""
+    return given.groupBy("shard", "source", "first").agg(F.count(F.lit(1)).alias("n"))
+
+
+def draws(given: DataFrame) -> DataFrame:
+    """source, block, pass, shard, slot: the block that each of the ``slots`` takes."""
+    along = Window.partitionBy("first").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    # ``first`` tells sources apart and is never null
+    before = shard_counts(given).select("first", "shard", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("first", "shard").orderBy("slot")) - 1
+    # a shuffle: the counts grow with the data and must not be broadcast
+    rows = given.withColumn("_inside", inside).join(before.hint("merge"), ["first", "shard"])
+    rows = rows.withColumn("_k", F.col("_before") + F.col("_inside")).withColumn("pass", F.floor(F.col("_k") / F.col("blocks")).cast("long"))
+    block = permuted(F.pmod("_k", "blocks"), F.col("blocks"), F.xxhash64("source", "pass"))
+    return rows.select("source", block.alias("block"), "pass", "shard", "slot")
 
 
 def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -140,8 +151,8 @@ def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 KEY = ["source", "_bucket", "_number"]
 
 
-def _plan(docs: DataFrame, block: int):
-    """The placed rows, the targets, and how often each block is taken."""
+def _plan(docs: DataFrame, block: int, shard_slots: int = SHARD_SLOTS):
+    """The placed rows, the targets, and the written draws."""
     sizes = cut_lineage(sized(docs).select("doc_id", "source", "size", F.xxhash64("text").alias("_hash")), "sizes")
     buckets = max(1, -(-sizes.count() // BUCKET_ROWS))
     goals = cut_lineage(targets(sizes), "targets")
@@ -149,17 +160,26 @@ def _plan(docs: DataFrame, block: int):
     quota = quotas(goals, block)
     most = quota.agg(F.max("all_draws")).first()[0] or 0
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-most // TASK_DRAWS))
+    given = cut_lineage(slots(quota, tasks, shard_slots), "slots")
+    return rows, goals, cut_lineage(draws(given), "draws")
+
+
+def _meet(rows: DataFrame, drawn: DataFrame, block: int) -> DataFrame:
+    """Pieces of the placed rows and the draws of their block."""
+    drawn = drawn.withColumnRenamed("source", "_s")
+    return pieces(rows, block).join(drawn, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("block")))
+
+
+def _taken(rows: DataFrame, drawn: DataFrame, block: int) -> DataFrame:
+    """Pieces and how often their block is taken."""
     # written, so that the join is planned by the true size: it grows with the data and must not be broadcast
-    taken = cut_lineage(draws(quota, tasks).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-                        .withColumnRenamed("source", "_s"), "taken-blocks")
-    met = pieces(rows, block).join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("block")))
-    return rows, goals, met, buckets
+    return _meet(rows, cut_lineage(drawn.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times")), "taken-blocks"), block)
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row."""
-    rows, goals, met, _ = _plan(docs.select("doc_id", "source", "text"), block)
-    words = met.groupBy(*[F.col(c).alias(f"k{c}") for c in KEY]).agg(F.sum(F.col("_words") * F.col("times")).alias("taken"))
+    rows, goals, drawn = _plan(docs.select("doc_id", "source", "text"), block)
+    words = _taken(rows, drawn, block).groupBy(*[F.col(c).alias(f"k{c}") for c in KEY]).agg(F.sum(F.col("_words") * F.col("times")).alias("taken"))
     same = F.lit(True)
     for c in KEY:
         same = same & F.col(c).eqNullSafe(F.col(f"k{c}"))
@@ -176,7 +196,8 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     the new text.
     """
     plain = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
-    rows, _, met, buckets = _plan(plain, block)
+    rows, _, drawn = _plan(plain, block)
+    met = _taken(rows, drawn, block)
     spans = F.sort_array(F.collect_list(F.struct("_from", "_words", "times")))
     # runs of words taken at least c times, c = 1, 2: [from, to)
     def runs(c: int) -> Column:
@@ -191,6 +212,28 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     taken = (met.groupBy(*[F.col(c).alias(f"k{c}") for c in [*KEY, "doc_id", "size", "_hash"]]).agg(spans.alias("_spans"))
              .withColumn("_runs", F.concat(runs(1), runs(2))).drop("_spans"))
+    out = _texts(docs, taken)
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    made = {"text": F.col("_text")}
+    if "n_chars" in kinds:
+        made["n_chars"] = F.length("_text").cast(kinds["n_chars"])
+    return out.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def sharded(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """shard, slot, at, doc_id, source, text: the words of every slot, as the runs of documents that its block is made of;
+    ``at`` is the place of a run's first word in the block."""
+    plain = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
+    rows, _, drawn = _plan(plain, block, shard_slots)
+    run = F.struct(F.col("_from").alias("a"), (F.col("_from") + F.col("_words")).alias("b"), "shard", "slot",
+                   (F.col("_start") + F.col("_from") - F.col("_block") * block).alias("at"))
+    taken = (_meet(rows, drawn, block).groupBy(*[F.col(c).alias(f"k{c}") for c in [*KEY, "doc_id", "size", "_hash"]])
+             .agg(F.collect_list(run).alias("_runs")))
+    return _texts(plain, taken).select("_run.shard", "_run.slot", "_run.at", "_row.doc_id", "_row.source", F.col("_text").alias("text"))
+
+
+def _texts(docs: DataFrame, taken: DataFrame) -> DataFrame:
+    """_row, _run, _text: each run of ``taken``, with its row of ``docs`` and its words."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     whole = whole.select("_row", F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").cast("string").alias("source"),
                          F.regexp_count(text_of("_row.text"), F.lit(WORD)).cast("long").alias("size"),
@@ -208,9 +251,4 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     words = F.filter(F.split(text_of("_row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     part = F.when(F.col("_run.b") - F.col("_run.a") == F.col("size"), F.col("_row.text").cast("string")).otherwise(
         F.array_join(F.slice(words, (F.col("_run.a") + 1).cast("int"), (F.col("_run.b") - F.col("_run.a")).cast("int")), " "))
-    out = out.select("_row", part.alias("_text"))
-    kinds = {f.name: f.dataType for f in docs.schema.fields}
-    made = {"text": F.col("_text")}
-    if "n_chars" in kinds:
-        made["n_chars"] = F.length("_text").cast(kinds["n_chars"])
-    return out.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    return out.select("_row", "_run", part.alias("_text"))

@@ -178,6 +178,27 @@ def test_mixing(spark):
     assert (mixed.n_chars == mixed.text.str.len()).all()
 
 
+def test_mixing_fills_shards(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(rng.randrange(0, 90))), rng.choice(["a", "a", "a", "a", "b", "c", None])) for i in range(120)]
+    given = docs(spark, rows)
+    quota = mixing.quotas(mixing.targets(mixing.sized(given)), 4)
+    counts = mixing.shard_counts(mixing.slots(quota, 2, 64)).toPandas()
+    want = {r["first"]: r["draws"] for r in quota.collect()}
+    assert counts.groupby("first").n.sum().to_dict() == want
+    full, rest = divmod(sum(want.values()), 64)
+    assert counts.groupby("shard").n.sum().to_dict() == {k: 64 for k in range(full)} | ({full: rest} if rest else {})
+    out = mixing.sharded(given, 4, 64).toPandas().sort_values(["shard", "slot", "at"])
+    by = out.groupby(["shard", "slot"])
+    assert len(by) == sum(want.values()) and (by.source.nunique() <= 1).all()
+    got = out.assign(source=out.source.fillna("~")).drop_duplicates(["shard", "slot"]).groupby(["shard", "source"]).size().to_dict()
+    assert got == counts.assign(source=counts.source.fillna("~")).set_index(["shard", "source"]).n.to_dict()
+    texts = by.text.agg(" ".join)
+    assert texts.map(lambda t: len(t.split())).max() == 4 and texts.value_counts().max() <= 2
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(given, 4).collect() if r["taken"]}
+    assert out.text.map(lambda t: len(t.split())).groupby(out.doc_id).sum().to_dict() == taken
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
