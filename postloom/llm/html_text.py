@@ -7,6 +7,10 @@ block the label of its nearest decided neighbours: if both agree, that label; ot
 page count as boilerplate neighbours, the ends of an article or main element as text neighbours, so that an article whose
 paragraphs are all short is kept. Where a page marks an article, blocks outside it are boilerplate.
 
+A class or id is only a hint: it never marks an article or main element itself, and a main element inside a wrapper that
+is boilerplate by name alone (``content-sidebar-wrap``) is content. So is an article, unless the page has content outside
+such wrappers: then it is a comment or a teaser. Real containers (nav, aside, form, roles, hidden) hold for all in them.
+
 Each page is one row and is handled alone: no shuffle, memory of one page. The tokenizer is linear in the page: a tag,
 comment, script or style that never closes ends the page, as in a browser.
 
@@ -16,7 +20,7 @@ or url go through; repeated rows give repeated results.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from html import unescape
 
 import pyarrow as pa
@@ -62,6 +66,7 @@ class Block:
     links: int               # characters of it inside links
     boiler: bool             # inside a boilerplate container
     content: int             # number of the article or main element around it, 0 if none
+    named: bool = False      # that is an article inside a container which is boilerplate by name alone
 
 
 @dataclass(slots=True)
@@ -70,25 +75,29 @@ class _Open:
     boiler: bool
     content: int
     silent: bool
+    real: bool = False       # boilerplate by more than a name
+    named: bool = False
 
 
-def _is_boiler(tag: str, raw: str, content: int) -> bool:
+def _is_boiler(tag: str, raw: str, content: int) -> tuple[bool, bool]:
+    """Whether an element is boilerplate, and whether by more than its class or id."""
     if tag in BOILER_TAGS or (tag == "header" and not content):
-        return True
+        return True, True
+    by_name = False
     if not raw.strip() or tag in ("html", "body", "main", *HEADINGS):
-        return False
+        return False, False
     for name, *values in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), unescape("".join(values)).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, True
         if name == "role" and value in BOILER_ROLES:
-            return True
-        if name in ("class", "id") and not BOILER_NAMES.isdisjoint(_NAME.findall(value)):
+            return True, True
+        if name in ("class", "id") and tag != "article" and not BOILER_NAMES.isdisjoint(_NAME.findall(value)):
             # an article's own header holds its heading
-            return not (content and {"header"} == BOILER_NAMES.intersection(_NAME.findall(value)))
-    return False
+            by_name |= not (content and {"header"} == BOILER_NAMES.intersection(_NAME.findall(value)))
+    return by_name, False
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -104,7 +113,7 @@ def blocks_of(html: str) -> list[Block]:
         joined = " ".join("".join(text).split())
         if joined:
             top = stack[-1]
-            out.append(Block(joined, min(links, len(joined)), top.boiler, top.content))
+            out.append(Block(joined, min(links, len(joined)), top.boiler, top.content, top.named))
         text.clear()
         links = 0
 
@@ -163,7 +172,9 @@ def blocks_of(html: str) -> list[Block]:
         top = stack[-1]
         contents += tag in CONTENT and not top.content
         content = top.content or (contents if tag in CONTENT else 0)
-        boiler = top.boiler or _is_boiler(tag, found[3], content)
+        own, real = _is_boiler(tag, found[3], content)
+        freed = tag in CONTENT and not top.content and top.boiler and not top.real
+        boiler, real, named = own or (top.boiler and not freed), real or top.real, top.named or (freed and tag == "article")
         if boiler and not top.boiler and tag not in BLOCKS:
             close()
         if tag in RAW:
@@ -171,13 +182,15 @@ def blocks_of(html: str) -> list[Block]:
             if not stop:
                 break
             at = stop.start()
-        stack.append(_Open(tag, boiler, content, top.silent or tag in SILENT))
+        stack.append(_Open(tag, boiler, content, top.silent or tag in SILENT, real, named))
     close()
     return out
 
 
 def labels_of(blocks: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> list[bool]:
     """True for text. The two passes described above."""
+    if any(b.content and not b.boiler and not b.named for b in blocks):
+        blocks = [replace(b, boiler=b.boiler or b.named) for b in blocks]
     marked = any(b.content and not b.boiler for b in blocks)
     label: list[bool | None] = []
     for b in blocks:                                               # pass 1

@@ -231,6 +231,21 @@ def test_html(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = "Long text of the day that is in the paper and was read by all of us at home."
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f"<div class='content-sidebar-wrap'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div class='page has-sidebar'><main><p>{LONG}<div class='related'><p>{LONG} Other</div></main></div>", LONG),
+    (f"<article class='post no-comments'><p>{LONG}</article>", LONG), (f"<main><article id='ad-1'><p>{LONG}</article></main>", LONG),
+    (f"<article class='post'><p>{LONG}</article><div id='comments'><article class='x'><p>{LONG} Me too.</article></div>", LONG),
+    (f"<div class='sidebar'><aside><article><p>{LONG}</article></aside></div>", ""), (f"<nav class='menu'><main><p>{LONG}</main></nav>", ""),
+    (f"<div class='share' hidden><article><p>{LONG}</article></div>", ""), (f"<article hidden><p>{LONG}</article>", ""),
+    (f"<div role='search'><div class='has-sidebar'><article><p>{LONG}</article></div></div>", ""), (f"<div class='sidebar'><p>{LONG}</div>", "")])
+def test_html_names_are_hints(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")], "page_id long, url string, html string")
     assert sorted(r["n_chars"] for r in html_text.extract_text(pages).collect()) == [0, 0, 117, 117] or html_text.extract_text(pages).count() == 4
