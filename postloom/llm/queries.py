@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import exact_dedup, html_text, licenses, mixing, outliers, packing, phrases, quality, simhash, toxicity
+from postloom.llm import (exact_dedup, html_text, lexical, licenses, merkle, mixing, outliers, packing, phrases, pieces, quality, simhash,
+                          toxicity)
 from postloom.llm.common import table
 
 
@@ -52,6 +53,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.rule_verdicts(table(spark, sf_dir, "documents")).drop("distance")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), witness=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_text, op2_exact_dedup, op3_toxicity, op4_mixing, op5_substring_dedup, op6_quality, op7_packing,
-                            op8_licenses, op9_simhash, op10_quality_rules)}
+                            op8_licenses, op9_simhash, op10_quality_rules, op11_lexical_search, op12_sentencepiece,
+                            op13_merkle_manifest)}
