@@ -6,6 +6,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,21 @@ def fresh(prefix: str, columns: list[str]) -> str:
     return name
 
 
+def fields(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever others the table has."""
+    return docs.toDF(*[n if n in names else f"x{i}" for i, n in enumerate(docs.columns)]).select(*names)
+
+
+def plainly(docs: DataFrame, work: Callable[[DataFrame], DataFrame],
+            keep: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")) -> DataFrame:
+    """``work`` on ``docs`` with all columns but ``keep`` named by their place, and the names put back on the result.
+
+    So any name will do: reserved ones, names with back-ticks or dots, names that differ in case only.
+    """
+    names = docs.columns
+    return work(docs.toDF(*[n if n in keep else f"x{i}" for i, n in enumerate(names)])).toDF(*names)
+
+
 def map_texts(df: DataFrame, schema: str, work: Callable[[list[bytes]], dict[str, pa.Array]], text: str = "text",
               keep: tuple[str, ...] = ()) -> DataFrame:
     """Arrow batches of ``df``: ``work`` turns the texts (UTF-8, null as empty) into new columns, one value per row.
@@ -59,6 +75,16 @@ def map_texts(df: DataFrame, schema: str, work: Callable[[list[bytes]], dict[str
     return source.mapInArrow(run, ", ".join([*kept, schema]))
 
 
+def groups(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most BATCH_ROWS rows and, but for a single longer value, ``most`` bytes of ``column``."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(size[at:at + BATCH_ROWS], dtype=np.int64), most, "right")))
+        yield batch.slice(at, n)
+        at += n
+
+
 def repeated_words(ids: np.ndarray, n: int = 3) -> int:
     """Words that lie in an ``n``-word window found twice or more; ``ids`` numbers the words from 0."""
     if len(ids) <= n:

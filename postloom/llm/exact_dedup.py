@@ -43,13 +43,22 @@ def digest_of(text: Column) -> Column:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """Adds ``_file`` and ``_at``: where each row's content lies. Tables that aren't files are landed first."""
-    if not {"_file", "_at"}.isdisjoint(docs.columns):
-        raise ValueError("_file and _at are reserved")
+    """``doc_id`` and ``text`` as they are, the other columns named by their place, and ``_file`` and ``_at``: where each
+    row's content lies. Tables without a place - not of files, or with a column ``_metadata`` - are landed first, once.
+
+    A table of files must be as read, row by row: rows made several times of one have one place. Write such a table first.
+    """
+    plain = docs.toDF(*[n if n in ("doc_id", "text") else f"x{i}" for i, n in enumerate(docs.columns)])
     try:
-        return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    except AnalysisException:
-        return located(cut_lineage(docs, "landed"))
+        return _with_place(plain)
+    except AnalysisException as e:
+        if not (e.getCondition() or "").startswith(("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND", "INVALID_EXTRACT")):
+            raise
+    return _with_place(cut_lineage(plain, "landed"))
+
+
+def _with_place(docs: DataFrame) -> DataFrame:
+    return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
 
 
 @contextmanager
@@ -137,7 +146,6 @@ def exact_groups(docs: DataFrame, digest: Column | None = None) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged."""
     packed = located(docs)
-    columns = [c for c in packed.columns if c not in ("_file", "_at")]
     gone = exact_groups(packed).filter(~F.col("kept")).select(F.col("_file").alias("_f"), F.col("_at").alias("_a"))
     return (packed.join(gone, (F.col("_file") == F.col("_f")) & (F.col("_at") == F.col("_a")), "left_anti")
-            .select(*[F.col(f"`{c}`") for c in columns]))
+            .drop("_file", "_at").toDF(*docs.columns))

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import text_of
+from postloom.llm.common import fields, text_of
 from postloom.session import cut_lineage
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -65,7 +65,7 @@ def _slot(term: bytes) -> int:
 def item_terms(items: DataFrame, bundle: int = BUNDLE) -> DataFrame:
     """bundle, slot, item_id, term, times: what each row of ``items`` asks for; ``bundle`` and ``slot`` name the row."""
     lowered = F.translate(text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = cut_lineage(items.select("item_id", F.regexp_extract_all(lowered, F.lit(TERM), 0).alias("terms")), "search-items")
+    rows = cut_lineage(fields(items, "item_id", "text").select("item_id", F.regexp_extract_all(lowered, F.lit(TERM), 0).alias("terms")), "search-items")
     at = F.monotonically_increasing_id()
     rows = rows.select(at.alias("_at"), "item_id", "terms").select(
         F.floor(F.col("_at") / bundle).cast("long").alias("bundle"), F.pmod("_at", F.lit(bundle)).cast("int").alias("slot"),
@@ -141,7 +141,7 @@ def posting_blocks(docs: DataFrame, asked: DataFrame, chunk: int = CHUNK) -> Dat
         if made.ids:
             yield from made.rows(numbers)
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = fields(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cut_lineage(plain.mapInArrow(run, BLOCKS), "search-postings")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import fold_of
+from postloom.llm.common import fields, fold_of
 from postloom.session import cut_lineage
 
 BLOCK = 1024
@@ -42,20 +42,21 @@ def hashed(*parts: str) -> str:
     return sha256("".join(parts).encode()).hexdigest()
 
 
-def leaf_of(fields: Iterable[Column]) -> Column:
+def leaf_of(values: Iterable[Column]) -> Column:
     """The hash of a row's fields: ``-`` for null, else byte count, colon and value."""
     shown = [F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
-             for c in (f.cast("string") for f in fields)]
+             for c in (f.cast("string") for f in values)]
     return F.sha2(F.concat(*shown), 256)
 
 
 def leaves(docs: DataFrame) -> DataFrame:
     """doc_id, group (``n`` for the null language, else ``v`` and the language), digest, tampered (null where nothing is)."""
-    fields = {c: F.col(c) for c in FIELDS}
-    more = fields | {"n_chars": F.col("n_chars") + F.lit(1)}
+    docs = fields(docs, *FIELDS)
+    own = {c: F.col(c) for c in FIELDS}
+    more = own | {"n_chars": F.col("n_chars") + F.lit(1)}
     changed = (fold_of(TAMPERED_FOLD) == 0) & F.col("n_chars").isNotNull()
     return docs.select("doc_id", F.coalesce(F.concat(F.lit("v"), F.col("lang").cast("string")), F.lit("n")).alias("group"),
-                       leaf_of(fields.values()).alias("digest"), F.when(changed, leaf_of(more.values())).alias("tampered"))
+                       leaf_of(own.values()).alias("digest"), F.when(changed, leaf_of(more.values())).alias("tampered"))
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:

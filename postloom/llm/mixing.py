@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import WORD, text_of
+from postloom.llm.common import WORD, plainly, text_of
 from postloom.session import cut_lineage
 
 WEIGHTS = (3, 1, 2)
@@ -195,6 +195,10 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     A row taken whole keeps its text unchanged; a run is its words joined by one space. ``n_chars``, if there, is that of
     the new text.
     """
+    return plainly(docs, lambda d: _mixed_documents(d, block))
+
+
+def _mixed_documents(docs: DataFrame, block: int) -> DataFrame:
     plain = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
     rows, _, drawn = _plan(plain, block)
     met = _taken(rows, drawn, block)

@@ -24,7 +24,7 @@ mark U+2581 in a text is a space.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from hashlib import sha256
 
 import ahocorasick
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from postloom.llm.common import BATCH_ROWS
+from postloom.llm.common import fields, groups
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -235,20 +235,12 @@ def replaced(raw: bytes) -> bytes:
     return b"".join(out)
 
 
-def _groups(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of at most BATCH_ROWS rows and, but for a single longer value, ``most`` characters."""
-    size, at = np.array([len(x) if x else 0 for x in batch.column(column).to_pylist()], np.int64), 0
-    while at < batch.num_rows:
-        n = int(np.searchsorted(np.cumsum(size[at:at + BATCH_ROWS]), most, "right"))
-        yield batch.slice(at, max(1, n))
-        at += max(1, n)
-
-
 def _path(path: str | None) -> str:
     return path or public_tokenizers.path(MODEL)
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, str]:
+    docs = fields(docs, "doc_id", "text")
     return docs.select("doc_id", F.col("text").cast("string").alias("text")), docs.schema["doc_id"].dataType.simpleString()
 
 
@@ -259,7 +251,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in _groups(batch, "text", GROUP_CHARS):
+            for part in groups(batch, "text", GROUP_CHARS):
                 made = Pieces.get(path).encode([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "ids"])
 
@@ -272,7 +264,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in _groups(batch, "ids", 4 * GROUP_CHARS):
+            for part in groups(batch, "ids", 4 * GROUP_CHARS):
                 made = [Pieces.get(path).decode(x or b"").decode() for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made, pa.string())], names=["doc_id", "text"])
 
@@ -287,7 +279,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         pieces = Pieces.get(path)
         for batch in batches:
-            for part in _groups(batch, "text", GROUP_CHARS):
+            for part in groups(batch, "text", GROUP_CHARS):
                 ids = pieces.encode([t or "" for t in part.column("text").to_pylist()])
                 lists = [",".join(map(str, np.frombuffer(x, "<u4").tolist())) for x in ids]
                 yield pa.RecordBatch.from_arrays(

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from postloom.llm.common import map_texts
+from postloom.llm.common import map_texts, plainly
 from postloom.llm.components import components
 from postloom.session import cut_lineage
 
@@ -169,6 +169,10 @@ def fingerprint_text(fp: str = "fp") -> Column:
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """One row of each component, all columns: the smallest doc_id (null last), then the smallest hash of the text."""
+    return plainly(docs, _keep_one_each)
+
+
+def _keep_one_each(docs: DataFrame) -> DataFrame:
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     row = row.select("_row", F.col("_row.doc_id").alias("doc_id"), F.xxhash64("_row.text").alias("_hash"),
                      F.length(F.col("_row.text").cast("string")).alias("_chars"))
