@@ -6,7 +6,11 @@ form a bucket, from which a trainer draws batches of one shape (``write_buckets`
 
 Each document is handled alone, without a shuffle. A text is tokenized word by word: the tokenizer drops white space and
 never joins across it, so words are encoded once and their ids reused from a bounded table in the worker. Memory is that
-table, one batch of texts and the ids of its longest text.
+table (KNOWN_CHARS characters of words in each of two generations), the words of GROUP_CHARS characters of texts, or of one
+longer text and its ids.
+
+The tables and the cutting of words hold for tokenizers that lower the case, drop white space and cut at punctuation. Any
+other tokenizer file is refused by a check of its answers, rather than given wrong ids.
 
 Defined cases: a null or empty text is the single end token, one piece of length 1; repeated rows and repeated ids are
 packed like others, each with sequences of its own; a null doc_id goes through.
@@ -22,12 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from postloom.llm.common import BATCH_ROWS
+from postloom.llm.common import fields, groups
 
 VOCABULARY = "word_bpe_49k.json"
 END, FULL = 1, 2048
-KNOWN_WORDS = 400_000               # words whose ids a worker keeps, in each of two generations
+KNOWN_CHARS = 1_500_000             # characters of the words whose ids a worker keeps, in each of two generations
+LONG_WORD = 100                     # a longer word is encoded each time
+GROUP_CHARS = 1_000_000             # bytes of texts handled together
 GROUP = 200                         # words that are encoded as one text
+# texts, and parts that must give the same ids
+PROBES = (("Aa,b  (c)\n\tDÉ.", ("aa", ",", "b", "(", "c", ")", "dé", ".")), ("x!! y", ("x", "!!", "y")))
 _TAIL = b".,!?;:#*$%&|"             # punctuation that is peeled off a word that ends in a letter
 
 
@@ -40,6 +48,11 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.young_chars = 0
+        for text, parts in PROBES:
+            whole, cut = ([i for t in ts for i in self.tokenizer.encode(t, add_special_tokens=False).ids] for ts in ([text], parts))
+            if whole != cut:
+                raise ValueError(f"{path} does not lower the case, drop white space and cut at punctuation")
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)     # ids that end a word
@@ -68,14 +81,14 @@ class WordIds:
         made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in alone], add_special_tokens=False)
         return out | {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(alone, made, strict=True)}
 
-    def learn(self, words: set[bytes]) -> None:
-        """Makes sure that ``young`` knows all of ``words``."""
-        if len(self.young) > KNOWN_WORDS:
-            self.old, self.young = self.young, {}
-        split, cores = {}, set()
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """A table with the ids of all of ``words``."""
+        if self.young_chars > KNOWN_CHARS:
+            self.old, self.young, self.young_chars = self.young, {}, 0
+        made, split, cores = {}, {}, set()
         for w in words.difference(self.young):
             if w in self.old:
-                self.young[w] = self.old[w]
+                made[w] = self.old[w]
                 continue
             if w.isalpha() and w.islower():
                 cores.add(w)
@@ -91,8 +104,12 @@ class WordIds:
         new = [c for c in cores if c not in self.young and c not in self.old]
         ids = self._encode(new)
         get = lambda c: ids.get(c) or self.young.get(c) or self.old.get(c, b"")
-        self.young.update((w, get(core) + get(tail) if tail else get(core)) for w, (core, tail) in split.items())
-        self.young.update(ids)
+        made.update(ids)
+        made.update((w, get(core) + get(tail) if tail else get(core)) for w, (core, tail) in split.items())
+        short = {w: x for w, x in made.items() if len(w) <= LONG_WORD}
+        self.young.update(short)
+        self.young_chars += sum(map(len, short))
+        return self.young if len(short) == len(made) else self.young | made
 
 
 def pieces_of(n: int, full: int = FULL) -> list[tuple[int, int]]:
@@ -121,13 +138,12 @@ def pack(docs: DataFrame, path: str | None = None, full: int = FULL) -> DataFram
     def run(batches):
         ids = WordIds.get(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in groups(batch, "text", GROUP_CHARS):
                 texts = [(x or b"").split() for x in part.column("text").cast(pa.binary()).to_pylist()]
-                ids.learn(set().union(*texts))
+                table = ids.learn(set().union(*texts))
                 row, start, length, tokens, made = [], [], [], [], []
                 for i, words in enumerate(texts):
-                    whole = b"".join(map(ids.young.__getitem__, words)) + end
+                    whole = b"".join(map(table.__getitem__, words)) + end
                     n = len(whole) // 4
                     for s, size in pieces_of(n, full):
                         row.append(i)
@@ -140,7 +156,7 @@ def pack(docs: DataFrame, path: str | None = None, full: int = FULL) -> DataFram
                      pa.array(length, pa.int64()), pa.array(made, pa.binary()), pa.array(tokens, pa.int64())],
                     names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
-    made = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+    made = fields(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         run, f"doc_id {key}, start long, length long, ids binary, doc_tokens long")
     return made.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 

@@ -14,11 +14,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import COUNTS, STATISTICS, fold_of, fresh, map_texts, counts_of, statistics, with_counts
+from postloom.llm.common import COUNTS, STATISTICS, counts_of, fold_of, plainly, statistics, with_counts
 from postloom.session import cut_lineage
 
 FOLDS, HELD_OUT = 4, 2
@@ -109,15 +110,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, all columns unchanged."""
-    model = train(with_counts(docs, ("doc_id",)), labels)
-    row, score = fresh("row", docs.columns), fresh("score", docs.columns)
-
-    def work(raw: list[bytes]) -> dict[str, pa.Array]:
-        counted = np.array([counts_of(x) for x in raw], np.int64).reshape(len(raw), len(COUNTS))
-        return {score: pa.array(model.score(statistics({c: counted[:, i] for i, c in enumerate(COUNTS)})), pa.float64())}
-
-    text = fresh("whole", docs.columns)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("text").alias(text))
-    scored = map_texts(packed, f"`{score}` double", work, text=text, keep=(row,))
-    return scored.filter(F.col(score) >= threshold).select(f"{row}.*")
+    """The rows of ``docs`` whose score reaches ``threshold``, all columns unchanged.
+
+    Texts are counted once: the rows are written with their counts, from which the model is fitted and then applied.
+    """
+    return plainly(docs, lambda d: _keep_good(d, labels, threshold))
+
+
+def _keep_good(docs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
+    def count(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counts_of((t or "").encode("utf-8", "replace")) for t in texts], columns=list(COUNTS), dtype="int64")
+
+    counted = cut_lineage(docs.withColumn("counts", count(F.col("text").cast("string"))), "quality-counted")
+    model = train(counted.select("doc_id", "counts.*"), labels)
+
+    @F.pandas_udf("double")
+    def score(counts: pd.DataFrame) -> pd.Series:
+        return pd.Series(model.score(statistics({c: counts[c].to_numpy() for c in COUNTS})))
+
+    return counted.filter(score("counts") >= threshold).drop("counts")
