@@ -250,8 +250,8 @@ def pair_gaps(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
         g["section"].alias("section"))).alias("gaps"))
 
 
-def assemble_analysis(a: Analysis, jd_source: Column | None = None) -> DataFrame:
-    """The nested analysis per pair."""
+def assemble_analysis(a: Analysis, labels: DataFrame | None = None) -> DataFrame:
+    """The nested analysis per pair. ``labels`` (posting_id, jd_source) say what text each posting was judged by."""
     scores = pair_scores(a)
     spots = find_spots(a).groupBy(*PAIR).agg(
         F.map_from_entries(F.collect_list(F.struct("keyword", "spots"))).alias("by_keyword"))
@@ -270,9 +270,9 @@ def assemble_analysis(a: Analysis, jd_source: Column | None = None) -> DataFrame
         g["in_requirements"].alias("in_requirements"), g["section"].alias("section"),
         F.coalesce(F.transform(F.element_at("by_keyword", g["keyword"]), spot), none).alias("spots")))
     out = joined.withColumn("missing_keywords", missing)
-    if jd_source is not None:
-        out = out.withColumn("jd_source", jd_source)
-    tail = ["jd_source"] if jd_source is not None else []
+    if labels is not None:
+        out = out.join(labels.select("posting_id", "jd_source"), "posting_id")
+    tail = ["jd_source"] if labels is not None else []
     return out.select(
         *PAIR, "profile_id", F.col("ats_score"), F.round("ats_score", 1).alias("score"),
         F.round("match_rate", 1).alias("match_rate"), "required_total", "required_matched", *tail,
@@ -280,6 +280,6 @@ def assemble_analysis(a: Analysis, jd_source: Column | None = None) -> DataFrame
 
 
 def analysis_json() -> Column:
-    """The stored text form of an assembled analysis."""
-    return F.to_json(F.struct("score", "match_rate", "required_total", "required_matched",
+    """The stored text form of an assembled analysis with its ``jd_source``."""
+    return F.to_json(F.struct("score", "match_rate", "required_total", "required_matched", "jd_source",
                               "matched_keywords", "missing_keywords", "resume_bullets"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postloom.functions.infer import content_key, dedup_key
@@ -74,5 +75,6 @@ def dedup_insert(batch: DataFrame, state: DataFrame | None = None, tombstones: D
     keyed = batch if set(KEYS) <= set(batch.columns) else with_keys(batch)
     won = accepted_keys(keyed, state, tombstones, hot_rows)
     # a payload that landed twice has rows of equal keys and arrival: one of them enters
-    once = keyed.join(won, ["seq", *KEYS], "left_semi").dropDuplicates(["dedup_key"])
+    twins = W.partitionBy("dedup_key").orderBy(F.xxhash64(*keyed.columns))
+    once = keyed.join(won, ["seq", *KEYS], "left_semi").withColumn("_twin", F.row_number().over(twins)).filter("_twin = 1")
     return once.select(*keyed.columns).withColumn("status", F.lit("to_apply"))

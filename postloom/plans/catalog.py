@@ -14,7 +14,7 @@ from postloom.operators.scale import fits_broadcast, spread, unnest
 from postloom.plans import overlay
 from postloom.session import cut_lineage, scratch_path
 from postloom.sources import boards, feeds, trackers
-from postloom.streaming.ingest import IngestJob, stream_ingest
+from postloom.streaming.ingest import IngestJob, stream_ingest, stream_payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -460,20 +460,92 @@ def top_matches(spark, sf):
 RUNS = 3
 
 
-def _streamed(spark: SparkSession, sf: str, channel: str) -> IngestJob:
-    """Land the postings in three parts and let the stream run after each, as a schedule would."""
+def _streamed(spark: SparkSession, sf: str, channel: str, between: Callable[[IngestJob, int], None] | None = None, **settings) -> IngestJob:
+    """Land the postings in three parts and let the stream run after each, as a schedule would; ``between`` acts before each run."""
     landed = scratch_path(spark, "landed")
     posts = overlay.postings(spark, sf, all_cores=True)
     last = posts.agg(F.max("batch_id").alias("b")).first()["b"]
-    job = IngestJob(spark, scratch_path(spark, "ingest"), overlay.PROFILE["A"], channel=channel)
+    job = IngestJob(spark, scratch_path(spark, "ingest"), overlay.PROFILE["A"], channel=channel, **settings)
     for part in range(RUNS):
         due = F.col("batch_id") * RUNS >= part * (last + 1)
         later = F.col("batch_id") * RUNS >= (part + 1) * (last + 1)
         posts.filter(due & ~later).write.mode("append").parquet(landed)
+        if between is not None:
+            between(job, part)
         stream_ingest(job, spark.readStream.schema(posts.schema).parquet(landed)).awaitTermination()
     return job
 
 
+def _streamed_files(spark: SparkSession, sf: str) -> IngestJob:
+    """Land the postings as raw payload files in three pulls, with a run of the stream after each."""
+    landed = scratch_path(spark, "payloads")
+    job = IngestJob(spark, scratch_path(spark, "ingest"), overlay.PROFILE["A"])
+    for run in range(RUNS):
+        overlay.land(_posts(spark, sf), landed, RUNS, run)
+        stream_payloads(job, landed).awaitTermination()
+    return job
+
+
+@query
+def stream_payload_files(spark, sf):
+    """From payload files to stored postings."""
+    return _streamed_files(spark, sf).read("state").select(
+        "source", "source_job_id", "title", "company", "location", "dedup_key", "content_key", F.md5("description").alias("description"),
+        F.col("start_year").cast("string").alias("start_year"), "status")
+
+
+@query
+def stream_quarantine(spark, sf):
+    """Payload files that hold no readable list, from the same parse as the postings."""
+    return _streamed_files(spark, sf).read("quarantine").select("source", "key", F.rtrim("payload", F.lit("\n")).alias("payload"))
+
+
+@query
+def split_sources(spark, sf):
+    """S9 with both outputs over all formats: readable rows and unreadable payloads of each."""
+    posts = _posts(spark, sf)
+    raw = {"greenhouse": overlay.greenhouse_payloads(posts), "lever": overlay.lever_payloads(posts), "ashby": overlay.ashby_payloads(posts),
+           "adzuna": overlay.adzuna_payloads(posts, keyed=True), "tracker_feed": overlay.tracker_payloads(posts), "tracker_table": overlay.tracker_documents(posts)}
+    damaged = {n: df.withColumn(c := "markdown" if n == "tracker_table" else "payload", F.when(
+        F.regexp_extract("slug" if "slug" in df.columns else "repo", r"(\d+)\z", 1).cast("long") % 4 == 1, F.substring(c, 1, 5))
+        .otherwise(F.col(c))) for n, df in raw.items()}
+    good, bad = feeds.split_sources(damaged)
+    return good.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("arrival.payload").alias("payloads")).select(
+        F.lit("postings").alias("part"), "source", "n", "payloads").unionByName(
+        bad.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit("quarantine").alias("part"), "source", "n", F.col("n").alias("payloads")))
+
+
+@query
+def stream_scores(spark, sf):
+    """The scored state: half of the candidates are there from the first run, the others come before the second."""
+    mine = overlay.candidates(spark, sf).filter("profile_id = 'A'")
+
+    def between(job: IngestJob, run: int) -> None:
+        if run < 2:
+            job.add_candidates(mine.filter(F.col("candidate_id") % 8 == 4 * run), run)
+
+    listed = _streamed(spark, sf, "none", between, details=False).listing()
+    return listed.select("candidate_id", "seq", F.round("ats_score", 4).alias("ats_score"), F.round("match_rate", 4).alias("match_rate"),
+                         "status", "notified")
+
+
+@query
+def stream_requests(spark, sf):
+    """The stored state after what users did between the runs: dismissed postings and changed ones."""
+    n = overlay.table(spark, sf, "documents").count()
+    log = overlay.changes(spark, sf, n, _keyed(spark, sf))
+
+    def between(job: IngestJob, run: int) -> None:
+        if run == 1:
+            for _ in range(2):      # a repeated request changes nothing
+                job.dismiss(job.read("state").filter("seq % 5 = 0").select("id"), F.lit("2026-06-02"), 0)
+                job.change(log, 0)
+
+    job = _streamed(spark, sf, "none", between)
+    return job.current().select("seq", "status", F.md5("description").alias("description"))
+
+
 @query
 def stream_ingest_equals_batch(spark, sf):
     return _streamed(spark, sf, "none").read("state").select("seq", "dedup_key", "content_key", "status")

@@ -173,7 +173,10 @@ def start_columns(title: str, description: str) -> str:
 _country = " ".join(
     f"WHEN regexp_matches(lower(location), {q('(^|[^a-z])' + re.escape(k) + '([^a-z]|$)')}) THEN {q(v)}" for k, v in lookups.COUNTRIES.items())
 _codes = "list_transform(regexp_extract_all(location, ',\\s*([A-Za-z]{2})(?:\\s|,|$|\\))', 1), lambda c: upper(c))"
-cte("started", f"""
+
+
+def started_sql(base: str) -> str:
+    return f"""
 SELECT *, CAST(substr(start_date, 1, 4) AS BIGINT) AS start_year, lower(title) AS title_l, lower(description) AS desc_l,
   remote OR contains(lower(location), 'remote') AS remote_any,
   sha1(trim(lower(source || '::' || source_job_id))) AS dedup_key,
@@ -181,7 +184,10 @@ SELECT *, CAST(substr(start_date, 1, 4) AS BIGINT) AS start_year, lower(title) A
   CASE {_country} WHEN list_has_any({_codes}, {strings(lookups.US_STATES)}) THEN 'United States'
     WHEN list_has_any({_codes}, {strings(lookups.CA_PROVINCES)}) THEN 'Canada'
     WHEN contains(lower(location), 'remote') THEN 'Remote' END AS country
-FROM (SELECT *, {start_columns('title', 'description')} AS start_date FROM posts)""", "posts")
+FROM (SELECT *, {start_columns('title', 'description')} AS start_date FROM {base})"""
+
+
+cte("started", started_sql("posts"), "posts")
 cte("judged", " UNION ALL ".join(
     f"SELECT {q(p.profile_id)} AS profile_id, seq, {reason(p)} AS reject_reason FROM started" for p in overlay.PROFILES), "started")
 
@@ -397,14 +403,37 @@ oracle("normalize_ashby", _ashby, "posts")
 oracle("normalize_aggregator", _adzuna, "posts")
 oracle("union_sources", f"""SELECT source, count(*) AS n, count(*) FILTER (remote) AS n_remote, count(DISTINCT source_job_id) AS n_ids, CAST(sum(length(description)) AS BIGINT) AS chars
 FROM ({_greenhouse} UNION ALL {_lever} UNION ALL {_ashby} UNION ALL {_adzuna}) GROUP BY source""", "posts")
-oracle("tracker_feed_topcap", f"""
+_feed = f"""
 SELECT 'github_repo' AS source, CASE WHEN seq % 6 <> 0 THEN source_job_id ELSE repo || ':' || company || ':' || title END AS source_job_id, title, company, place AS location,
  contains(lower(place), 'remote') AS remote, CASE WHEN url <> '' THEN url ELSE {q(trackers.HOST)} || repo END AS url,
  title || ' at ' || company || '. Category: Data. Locations: ' || place || '. Sponsorship: Other. Degrees: BS, MS. Source: ' || repo || ' (community tracker).' AS description,
  CASE WHEN seq % 13 <> 0 THEN CAST(DATE '2026-01-01' + CAST(seq % 8 AS INTEGER) AS VARCHAR) END AS posted_at
-FROM (SELECT *, 'org/list_' || seq // 100 AS repo, CASE WHEN location = '' THEN '' ELSE location || ', Hybrid' END AS place,
-  row_number() OVER (PARTITION BY seq // 100 ORDER BY CASE WHEN seq % 13 <> 0 THEN seq % 8 ELSE -1 END DESC, seq) AS rn
- FROM posts WHERE seq % 10 <> 3 AND seq % 11 <> 4)""", "posts")
+FROM (SELECT *, 'org/list_' || seq // 100 AS repo, CASE WHEN location = '' THEN '' ELSE location || ', Hybrid' END AS place
+ FROM posts WHERE seq % 10 <> 3 AND seq % 11 <> 4)"""
+oracle("tracker_feed_topcap", _feed, "posts")
+
+# payload files: each posting in its own source's format, in three pulls; files arrive in the order of their path
+_formats = {"greenhouse": (_greenhouse, 0), "lever": (_lever, 1), "ashby": (_ashby, 2), "tracker_feed": (_feed, 3), "adzuna": (_adzuna, 4)}
+_pull = "batch_id * 3 // (SELECT max(batch_id) + 1 FROM posts)"
+
+
+def in_file(name: str, sql: str, k: int) -> str:
+    slug = "'org%2Flist_' || seq // 100" if name == "tracker_feed" else _board
+    return (f"SELECT *, 'pull=' || {_pull} || '/source={name}/slug=' || {slug} || '/' AS ord "
+            f"FROM (SELECT seq, {sql.strip().removeprefix('SELECT ')}) JOIN (SELECT seq, batch_id FROM posts) USING (seq) WHERE seq % 5 = {k}")
+
+
+cte("landed_rows", " UNION ALL ".join(in_file(n, *v) for n, v in _formats.items()), "posts")
+cte("landed_started", started_sql("landed_rows"), "landed_rows")
+cte("landed_judged", f"SELECT *, {reason(overlay.PROFILE['A'])} AS reject_reason FROM landed_started", "landed_started")
+greedy("landed_in", "SELECT row_number() OVER (ORDER BY ord, seq) AS n, seq, dedup_key, content_key, false AS dead FROM landed_judged WHERE reject_reason IS NULL",
+       "landed_judged")
+oracle("stream_payload_files", """
+SELECT source, source_job_id, title, company, location, dedup_key, content_key, md5(description) AS description, CAST(start_year AS VARCHAR) AS start_year,
+ 'to_apply' AS status FROM landed_in JOIN landed_judged USING (seq) WHERE ok""", "landed_in", "landed_judged")
+oracle("stream_quarantine", "SELECT source, 'broken_' || slug AS key, '{broken ' || slug AS payload FROM (" + " UNION ALL ".join(
+    f"SELECT DISTINCT '{n}' AS source, {_pull} AS pull, {chr(39) + 'org/list_' + chr(39) + ' || seq // 100' if n == 'tracker_feed' else _board} AS slug, seq // 100 AS board "
+    f"FROM posts WHERE seq % 5 = {k}" for n, (_, k) in _formats.items()) + ") WHERE board % 3 = 1", "posts")
 
 # the Markdown lists, restated from the rules rather than parsed: which rows are shown how
 cte("list_rows", f"""
@@ -447,6 +476,29 @@ oracle("dedup_insert", "SELECT seq, dedup_key, content_key, 'to_apply' AS status
 oracle("stream_ingest_equals_batch", "SELECT seq, dedup_key, content_key, 'to_apply' AS status FROM inserted_a JOIN started USING (seq) WHERE ok", "inserted_a", "started")
 _message = """'🆕 ' || title || ' — ' || company || chr(10) || '📍 ' || CASE WHEN location <> '' THEN location WHEN remote THEN 'Remote' ELSE '—' END
  || '   🗓 start: ' || coalesce(start_date, 'n/a') || chr(10) || '🔗 ' || url || chr(10) || 'id: ' || dedup_key || chr(10) || 'open: http://localhost:8000/#/job/' || dedup_key"""
+_numbered = [(n, f"SELECT '{'github_repo' if n == 'tracker_feed' else n}' AS source, seq // 100 AS d FROM (SELECT seq, {sql.strip().removeprefix('SELECT ')})")
+             for n, (sql, _) in _formats.items()]
+oracle("split_sources", f"""
+SELECT 'postings' AS part, source, count(*) AS n, count(DISTINCT file) AS payloads FROM (
+ {' UNION ALL '.join(f"SELECT source, '{n}' || d AS file, d FROM ({s})" for n, s in _numbered)}
+ UNION ALL SELECT 'github_repo', 'list' || d, d FROM (SELECT CAST(regexp_extract(source_job_id, 'org/grads-(?:2027-)?([0-9]+)', 1) AS BIGINT) AS d FROM ({ORACLES['tracker_markdown']}))
+) WHERE d % 4 <> 1 GROUP BY 1, 2
+UNION ALL SELECT 'quarantine', format, count(DISTINCT d), count(DISTINCT d) FROM (
+ {' UNION ALL '.join(f"SELECT '{n}' AS format, seq // 100 AS d FROM posts" for n in _formats)}
+ UNION ALL SELECT 'tracker_table', seq // 50 FROM posts) WHERE d % 4 = 1 GROUP BY 1, 2""", "posts")
+
+_first_run = "seq IN (SELECT seq FROM posts WHERE batch_id * 3 < (SELECT max(batch_id) + 1 FROM posts))"
+oracle("stream_scores", """SELECT candidate_id, seq, round(ats_score, 4) AS ats_score, round(match_rate, 4) AS match_rate, 'to_apply' AS status, true AS notified
+FROM scores JOIN inserted_a USING (seq) WHERE ok AND profile_id = 'A'""", "scores", "inserted_a")
+oracle("stream_requests", f"""
+WITH log AS (SELECT dedup_key AS id, event_id, ts, event_type FROM events JOIN started ON seq = user_id % (SELECT count(*) FROM documents)),
+ st AS (SELECT id, event_type, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) AS rn FROM log WHERE event_type IN ('click', 'view', 'purchase')),
+ ds AS (SELECT id, event_id, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) AS rn FROM log WHERE event_type = 'signup'),
+ kept AS (SELECT s.*, {_first_run} AS early FROM started s JOIN inserted_a USING (seq) WHERE ok)
+SELECT seq, coalesce(CASE WHEN early THEN CASE st.event_type WHEN 'click' THEN 'applied' WHEN 'view' THEN 'interviewing' WHEN 'purchase' THEN 'offer' END END, 'to_apply') AS status,
+ md5(coalesce(CASE WHEN early THEN 'patched ' || ds.event_id END, k.description)) AS description
+FROM kept k LEFT JOIN st ON st.id = k.dedup_key AND st.rn = 1 LEFT JOIN ds ON ds.id = k.dedup_key AND ds.rn = 1 WHERE NOT (early AND seq % 5 = 0)""",
+       "started", "inserted_a", "posts")
 oracle("stream_alerts", f"SELECT dedup_key AS id, 'slack' AS channel, {_message} AS message FROM inserted_a JOIN started USING (seq) WHERE ok", "inserted_a", "started")
 oracle("alert_outbox", f"SELECT id, 'slack' AS channel, {_message} AS message FROM stored WHERE NOT notified", "stored")
 oracle("tombstone_dismiss", """

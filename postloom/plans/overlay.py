@@ -192,12 +192,35 @@ def ashby_payloads(posts: DataFrame) -> DataFrame:
         'publishedAt', concat(posted_at, 'T00:00:00Z'))""", "jobs").withColumnRenamed("key", "slug")
 
 
-def adzuna_payloads(posts: DataFrame) -> DataFrame:
-    return _payload(posts, _SLUG, """named_struct(
+def adzuna_payloads(posts: DataFrame, keyed: bool = False) -> DataFrame:
+    made = _payload(posts, _SLUG, """named_struct(
         'id', case when seq % 9 <> 0 then source_job_id end, 'title', title,
         'company', named_struct('display_name', company), 'location', named_struct('display_name', location),
         'redirect_url', url, 'description', description, 'created', concat(posted_at, 'T00:00:00Z'))""",
-        "results").select("payload")
+        "results")
+    return made.withColumnRenamed("key", "slug") if keyed else made.select("payload")
+
+
+def land(posts: DataFrame, root: str, runs: int, run: int) -> None:
+    """Write the postings of one of ``runs`` pulls as payload files, each posting in its own source's format.
+
+    Every third board has an unreadable payload beside it. One folder a payload: pull=…/source=…/slug=….
+    """
+    last = posts.agg(F.max("batch_id").alias("b")).first()["b"]
+    due = posts.filter(F.floor(F.col("batch_id") * runs / F.lit(last + 1)) == run)
+    shapes = {"greenhouse": greenhouse_payloads, "lever": lever_payloads, "ashby": ashby_payloads,
+              "github_repo": lambda p: tracker_payloads(p).withColumnRenamed("repo", "slug"),
+              "adzuna": lambda p: adzuna_payloads(p, keyed=True)}
+    files = None
+    for source, shape in shapes.items():
+        body = shape(due.filter(F.col("source") == source)).select(
+            F.lit("tracker_feed" if source == "github_repo" else source).alias("source"), "slug", F.col("payload").alias("value"))
+        broken = body.filter("cast(substring_index(slug, '_', -1) as int) % 3 = 1").select(
+            "source", F.concat(F.lit("broken_"), "slug").alias("slug"), F.concat(F.lit("{broken "), "slug").alias("value"))
+        part = body.unionByName(broken)
+        files = part if files is None else files.unionByName(part)
+    files = files.withColumn("pull", F.lit(run)).repartition("source", "slug")
+    files.write.mode("append").partitionBy("pull", "source", "slug").text(root)
 
 
 def tracker_payloads(posts: DataFrame) -> DataFrame:

@@ -39,21 +39,32 @@ def day(c: Column) -> Column:
 
 
 def landed(raw: DataFrame, *parts: str) -> DataFrame:
-    """Adds ``_file``, which orders payloads: ``parts``, then the landed file where it is known."""
-    return raw.withColumn("_file", F.concat_ws("|", *parts, *(["file"] if "file" in raw.columns else [])))
+    """Adds ``_file``, which orders payloads: the landed file where it is known, then ``parts``."""
+    return raw.withColumn("_file", F.concat_ws("|", *(["file"] if "file" in raw.columns else []), *parts))
+
+
+def listed(raw: DataFrame, schema: str, field: str | None) -> Column:
+    """A payload's list: as :func:`parsed_once` has left it, else parsed here. Null where there is none."""
+    if "_items" in raw.columns:
+        return F.col("_items")
+    parsed = F.from_json("payload", schema)
+    return parsed[field] if field else parsed
+
+
+def parsed_once(raw: DataFrame, schema: str, field: str | None) -> DataFrame:
+    """``raw`` with ``_items``, the list, and ``_sha``; the payload itself stays only where it holds no readable list."""
+    return (raw.withColumns({"_items": listed(raw, schema, field), "_sha": F.sha1("payload")})
+            .withColumn("payload", F.when(F.col("_items").isNull(), F.coalesce("payload", F.lit("")))))
 
 
 def items(raw: DataFrame, schema: str, field: str | None, *keep: str) -> DataFrame:
     """One row per payload item with its position; the payload itself is dropped."""
-    parsed = F.from_json("payload", schema)
-    listed = parsed[field] if field else parsed
-    return raw.select(*keep, F.posexplode_outer(listed).alias("pos", "j")).filter("j is not null")
+    return raw.select(*keep, F.posexplode_outer(listed(raw, schema, field)).alias("pos", "j")).filter("j is not null")
 
 
 def quarantine(raw: DataFrame, schema: str, field: str | None) -> DataFrame:
-    """Payloads that hold no readable list."""
-    parsed = F.from_json("payload", schema)
-    return raw.filter((parsed[field] if field else parsed).isNull())
+    """Payloads that hold no readable list. ``feeds.split_sources`` gives them beside the postings, from one parse."""
+    return raw.filter(listed(raw, schema, field).isNull())
 
 
 def arrival(rank: int, file_key: Column, pos: Column) -> Column:
@@ -107,7 +118,7 @@ def normalize_ashby(raw: DataFrame) -> DataFrame:
 def normalize_aggregator(raw: DataFrame) -> DataFrame:
     """``(payload)``; company and place come with each item, texts are plain."""
     place = text(F.col("j.location.display_name"))
-    keyed = landed(raw.withColumn("_sha", F.sha1("payload")), "_sha")
+    keyed = landed(raw if "_sha" in raw.columns else raw.withColumn("_sha", F.sha1("payload")), "_sha")
     return finish(items(keyed, ADZUNA, "results", "_file").select(
         F.lit("adzuna").alias("source"), F.coalesce("j.id", F.lit("None")).alias("source_job_id"),
         text(F.col("j.title")).alias("title"), text(F.col("j.company.display_name")).alias("company"),

@@ -4,11 +4,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions.infer import infer_start
 from postloom.functions.text import strip, text
+from postloom.session import cut_lineage
 from postloom.sources import boards, trackers
 
 Normalizer = Callable[[DataFrame], DataFrame]
@@ -23,8 +24,18 @@ REGISTRY: dict[str, Normalizer] = {
 }
 
 
-def register(name: str, normalizer: Normalizer) -> None:
+# what a payload of each format holds: the shape of its JSON and the field with the list; other formats are read as they are
+SHAPES: dict[str, tuple[str, str | None]] = {
+    "greenhouse": (boards.GREENHOUSE, "jobs"), "lever": (boards.LEVER, None), "ashby": (boards.ASHBY, "jobs"),
+    "tracker_feed": (trackers.FEED, None), "adzuna": (boards.ADZUNA, "results"),
+}
+
+
+def register(name: str, normalizer: Normalizer, schema: str | None = None, field: str | None = None) -> None:
     REGISTRY[name] = normalizer
+    SHAPES.pop(name, None)
+    if schema is not None:
+        SHAPES[name] = (schema, field)
 
 
 def read_payloads(spark: SparkSession, path: str, key: str = "slug") -> DataFrame:
@@ -33,13 +44,75 @@ def read_payloads(spark: SparkSession, path: str, key: str = "slug") -> DataFram
     ``file`` orders the pulls of one board by landing time, then by path, and tells their rows apart.
     """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    # the metadata column holds the path as a URI
-    place = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    place = _place()
     landed = F.lpad(F.unix_millis("_metadata.file_modification_time").cast("string"), 15, "0")
     return files.select(F.regexp_extract(place, r"([^/]+)/[^/]+\z", 1).alias(key), F.col("value").alias("payload"),
                         F.concat_ws(" ", landed, place).alias("file"))
 
 
+def _place() -> Column:
+    """A file's path; the metadata column holds it as a URI."""
+    return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+
+
+def landed_files(spark: SparkSession, root: str, stream: bool = False) -> DataFrame:
+    """Files below ``root``/pull/source/...: source, ``file`` (the path below ``root``), body and landed_at.
+
+    A folder may be called ``name=value``, which counts as ``value``. ``file`` orders all payloads: pulls are named so that
+    they sort by time. With ``stream`` it is a stream of the files as they land.
+    """
+    reader = spark.readStream if stream else spark.read
+    files = reader.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(root)
+    below = F.substring_index(_place(), "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    return files.select(F.regexp_extract(below, r"^[^/]*/([^/=]*=)?([^/]+)/", 2).alias("source"), below.alias("file"),
+                        F.col("value").alias("body"), F.col("_metadata.file_modification_time").alias("landed_at"))
+
+
+def of_source(files: DataFrame, source: str) -> DataFrame:
+    """The ``landed_files`` of one format, as its normalizer reads them.
+
+    Below the source's folder a board's files lie in a folder named by its slug, a feed's in one named owner/repository, and
+    Markdown lists under owner/repository/branch at their own path; one without a further folder is the list's front page.
+    """
+    below = F.regexp_replace(F.regexp_extract("file", r"^[^/]*/[^/]+/(.+)\z", 1), r"(^|/)[^/=]*=", "$1")
+    mine = files.filter(F.col("source") == source)
+    folder = F.regexp_extract(below, r"^(.*?)/?[^/]*\z", 1)
+    # the value of a name=value folder is escaped as in URLs
+    folder = F.when(F.col("file").contains("="), F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(folder)
+    if source == "tracker_table":
+        part = lambda i: F.regexp_extract(below, r"^([^/]+/[^/]+)/([^/]+)/(.+)\z", i)
+        front = F.lower(part(3)).rlike(r"^readme(\.md)?\z")
+        return mine.select(part(1).alias("repo"), part(2).alias("branch"), F.when(~front, part(3)).alias("path"),
+                           F.col("body").alias("markdown"), "file")
+    return mine.select(folder.alias("repo" if source == "tracker_feed" else "slug"), F.col("body").alias("payload"), "file")
+
+
+def split_sources(raw: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """S9 with its side output: (postings, quarantine). Each payload is parsed once, into a written table that both read.
+
+    Quarantined are payloads without a readable list: source, the payload's ``key`` (slug or repository), ``file`` where it
+    is known, and the payload.
+    """
+    unknown = set(raw) - set(REGISTRY)
+    if unknown:
+        raise ValueError(f"no normalizer registered for {sorted(unknown)}")
+    good, bad = [], []
+    for name, df in raw.items():
+        body = "payload" if "payload" in df.columns else "markdown"
+        if name in SHAPES:
+            parsed = cut_lineage(boards.parsed_once(df, *SHAPES[name]), f"parsed-{name}")
+            readable = F.col("_items").isNotNull()
+        else:
+            # a list is read line by line; without any table row it holds nothing
+            parsed, readable = df, F.coalesce(F.col(body).rlike(r"(?m)^\s*\|"), F.lit(False))
+        good.append(REGISTRY[name](parsed.filter(readable)))
+        key = next((F.col(c) for c in ("slug", "repo") if c in df.columns), F.lit(None).cast("string"))
+        file = F.col("file") if "file" in df.columns else F.lit(None).cast("string")
+        bad.append(parsed.filter(~readable).select(F.lit(name).alias("source"), key.alias("key"), file.alias("file"),
+                                                   F.col(body).alias("payload")))
+    return reduce(DataFrame.unionByName, good), reduce(DataFrame.unionByName, bad)
+
+
 def union_sources(raw: Mapping[str, DataFrame]) -> DataFrame:
     """All enabled sources as one table. A payload that does not parse adds no rows and stops nothing."""
     unknown = set(raw) - set(REGISTRY)

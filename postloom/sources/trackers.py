@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from postloom import lookups
 from postloom.functions.text import bind, lines, strip, text
 from postloom.operators.scale import unnest
-from postloom.sources.boards import arrival, filled, finish, mentions_remote
+from postloom.sources.boards import arrival, filled, finish, landed, listed, mentions_remote
 
 # fixed values: feed shape, link patterns, table vocabulary
 FEED = ("array<struct<id:string,company_name:string,title:string,locations:array<string>,url:string,active:boolean,"
@@ -30,13 +30,14 @@ def normalize_tracker_feed(raw: DataFrame, cap: int | None = None) -> DataFrame:
     A feed is one row, so choosing its head is an array sort inside the row. Equal
     dates keep the feed's order.
     """
-    parsed = F.from_json("payload", FEED)
+    raw = landed(raw, "repo")
+    parsed = listed(raw, FEED, None)
     indexed = F.transform(parsed, lambda x, i: F.struct((-F.coalesce(x["date_posted"], F.lit(0.0))).alias("neg"), i.alias("pos"), x.alias("x")))
     active = F.filter(indexed, lambda s: F.coalesce(s["x"]["active"] & s["x"]["is_visible"], F.lit(False)))
     slim = F.transform(active, lambda s: F.struct(s["neg"], s["pos"]))
     order = F.sort_array(slim) if cap is None else F.slice(F.sort_array(slim), 1, cap)
     kept = bind(parsed, lambda xs: F.transform(order, lambda s: F.struct(s["pos"].alias("pos"), F.get(xs, s["pos"]).alias("x"))))
-    rows = unnest(raw, kept, "repo")
+    rows = unnest(raw, kept, "repo", "_file")
     company, title = text(F.col("x.company_name")), text(F.col("x.title"))
     place = F.array_join(F.coalesce("x.locations", F.array().cast("array<string>")), ", ")
     degrees = F.array_join(F.coalesce("x.degrees", F.array().cast("array<string>")), ", ")
@@ -52,7 +53,7 @@ def normalize_tracker_feed(raw: DataFrame, cap: int | None = None) -> DataFrame:
         F.coalesce(filled(F.col("x.url")), F.concat(F.lit(HOST), "repo")).alias("url"), summary.alias("description"),
         # whole days since the epoch, so that the session time zone plays no part
         F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("x.date_posted") / 86400).cast("int")).cast("string").alias("posted_at"),
-        arrival(3, F.col("repo"), F.col("pos")).alias("arrival")))
+        arrival(3, F.col("_file"), F.col("pos")).alias("arrival")))
 
 
 def clean_cell(cell: Column) -> Column:
@@ -145,8 +146,8 @@ def parse_tracker_table(raw: DataFrame, cap: int | None = None) -> DataFrame:
     label = F.when(F.col("path").isNull(), F.col("repo")).otherwise(F.concat_ws("/", "repo", "path"))
     page = F.when(F.col("path").isNull(), F.concat(F.lit(HOST), "repo")).otherwise(
         F.concat(F.lit(HOST), "repo", F.lit("/blob/"), "branch", F.lit("/"), "path"))
-    rows = unnest(raw.withColumns({"label": label, "page": page, "hint": year_hint(F.col("repo"), F.col("path"))}),
-                  indexed, "label", "page", "hint")
+    named = raw.withColumns({"label": label, "page": page, "hint": year_hint(F.col("repo"), F.col("path"))})
+    rows = unnest(landed(named, "label"), indexed, "label", "page", "hint", "_file")
     company, role, place = F.col("r.company"), F.col("r.role"), F.col("r.location")
     return finish(rows.select(
         F.lit("github_repo").alias("source"),
@@ -155,4 +156,4 @@ def parse_tracker_table(raw: DataFrame, cap: int | None = None) -> DataFrame:
         F.coalesce(F.col("r.url"), F.col("page")).alias("url"),
         # fixed value: the summary sentence
         F.concat(role, F.lit(" at "), company, F.lit(". Location: "), place, F.lit(". Source: "), "label", F.lit(".")).alias("description"),
-        F.coalesce("r.year", "hint").alias("start_year"), arrival(3, F.col("label"), F.col("pos")).alias("arrival")))
+        F.coalesce("r.year", "hint").alias("start_year"), arrival(3, F.col("_file"), F.col("pos")).alias("arrival")))
