@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from postloom import lookups
 from postloom.functions.infer import content_key, dedup_key, infer_country, is_remote
 from postloom.functions.text import normalize_text, sentences, strip_markup_board, strip_markup_page, strip_markup_plain
-from postloom.operators import analysis, dedup, enrich, filters, keywords, matching, prompts, state
+from postloom.operators import analysis, dedup, enrich, filters, keywords, matching, profiles, prompts, state
 from postloom.operators.scale import fits_broadcast, spread, unnest
 from postloom.plans import overlay
 from postloom.session import cut_lineage, scratch_path
@@ -163,6 +163,19 @@ def filter_multi_profile(spark, sf):
     return filters.filter_multi_profile(_started(spark, sf), overlay.PROFILES, "seq")
 
 
+@query
+def filter_profile_table(spark, sf):
+    """F7 with the profiles as a table."""
+    table = profiles.profile_table(spark, overlay.PROFILES)
+    return profiles.filter_profile_table(_started(spark, sf), table, "seq")
+
+
+@query
+def passing_pairs(spark, sf):
+    """The postings that pass each profile of a table, without forming the other pairs."""
+    return profiles.passing_pairs(_started(spark, sf), profiles.profile_table(spark, overlay.PROFILES), "seq")
+
+
 @query
 def prune(spark, sf):
     kept, gone = filters.prune(_started(spark, sf), overlay.PROFILE["A"], F.lit("2026-06-02"))

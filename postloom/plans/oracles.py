@@ -470,6 +470,8 @@ oracle("posting_keys", "SELECT seq, dedup_key, content_key FROM started", "start
 oracle("filter_reasons", "SELECT seq, reject_reason FROM judged WHERE profile_id = 'A'", "judged")
 oracle("filter_reason_counts", "SELECT profile_id, coalesce(reject_reason, 'passes') AS reason, count(*) AS n FROM judged GROUP BY ALL", "judged")
 oracle("filter_multi_profile", "SELECT * FROM judged", "judged")
+oracle("filter_profile_table", "SELECT * FROM judged", "judged")
+oracle("passing_pairs", "SELECT profile_id, seq FROM judged WHERE reject_reason IS NULL", "judged")
 oracle("prune", "SELECT seq, CASE WHEN reject_reason IS NOT NULL THEN dedup_key END AS tombstone FROM judged JOIN started USING (seq) WHERE profile_id = 'A'", "judged", "started")
 
 oracle("dedup_insert", "SELECT seq, dedup_key, content_key, 'to_apply' AS status FROM inserted JOIN started USING (seq) WHERE ok", "inserted", "started")
