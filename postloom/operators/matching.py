@@ -1,16 +1,20 @@
 """Résumé features and tiered keyword matching (M1-M4)."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from postloom import lookups
 from postloom.functions.text import bind, lines, normalize_text, sentences, text, word_tokens
 from postloom.operators.keywords import SKILL_SCAN, canonical
 from postloom.operators.scale import hot_keys, salted_join, unnest
+from postloom.session import cut_lineage
 
 GRAMS = (7, 4)       # block lengths for the substring tier, longest first
 HOT_GRAM_ROWS = 500_000
+LONG_TOKEN = 40      # characters; longer tokens meet on pieces wherever they stand
 
 
 # --- features -------------------------------------------------------------------
@@ -91,19 +95,22 @@ def _boundary_hits(names: DataFrame, candidates: DataFrame, fits: bool) -> DataF
     return plain.unionByName(checked)
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, one table row at a time."""
-    n = F.length(b)
-    start = F.array_repeat(F.lit(0), n + 1)
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence: a table row as the bits of one number (Hyyrö 2004)."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & where.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
-    def next_row(row: Column, ch: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            value = F.when(F.substr(b, j, F.lit(1)) == ch, F.get(row, j - 1) + 1).otherwise(
-                F.greatest(F.get(row, j), F.get(acc, j - 1)))
-            return F.concat(acc, F.array(value))
-        return F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0)), cell)
 
-    return F.element_at(F.aggregate(F.split(a, "", -1), start, next_row), -1)
+@F.pandas_udf(IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([common_subsequence(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
 def _near_hits(names: DataFrame, terms: DataFrame) -> DataFrame:
@@ -112,31 +119,43 @@ def _near_hits(names: DataFrame, terms: DataFrame) -> DataFrame:
     That means at most (la + lb) / 10 insertions and deletions. A keyword cut into one
     more piece than the operations it may suffer keeps one piece whole, shifted by no
     more than that number. So keywords meet distinct résumé terms on (length, piece
-    number, piece) and only the few that share a piece are compared.
+    number, piece) and only the few that share a piece are compared. Terms are cut only
+    for the lengths that keywords have. Beyond LONG_TOKEN characters pieces meet at
+    whatever place, so a term has one row a character and not one a piece and shift.
     """
     most = "cast((la + (11 * la) div 9) div 10 as int)"
     starts = "(j * (la div (k + 1)) + greatest(0, j - (k + 1 - la % (k + 1))))"
     width = "(la div (k + 1) + case when j >= k + 1 - la % (k + 1) then 1 else 0 end)"
+    key = f"concat_ws('|', la, case when la <= {LONG_TOKEN} then cast(j as string) else 'any' end, {{piece}}) as piece"
 
     asked = (names.filter(F.length("keyword") >= 5)
              .withColumn("la", F.length("keyword")).withColumn("k", F.expr(most))
              .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k"))))
-             .selectExpr("keyword", f"concat_ws('|', la, j, substr(keyword, cast({starts} + 1 as int), cast({width} as int))) as piece"))
+             .selectExpr("keyword", key.format(piece=f"substr(keyword, cast({starts} + 1 as int), cast({width} as int))")).distinct())
+    lengths = names.filter(F.length("keyword") >= 5).select(F.length("keyword").alias("la")).distinct()
     vocabulary = terms.filter(F.length("term") >= 5).select("term").distinct()
-    held = (vocabulary.withColumn("lb", F.length("term"))
-            .withColumn("la", F.explode(F.expr("sequence(greatest(5, (9 * lb + 10) div 11), (11 * lb) div 9)")))
-            .withColumn("k", F.expr(most)).withColumn("d", F.expr("cast((la + lb) div 10 as int)"))
-            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k"))))
-            .withColumn("s", F.expr(starts)).withColumn("w", F.expr(width))
-            .withColumn("at", F.explode(F.expr("sequence(s - d, s + d)")))
-            .filter("at >= 0 and at + w <= lb")
-            .selectExpr("term", "concat_ws('|', la, j, substr(term, cast(at + 1 as int), cast(w as int))) as piece").distinct())
-    pairs = asked.join(held, "piece").select("keyword", "term").distinct()
+    sized = (vocabulary.withColumn("lb", F.length("term"))
+             .withColumn("la", F.explode(F.expr("sequence(greatest(5, (9 * lb + 10) div 11), (11 * lb) div 9)")))
+             .join(lengths, "la").withColumn("k", F.expr(most)))
+    placed = (sized.filter(F.col("la") <= LONG_TOKEN).withColumn("d", F.expr("cast((la + lb) div 10 as int)"))
+              .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k"))))
+              .withColumn("s", F.expr(starts)).withColumn("w", F.expr(width))
+              .withColumn("at", F.explode(F.expr("sequence(s - d, s + d)")))
+              .filter("at >= 0 and at + w <= lb"))
+    anywhere = (sized.filter(F.col("la") > LONG_TOKEN).withColumn("j", F.lit(0))
+                .withColumn("w", F.explode(F.expr("array_distinct(array(la div (k + 1), la div (k + 1) + sign(la % (k + 1))))").cast("array<int>")))
+                .withColumn("at", F.explode(F.expr("sequence(0, greatest(lb - w, 0))"))))
+    cut = key.format(piece="substr(term, cast(at + 1 as int), cast(w as int))")
+    held = placed.selectExpr("term", cut).unionByName(anywhere.selectExpr("term", cut)).distinct()
+    pairs = (salted_join(held, asked, "piece", "inner", hot_keys(held, "piece", HOT_GRAM_ROWS), F.col("term"))
+             .select("keyword", "term").distinct())
+    # written, or the comparison would be pushed below and be made once for every piece that two tokens share
+    pairs = cut_lineage(pairs, "near-pairs")
     allowed = (F.length("keyword") + F.length("term"))
     close = pairs.filter(F.levenshtein("keyword", "term") * 10 <= allowed)
-    indel = allowed - 2 * lcs_length(F.col("keyword"), F.col("term"))
+    indel = allowed - 2 * lcs_length("keyword", "term")
     near = close.filter(indel * (100 // (100 - lookups.FUZZY_RATIO)) <= allowed)
-    return near.join(terms, "term").select("candidate_id", "keyword")
+    return salted_join(terms, near, "term", "inner", hot_keys(terms, "term", HOT_GRAM_ROWS), F.col("candidate_id")).select("candidate_id", "keyword")
 
 
 def keyword_hits(names: DataFrame, candidates: DataFrame, fits: bool = False) -> DataFrame:

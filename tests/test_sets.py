@@ -80,6 +80,36 @@ def test_near_matches_lose_nothing(spark):
     assert ("kubernetes", "kubernetes") in got and ("python", "pythom") not in got
 
 
+def test_near_matches_of_long_tokens(spark):
+    """Tokens around and beyond the length where pieces meet at any place, some of thousands of characters."""
+    rng = random.Random(4)
+
+    def changed(word, n):
+        chars = list(word)
+        for _ in range(n):
+            at = rng.randrange(len(chars))
+            if rng.random() < 0.5:
+                chars.pop(at)
+            else:
+                chars.insert(at, rng.choice("abcdefgh"))
+        return "".join(chars)
+
+    words = set()
+    for size in (36, 39, 41, 44, 60, 130):
+        base = "".join(rng.choice("abcdefgh") for _ in range(size))
+        words |= {base, *(changed(base, rng.randrange(1, size // 6)) for _ in range(6))}
+    giant = "".join(rng.choice("abcdefgh") for _ in range(5000))
+    giants = {giant, changed(giant, 300), changed(giant, 900), changed(giant, 2500)}
+    names = spark.createDataFrame([(w,) for w in sorted(words | giants)], "keyword string")
+    terms = spark.createDataFrame([(w, w) for w in sorted(words | giants)], "candidate_id string, term string")
+    got = {(r["keyword"], r["candidate_id"]) for r in matching._near_hits(names, terms).collect()}
+    same = lambda a, b: matching.common_subsequence(a, b)
+    assert all(same(a, b) == lcs(a, b) for a, b in itertools.combinations(sorted(words)[:12], 2))
+    want = {(a, b) for a, b in itertools.product(words | giants, repeat=2) if abs(len(a) - len(b)) * 9 < len(a) + len(b)
+            and 200 * same(a, b) >= lookups.FUZZY_RATIO * (len(a) + len(b))}
+    assert got == want and len([p for p in got if p[0] in giants and p[0] != p[1]]) > 0
+
+
 def test_tiers_equal_brute_force(spark, sf):
     names = cut_lineage(catalog._keyword_rows(spark, sf).select("keyword").distinct())
     cands = overlay.candidates(spark, sf)
