@@ -30,7 +30,7 @@ from postloom.llm.common import fields, groups
 
 VOCABULARY = "word_bpe_49k.json"
 END, FULL = 1, 2048
-KNOWN_CHARS = 1_500_000             # characters of the words whose ids a worker keeps, in each of two generations
+KNOWN_CHARS = 4_000_000             # characters of the words whose ids a worker keeps, in each of two generations
 LONG_WORD = 100                     # a longer word is encoded each time
 GROUP_CHARS = 1_000_000             # bytes of texts handled together
 GROUP = 200                         # words that are encoded as one text
@@ -106,10 +106,15 @@ class WordIds:
         get = lambda c: ids.get(c) or self.young.get(c) or self.old.get(c, b"")
         made.update(ids)
         made.update((w, get(core) + get(tail) if tail else get(core)) for w, (core, tail) in split.items())
-        short = {w: x for w, x in made.items() if len(w) <= LONG_WORD}
-        self.young.update(short)
-        self.young_chars += sum(map(len, short))
-        return self.young if len(short) == len(made) else self.young | made
+        if max(map(len, made), default=0) > LONG_WORD:
+            self._keep({w: x for w, x in made.items() if len(w) <= LONG_WORD})
+            return self.young | made
+        self._keep(made)
+        return self.young
+
+    def _keep(self, made: dict[bytes, bytes]) -> None:
+        self.young.update(made)
+        self.young_chars += sum(map(len, made))
 
 
 def pieces_of(n: int, full: int = FULL) -> list[tuple[int, int]]:
