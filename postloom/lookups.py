@@ -10,31 +10,24 @@ STATUSES = ["to_apply", "applied", "interviewing", "offer", "rejected", "archive
 
 # --- fixed values: skill taxonomy --------------------------------------------
 KNOWN_SKILLS = [
-    # languages
     "python", "java", "javascript", "typescript", "c++", "c#", "go", "golang",
     "rust", "ruby", "php", "scala", "kotlin", "swift", "r", "matlab", "sql",
     "bash", "shell", "perl", "objective-c", "dart", "elixir", "haskell",
-    # web / frontend
     "react", "react native", "next.js", "vue", "vue.js", "angular", "svelte",
     "redux", "tailwind", "html", "css", "sass", "webpack", "vite", "graphql",
     "rest", "rest api", "restful", "grpc", "websocket",
-    # backend / frameworks
     "node.js", "express", "django", "flask", "fastapi", "spring", "spring boot",
     ".net", "asp.net", "rails", "ruby on rails", "laravel", "nestjs",
-    # data / ml
     "machine learning", "deep learning", "nlp", "computer vision", "pytorch",
     "tensorflow", "keras", "scikit-learn", "pandas", "numpy", "spark",
     "hadoop", "airflow", "kafka", "data pipeline", "etl", "data engineering",
     "llm", "transformers", "hugging face", "data analysis", "data science",
-    # cloud / infra / devops
     "aws", "azure", "gcp", "google cloud", "docker", "kubernetes", "k8s",
     "terraform", "ansible", "jenkins", "ci/cd", "cicd", "github actions",
     "gitlab", "circleci", "linux", "unix", "nginx", "microservices",
     "serverless", "lambda", "ec2", "s3", "helm", "prometheus", "grafana",
-    # databases
     "postgresql", "postgres", "mysql", "mongodb", "redis", "elasticsearch",
     "dynamodb", "cassandra", "sqlite", "snowflake", "bigquery", "redshift",
-    # methods / other
     "agile", "scrum", "kanban", "tdd", "oop", "system design", "distributed systems",
     "git", "jira", "unit testing", "integration testing", "object oriented",
     "algorithms", "data structures", "api design", "concurrency",
