@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom import lookups
-from postloom.operators import analysis, dedup, filters, matching, scale, state
+from postloom.operators import analysis, components, dedup, filters, matching, scale, state
 from postloom.plans import catalog, overlay
 from postloom.session import cut_lineage
 from postloom.sources import feeds
@@ -39,6 +39,46 @@ def test_refused_rows_claim_no_keys(spark):
     assert sorted(r.seq for r in dedup.accepted_keys(keyed(spark, rows)).collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("most", [8, 10**6])
+def test_dedup_by_components(spark, most):
+    """Small, mixed and no large components give the rows of an insertion one by one."""
+    rng = random.Random(11)
+    rows = [(i, f"d{rng.randrange(160)}", f"c{rng.randrange(150)}") for i in range(260)]
+    rows += [(1000 + i, f"e{(i + 1) // 2}", f"f{i // 2}") for i in range(30)]
+    rng.shuffle(rows)
+    got = dedup.accepted_keys(keyed(spark, rows).repartition(5), rounds=1, component_rows=most)
+    assert sorted(r.seq for r in got.collect()) == greedy(rows)
+
+
+def test_long_chain_in_bounded_steps(spark, monkeypatch):
+    """10,000 rows that share keys in turn: the tables written don't grow with the chain."""
+    chain = [(i, f"d{(i + 1) // 2}", f"c{i // 2}") for i in range(10_000)]
+    written = []
+    for module in (dedup, components):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, label: written.append(label) or cut_lineage(df, label))
+    got = dedup.accepted_keys(keyed(spark, chain))
+    assert sorted(r.seq for r in got.collect()) == greedy(chain)
+    assert len(written) < 80, len(written)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(180)] + [(-1, i) for i in range(0, 400, 3)] + [(7, 7)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {n: n for e in edges for n in e}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        root[top(a)] = top(b)
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    assert set(got) == linked
+    assert len({(top(n), got[n]) for n in linked}) == len({top(n) for n in linked}) == len(set(got.values()))
+
+
 def test_dedup_chain_and_empty(spark):
     chain = [(i, f"d{(i + 1) // 2}", f"c{i // 2}") for i in range(12)]
     assert sorted(r.seq for r in dedup.accepted_keys(keyed(spark, chain)).collect()) == greedy(chain)
