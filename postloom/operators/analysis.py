@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postloom import lookups
@@ -19,6 +20,7 @@ PAIR = ("posting_id", "candidate_id")
 # weight of a word that only one of two documents has, squared (the shared ones weigh 1)
 LONE = "pow(1 + ln(1.5D), 2)"
 HITS_BROADCAST_ROWS = 1_000_000
+COVERAGE_POINTS, SIMILARITY_POINTS = 80.0, 20.0     # of the 100 points of a score
 
 
 def posting_features(postings: DataFrame, stop_words: Sequence[str] = lookups.STOP_WORDS) -> DataFrame:
@@ -102,8 +104,17 @@ def _meet(left: DataFrame, right: DataFrame, key: str, small: bool) -> DataFrame
     return salted_join(left, right, both, "inner", hot_keys(left, both), F.col("posting_id"))
 
 
-def pairs(a: Analysis) -> DataFrame:
-    """(posting, candidate) pairs to analyse, with the posting's totals."""
+def _meet_wanted(a: Analysis, left: DataFrame, right: DataFrame, key: str, wanted: DataFrame, small: bool) -> DataFrame:
+    """``left`` and ``right`` on ``key`` for the ``wanted`` pairs alone: rows of other pairs are never formed."""
+    rows = wanted.select(*PAIR).join(left.drop("profiles"), "posting_id")
+    both = ["candidate_id", key]
+    if small:
+        return rows.join(F.broadcast(right), both)
+    return salted_join(rows, right, both, "inner", hot_keys(rows, both), F.col("posting_id"))
+
+
+def pairs(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
+    """(posting, candidate) pairs to analyse, all or the ``wanted`` ones, with the posting's totals."""
     found = F.col("keywords")
     posting = a.postings.select(
         "posting_id", F.explode("profiles").alias("profile_id"),
@@ -114,13 +125,18 @@ def pairs(a: Analysis) -> DataFrame:
     words = built_once(_words, "text", tuple(a.stop_words))
     candidate = a.candidates.select("candidate_id", "profile_id", F.aggregate(
         words, F.lit(0).cast("long"), lambda acc, w: acc + w["n"] * w["n"]).alias("candidate_sq"))
+    if wanted is not None:
+        candidate = wanted.select(*PAIR).join(maybe_broadcast(candidate, a.fits), "candidate_id")
+        return posting.join(candidate, ["posting_id", "profile_id"])
     if a.fits:
         return posting.join(F.broadcast(candidate), "profile_id")
     return salted_join(posting, candidate, "profile_id", "inner", hot_keys(posting, "profile_id"), F.col("posting_id"))
 
 
-def matched_keywords(a: Analysis) -> DataFrame:
-    """(posting, candidate, keyword) for keywords the candidate has."""
+def matched_keywords(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
+    """(posting, candidate, keyword) for keywords the candidate has; of the ``wanted`` pairs only, if given."""
+    if wanted is not None:
+        return _meet_wanted(a, posting_keywords(a), a.hits.drop("profile_id"), "keyword", wanted, a.hits_fit)
     return _meet(posting_keywords(a), a.hits, "keyword", a.hits_fit)
 
 
@@ -132,36 +148,45 @@ def matched_missing(a: Analysis) -> DataFrame:
     return all_rows.join(maybe_broadcast(found, a.hits_fit), ["candidate_id", "keyword"], "left")
 
 
-def shared_words(a: Analysis) -> DataFrame:
+def shared_words(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
     """R3's sums per pair over the words both texts have; combined before the shuffle."""
     left = unnest(a.postings, F.col("words"), "posting_id", "profiles").withColumnRenamed("n", "tf")
     words = built_once(_words, "text", tuple(a.stop_words))
     right = unnest(a.candidates, words, "candidate_id", "profile_id").withColumnRenamed("n", "ctf")
-    return _meet(left, right, "value", a.fits).groupBy(*PAIR).agg(
+    met = (_meet(left, right, "value", a.fits) if wanted is None
+           else _meet_wanted(a, left, right.drop("profile_id"), "value", wanted, a.fits))
+    return met.groupBy(*PAIR).agg(
         F.sum(F.col("tf") * F.col("ctf")).alias("dot"),
         F.sum(F.col("tf") * F.col("tf")).alias("posting_shared"),
         F.sum(F.col("ctf") * F.col("ctf")).alias("candidate_shared"))
 
 
-def pair_similarity(a: Analysis) -> DataFrame:
-    """R3 per pair.
+def pair_similarity(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
+    """R3 per pair, for all pairs or the ``wanted`` ones.
 
     With two documents a shared word has idf 1 and a lone word one fixed idf, so the
     cosine follows from sums over shared words and two totals; no vectors are built.
     """
-    base = pairs(a).join(shared_words(a), list(PAIR), "left").na.fill(0, ["dot", "posting_shared", "candidate_shared"])
+    base = pairs(a, wanted).join(shared_words(a, wanted), list(PAIR), "left").na.fill(0, ["dot", "posting_shared", "candidate_shared"])
     length = "({lone} * {all} - ({lone} - 1) * {shared})"
     a2 = length.format(lone=LONE, all="posting_sq", shared="posting_shared")
     b2 = length.format(lone=LONE, all="candidate_sq", shared="candidate_shared")
     return base.withColumn("similarity", F.expr(f"case when dot = 0 then 0D else dot / sqrt({a2} * {b2}) end"))
 
 
-def pair_scores(a: Analysis) -> DataFrame:
-    """One row per pair with coverage, match rate, similarity and score."""
-    credit = matched_keywords(a).groupBy(*PAIR).agg(
+def keyword_credit(a: Analysis) -> DataFrame:
+    """Per pair with a keyword in common: the importance and number of the matched ones."""
+    return matched_keywords(a).groupBy(*PAIR).agg(
         F.sum("importance").alias("matched_weight"), F.count(F.lit(1)).alias("matched"),
         F.count_if(F.col("section") == "required").alias("required_matched"))
-    base = pair_similarity(a).join(credit, list(PAIR), "left")
+
+
+def pair_scores(a: Analysis, wanted: DataFrame | None = None, credit: DataFrame | None = None) -> DataFrame:
+    """One row per pair with coverage, match rate, similarity and score.
+
+    ``wanted`` limits the work to the given pairs; ``credit`` is a written :func:`keyword_credit`.
+    """
+    base = pair_similarity(a, wanted).join(keyword_credit(a) if credit is None else credit, list(PAIR), "left")
     return (base.na.fill(0, ["matched_weight", "matched", "required_matched"])
             .withColumn("coverage", F.expr("matched_weight / case when total_weight = 0 then 1D else total_weight end"))
             .withColumn("match_rate", F.expr("100D * matched / greatest(total, 1)"))
@@ -170,6 +195,35 @@ def pair_scores(a: Analysis) -> DataFrame:
                     "total", "matched", "required_total", "required_matched"))
 
 
+def contenders(a: Analysis, k: int, credit: DataFrame, slack: float = 1e-4) -> DataFrame:
+    """The pairs that may be among the ``k`` best of their candidate; every other pair certainly is not.
+
+    Keywords in common, found through the keyword index, give a pair's coverage and so bound its score: from below with
+    no similarity, from above with all of it. The ``k`` pairs with the best lower bounds are scored, and the least of
+    their scores is the candidate's bar. Only pairs whose upper bound reaches the bar can still be among the best; pairs
+    without a common keyword only where the bar is within the points of similarity, or where fewer than ``k`` pairs
+    have one. ``slack`` covers scores that are ranked after rounding.
+    """
+    weight = a.postings.select("posting_id", F.aggregate("keywords", F.lit(0.0), lambda acc, w: acc + w["importance"]).alias("total_weight"))
+    least = cut_lineage(credit.join(weight, "posting_id").select(
+        *PAIR, F.expr(f"{COVERAGE_POINTS}D * matched_weight / case when total_weight = 0 then 1D else total_weight end").alias("least")), "bounds")
+    order = W.partitionBy("candidate_id").orderBy(F.col("least").desc(), "posting_id")
+    first = cut_lineage(least.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select(*PAIR), "first")
+    scored = pair_scores(a, first, credit).groupBy("candidate_id").agg(F.min("ats_score").alias("bar"), F.count(F.lit(1)).alias("n"))
+    bar = cut_lineage(scored.filter(F.col("n") >= k).select("candidate_id", (F.col("bar") - slack).alias("bar")), "bars")
+    reach = (least.join(bar, "candidate_id", "left")
+             .filter(F.coalesce(F.col("least") + SIMILARITY_POINTS >= F.col("bar"), F.lit(True))).select(*PAIR))
+    open_to_all = a.candidates.join(bar.filter(F.col("bar") > SIMILARITY_POINTS), "candidate_id", "left_anti")
+    rest = pairs(Analysis(a.postings, open_to_all, a.fits, a.stop_words, a.hit_rows)).select(*PAIR)
+    return cut_lineage(reach.union(rest).distinct(), "contenders")
+
+
+def top_scores(a: Analysis, k: int) -> DataFrame:
+    """:func:`pair_scores` of the pairs that :func:`contenders` leaves; its ``k`` best per candidate are those of all."""
+    credit = cut_lineage(keyword_credit(a), "credit")
+    return pair_scores(a, contenders(a, k, credit), credit)
+
+
 # --- spots ------------------------------------------------------------------------
 
 def bullet_vectors(candidates: DataFrame, stop_words: Sequence[str] = lookups.STOP_WORDS) -> DataFrame:
@@ -239,8 +293,7 @@ def pair_gaps(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
     ``wanted`` limits the work to the given pairs, for reports on a few per candidate.
     """
     asked = pairs(a).select(*PAIR) if wanted is None else wanted.select(*PAIR)
-    found = matched_keywords(a) if wanted is None else matched_keywords(a).join(wanted, list(PAIR), "left_semi")
-    held = found.groupBy(*PAIR).agg(F.sort_array(F.collect_list("keyword")).alias("matched_keywords"))
+    held = matched_keywords(a, wanted).groupBy(*PAIR).agg(F.sort_array(F.collect_list("keyword")).alias("matched_keywords"))
     rows = asked.join(held, list(PAIR), "left").withColumn(
         "matched_keywords", F.coalesce("matched_keywords", F.array().cast("array<string>")))
     with_all = rows.join(a.postings.select("posting_id", "keywords"), "posting_id")

@@ -230,7 +230,7 @@ def list_by_score(spark, sf):
 def top_k_per_candidate(spark, sf):
     a = _analysis(spark, sf)
     order = overlay.postings(spark, sf).select(F.col("seq").alias("posting_id"), "created_at")
-    scored = analysis.pair_scores(a).withColumn("ats_score", F.round("ats_score", 4)).join(order, "posting_id").withColumn("id", F.col("posting_id"))
+    scored = analysis.top_scores(a, 10).withColumn("ats_score", F.round("ats_score", 4)).join(order, "posting_id").withColumn("id", F.col("posting_id"))
     top = state.top_k_postings(scored, 10, "candidate_id")
     return top.select("candidate_id", "posting_id", F.col("rank").cast("long").alias("rank"), "ats_score")
 
@@ -459,7 +459,7 @@ def top_matches(spark, sf):
     """Flagship: each candidate's ten best postings with band, required coverage and first gaps."""
     a = _analysis(spark, sf)
     listed = overlay.postings(spark, sf).select(F.col("seq").alias("posting_id"), "created_at", "title", "company")
-    scored = analysis.pair_scores(a).withColumn("ats_score", F.round("ats_score", 4)).join(listed, "posting_id").withColumn("id", F.col("posting_id"))
+    scored = analysis.top_scores(a, 10).withColumn("ats_score", F.round("ats_score", 4)).join(listed, "posting_id").withColumn("id", F.col("posting_id"))
     top = cut_lineage(state.top_k_postings(scored, 10, "candidate_id"), "top")
     gaps = analysis.pair_gaps(a, top.select(*analysis.PAIR))
     first = F.array_join(F.transform(F.slice("gaps", 1, 3), lambda g: g["keyword"]), ", ")

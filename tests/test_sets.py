@@ -254,3 +254,23 @@ def test_plans(spark, sf):
         assert plan(catalog.QUERIES[name](spark, sf)).count("Exchange") <= 1
     assert "WindowGroupLimit" in plan(state.top_k_postings(
         analysis.pair_scores(a).selectExpr("*", "posting_id as id", "posting_id as created_at"), 10, "candidate_id"))
+
+
+def test_best_pairs_without_scoring_all(spark, sf):
+    """Few pairs are scored, and the best of each candidate are those of scoring all; likewise through shuffles."""
+    a = catalog._analysis(spark, sf)
+    every = sorted((r.candidate_id, -round(r.ats_score, 6), r.posting_id) for r in analysis.pair_scores(a).collect())
+    best = lambda rows, k: [r for _, rs in itertools.groupby(rows, lambda r: r[0]) for r in itertools.islice(rs, k)]
+    credit = analysis.keyword_credit(a)
+    for k in (1, 3):
+        few = analysis.contenders(a, k, credit)
+        got = sorted((r.candidate_id, -round(r.ats_score, 6), r.posting_id) for r in analysis.pair_scores(a, few).collect())
+        assert best(got, k) == best(every, k) and len(got) == few.count() < len(every) / 2, (len(got), len(every))
+    # more asked for than there are: all pairs, those without a common keyword too
+    assert analysis.contenders(a, len(every) + 1, credit).count() == len(every)
+    wide = analysis.Analysis(a.postings, a.candidates, False, a.stop_words, 0)
+    got = sorted((r.candidate_id, -round(r.ats_score, 6), r.posting_id) for r in analysis.top_scores(wide, 3).collect())
+    assert best(got, 3) == best(every, 3)
+    gaps = {(r.posting_id, r.candidate_id): r for r in analysis.pair_gaps(a).collect()}
+    some = analysis.contenders(a, 2, credit)
+    assert all(gaps[r.posting_id, r.candidate_id] == r for r in analysis.pair_gaps(wide, some).collect())
