@@ -1,4 +1,6 @@
 """The training-text operators on odd inputs, and against brute force."""
+import re
+import math
 import random
 import zlib
 from collections import Counter
@@ -351,6 +353,60 @@ def test_licenses_however_frequent(spark):
     assert licenses.scan(docs(spark, [(1, "redistribution and use in source and binary forms. conditions are met"), (2, "b")])).first()["labels"] == ""
 
 
+def licences_one_by_one(rows, templates, coverage):
+    """Every template at every place of every file, and every place of every base phrase."""
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "") for _, t in rows]
+    files = [re.findall(licenses.WORD, t) for t in low]
+    df = Counter(w for ws in files for w in set(ws))
+    idf = lambda w: max(licenses.LEAST, math.log((len(files) + 1) / df.get(w, 1)))
+    out = {}
+    for (i, _), ws in zip(rows, files, strict=True):
+        line, own, base = f" {' '.join(ws)} ", set(), []
+        for name, (notice, keys) in templates.items():
+            words = notice.split()
+            held = max(sum(idf(w) for k, w in enumerate(words) if 0 <= at + k < len(ws) and ws[at + k] == w)
+                       for at in range(-len(words), len(ws) + 1))
+            if held >= coverage * sum(map(idf, words)) and all(f" {k} " in line for k in keys):
+                own.add(name)
+        for phrase, label in licenses.BASE.items():
+            p = phrase.split()
+            base += [(at, label) for at in range(len(ws)) if ws[at:at + len(p)] == p]
+        out[i] = (len(ws), len(base), min(base)[0] if base else None, max(base)[0] if base else None,
+                  ",".join(sorted({n for _, n in base})), tuple(sorted(own)))
+    return out
+
+
+def test_licenses_equal_all_places(spark):
+    rng = random.Random(12)
+    words = sorted({w for t, _ in licenses.TEMPLATES.values() for w in t.split()})
+    notices = [t for t, _ in licenses.TEMPLATES.values()]
+
+    def text():
+        parts = []
+        for _ in range(rng.randrange(4)):
+            part = [w for w in rng.choice(notices).split() if rng.random() > 0.04]
+            part = [rng.choice(words) if rng.random() < 0.08 else w.upper() if rng.random() < 0.2 else w for w in part]
+            parts += [rng.choice(words) for _ in range(rng.randrange(9))] + part[rng.choice([0, 0, 3]):]
+        parts += rng.choice([["MIT", "License"], ["general", "public", "license"], ["plain"], []])
+        return rng.choice([" ", ", ", "\n"]).join(parts)
+
+    rows = [(i, text()) for i in range(250)] + [(900, None), (901, "caf\u00e9 mit license\u00e9"), (902, "license " * 3000)]
+    bare = {n: v for n, v in licenses.TEMPLATES.items() if "license" not in v[0].split()}
+    for templates, coverage in ((licenses.TEMPLATES, licenses.COVERAGE), (licenses.TEMPLATES, 0.4), (bare, 0.9)):
+        got = {r["doc_id"]: (*(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")),
+                             tuple(f["template"] for f in r["found"] or ()))
+               for r in licenses.scan(docs(spark, rows), templates, coverage).collect()}
+        assert got == licences_one_by_one(rows, templates, coverage)
+        assert sum(bool(v[5]) for v in got.values()) > 30 and any(v[1] for v in got.values())
+
+
+def test_rare_words_leave_too_little_for_a_notice():
+    idf = {"a": 3.0, "b": 2.0, "c": 1.0, "d": 1e-6}
+    for words in (["a", "b", "c", "d"], ["d", "d", "c"], ["b", "b", "c", "a"]):
+        rare = licenses.rare_words(words, idf, 0.7)
+        assert sum(idf[w] for w in words if w not in rare) < 0.7 * sum(idf[w] for w in words) and rare < set(words)
+
+
 def test_pairing_lowers_the_weight_of_identity_terms(spark):
     rng = random.Random(5)
     filler = lambda: " ".join(rng.choice(["sun", "tree", "road", "lamp", "book"]) for _ in range(8))
