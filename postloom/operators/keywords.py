@@ -14,7 +14,7 @@ from postloom import lookups
 from postloom.functions.phrases import PhraseScanner, lookup
 from postloom.operators.scale import unnest
 from postloom.functions.text import (
-    SPACE, bind, built_once, count_substring, lines, literal_strings, normalize_text, run_lengths, strip, text,
+    SPACE, bind, built_once, count_substring, lines, normalize_text, run_lengths, strip, text,
     without, word_tokens,
 )
 
@@ -124,12 +124,12 @@ def _soft_candidates(ranked: Column) -> Column:
             F.transform(ts, canonical).alias("parts"))))
 
     def allowed(c: Column) -> Column:
-        never = literal_strings(lookups.FILLER_WORDS + lookups.STRUCTURE_WORDS + lookups.KNOWN_SKILLS)
+        # isin looks a word up in a hash set; overlaps with a literal array compare or rebuild all of it for each term
+        never = [*lookups.FILLER_WORDS, *lookups.STRUCTURE_WORDS, *lookups.KNOWN_SKILLS]
         return ((c["term"] != "")
-                & ~F.arrays_overlap(c["words"], never)
-                & ~F.exists(c["words"], lambda t: F.length(t) < 3)
-                & (F.size(F.array_except(c["words"], literal_strings(lookups.SKILL_WORDS))) > 0)
-                & ~F.array_contains(literal_strings(lookups.KNOWN_SKILLS), c["keyword"])
+                & ~F.exists(c["words"], lambda t: (F.length(t) < 3) | t.isin(never))
+                & F.exists(c["words"], lambda t: ~t.isin(list(lookups.SKILL_WORDS)))
+                & ~c["keyword"].isin(list(lookups.KNOWN_SKILLS))
                 & ~c["term"].rlike(r"\A[0-9]+\z"))
 
     return F.filter(F.transform(ranked, cleaned), allowed)
