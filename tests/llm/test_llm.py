@@ -436,22 +436,70 @@ def test_rules_reject_outliers_and_keep_the_rest(spark):
     rng = random.Random(7)
     clean = [(i, ". ".join(" ".join(rng.choice(["lamp", "road", "sun", "tree", "book", "water", f"n{rng.randrange(900)}x"]) for _ in range(9)) for _ in range(rng.randrange(10, 40)))) for i in range(300)]
     junk = [(1000 + i, " ".join(w + "###$$$" for w in clean[i][1].split())) for i in range(30)]
-    got = {r["doc_id"]: r for r in outliers.rule_verdicts(docs(spark, clean + junk), min_rows=100).collect()}
+    got = {r["doc_id"]: r for r in outliers.rule_verdicts(docs(spark, clean + junk)).collect()}
     assert not any(got[i]["kept"] for i, _ in junk) and all(got[i]["kept"] or got[i]["base_failed"] for i, _ in clean)
 
 
-def test_rules_judge_rare_sources_by_their_language_and_by_all_rows(spark):
+def test_rules_judge_sources_of_any_size(spark, monkeypatch):
     rng = random.Random(8)
     words = lambda: [rng.choice(["lamp", "road", "sun", "tree", "book", "water", f"n{rng.randrange(900)}x"]) for _ in range(9)]
     clean = lambda: ". ".join(" ".join(words()) for _ in range(rng.randrange(10, 40)))
     junk = lambda: " ".join(w + "###$$$" for w in clean().split())
     rows = [(i, clean(), "large") for i in range(400)] + [(1000 + i, junk() if i % 10 == 0 else clean(), "rare") for i in range(50)]
-    rows += [(2000 + i, junk() if i % 5 == 0 else clean(), "other") for i in range(20)]
+    rows += [(2000 + i, junk() if i % 5 == 0 else clean(), "other") for i in range(20)] + [(3000, junk(), "one"), (3001, clean(), "two")]
     table = docs(spark, rows).withColumn("lang", F.when(F.col("source") == "other", "xx").otherwise(F.col("lang")))
-    got = {r["doc_id"]: r for r in outliers.rule_verdicts(table, min_rows=100).collect()}
+    got = {r["doc_id"]: r for r in outliers.rule_verdicts(table).collect()}
     bad = {i for i, t, _ in rows if "###" in t}
-    assert len(bad) == 9 and all(r["distance"] is not None for r in got.values())
+    assert len(bad) == 10 and all(r["distance"] is not None for r in got.values())
     assert not any(got[i]["kept"] for i in bad) and all(r["kept"] or r["base_failed"] for i, r in got.items() if i not in bad)
-    # a source of its own is judged as it was without the others
-    alone = {r["doc_id"]: r["distance"] for r in outliers.rule_verdicts(table.filter("source = 'large'"), min_rows=100).collect()}
-    assert all(got[i]["distance"] == pytest.approx(d, rel=1e-6) for i, d in alone.items())
+    monkeypatch.setattr(outliers, "BROADCAST_POOLS", 0)                # the same by salted shuffles
+    again = {r["doc_id"]: r for r in outliers.rule_verdicts(table).collect()}
+    assert all(again[i]["kept"] == r["kept"] and again[i]["distance"] == pytest.approx(r["distance"], rel=1e-6) for i, r in got.items())
+    monkeypatch.undo()
+    # few rows of one source, under any number that an estimate could need
+    few = {r["doc_id"]: r for r in outliers.rule_verdicts(docs(spark, [(i, clean()) for i in range(30)] + [(99, junk())])).collect()}
+    assert not few[99]["kept"] and all(r["kept"] or r["base_failed"] for i, r in few.items() if i != 99)
+
+
+def test_rule_estimates_are_the_least_determinants_of_brute_force(spark):
+    """One group: the same estimate from numpy, with exact quantiles, and no start of other subsets ends lower."""
+    rng = np.random.default_rng(5)
+    n, d = 400, outliers.STATISTICS
+    x = rng.normal(size=(n, d)) @ (np.eye(d) + 0.3 * rng.normal(size=(d, d))) * 3
+    x[:40] += 25
+    schema = ", ".join(["doc_id long", "pool string", "parent string", "top string", *(f"{c} double" for c in outliers.X)])
+    usable = spark.createDataFrame([(i, "*", None, None, *map(float, r)) for i, r in enumerate(x)], schema)
+    hot, scale = None, outliers._consistency(outliers.H)
+    params = outliers._starts(usable, hot)
+    both = spark.createDataFrame([(i, s + "*", None, None, *map(float, r)) for i, r in enumerate(x) for s in outliers.STARTS], schema)
+    for _ in range(outliers.FIRST):
+        params = outliers._step(both, params, hot, outliers.H, scale, outliers.PRIOR)
+    assert params.count() == 2
+    least = min(r["log_det"] for r in params.collect())
+    params = outliers._better(params)
+    assert [r["log_det"] for r in params.collect()] == [least]
+    for _ in range(outliers.STEPS):
+        before, params = params, outliers._step(usable, params, hot, outliers.H, scale, outliers.PRIOR)
+        if not outliers._moved(before, params):
+            break
+    got = params.first()
+
+    def concentrate(inner):
+        for _ in range(50):
+            mean, cov = x[inner].mean(0), np.cov(x[inner].T, bias=True) * scale
+            factor = np.array(outliers._whiten(cov)).reshape(d, d)
+            far = np.sqrt((((x - mean) @ factor.T) ** 2).sum(1))
+            inner = np.argsort(far, kind="stable")[:int(np.ceil(outliers.H * n))]
+        return mean, -2 * np.log(np.diag(factor)).sum(), far
+
+    mean, log_det, far = concentrate(np.argsort(np.abs(x - np.median(x, 0)).max(1))[:n // 2])
+    assert got["log_det"] == pytest.approx(log_det, abs=0.05) and np.allclose(got["mean"], mean, atol=0.3) and far[:40].min() > far[40:].max()
+    ends = [concentrate(rng.choice(n, n // 2, replace=False))[1] for _ in range(20)]
+    assert got["log_det"] <= min(ends) + 0.05
+
+
+def test_cutoff_is_a_chi_square_quantile():
+    t = outliers.cutoff_at(1e-3) ** 2
+    # the upper tail of an even number of degrees is a Poisson sum
+    poisson = sum(np.exp(-t / 2) * (t / 2) ** k / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(outliers.STATISTICS // 2))
+    assert poisson == pytest.approx(1e-3, rel=0.01)
