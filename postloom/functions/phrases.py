@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postloom.functions.text import sql_literal, literal_map, literal_strings
+from postloom.functions.text import bind, sql_literal, literal_map, literal_strings
 
 
 class PhraseScanner:
@@ -41,8 +41,7 @@ class PhraseScanner:
         nested = {p: qs for p, qs in self.also.items() if qs}
         if not nested:
             return found
-        extra = F.flatten(F.transform(found, lambda h: self._prefixes(h, nested)))
-        return F.concat(found, extra)
+        return bind(found, lambda hs: F.concat(hs, F.flatten(F.transform(hs, lambda h: self._prefixes(h, nested)))))
 
     @staticmethod
     def _prefixes(hit: Column, nested: dict[str, list[str]]) -> Column:

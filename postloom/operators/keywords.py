@@ -1,12 +1,19 @@
 """Keywords of a posting: sections, known skills, discovered terms, weights.
 
-A posting is one row and stays one row: all of this runs inside the row with JVM
-array functions, so extraction needs no shuffle however long the texts are.
+A posting is one row and stays one row: all of this runs inside the row, with JVM
+array functions and one count in Arrow batches, so extraction needs no shuffle
+however long the texts are.
 """
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
+from heapq import nsmallest
+from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +21,7 @@ from postloom import lookups
 from postloom.functions.phrases import PhraseScanner, lookup
 from postloom.operators.scale import unnest
 from postloom.functions.text import (
-    SPACE, bind, built_once, count_substring, lines, normalize_text, run_lengths, strip, text,
-    without, word_tokens,
+    WORD_TOKEN, bind, built_once, count_substring, normalize_text, run_lengths, segment_pieces, text,
 )
 
 SKILL_SCAN = PhraseScanner(lookups.KNOWN_SKILLS)
@@ -32,22 +38,25 @@ def canonical(term: Column) -> Column:
 
 def _switch(segment: Column) -> Column:
     """Which section a segment opens: P, R or C; null when it opens none."""
-    low = F.lower(segment)
-    return (F.when(low.rlike("|".join(lookups.PREFERRED_MARKERS)), "P")
-            .when(low.rlike("|".join(lookups.REQUIRED_MARKERS)), "R")
-            .when(segment.endswith(":") & (F.length(segment) <= 70), "C"))
+    def opened(low: Column) -> Column:
+        # plain searches; a pattern of all markers is tried at every character
+        holds = lambda markers: reduce(or_, [low.contains(m) for m in markers])
+        return (F.when(holds(lookups.PREFERRED_MARKERS), "P").when(holds(lookups.REQUIRED_MARKERS), "R")
+                .when(segment.endswith(":") & (F.length(segment) <= 70), "C"))
+
+    return bind(F.lower(segment), opened)
 
 
 def segments(jd: Column) -> Column:
     """K4: array<struct<section, segment>> in text order.
 
+    Lines end at white space that holds a line break, segments also at white space after
+    one of ``.;:``: one split, and what it leaves has no white space at its ends.
     A segment inherits the section that was opened last. Joining all segments with
     one separator where a section opens and another where it goes on turns the
     carry-forward into two splits, linear in the text.
     """
-    pieces = F.flatten(F.transform(
-        lines(jd), lambda ln: F.transform(F.split(strip(ln), rf"(?U)(?<=[.;:]){SPACE}+", -1), strip)))
-    marked = F.transform(F.filter(pieces, lambda s: s != ""), lambda s: F.concat(
+    marked = F.transform(F.filter(segment_pieces(jd), lambda s: s != ""), lambda s: F.concat(
         F.coalesce(F.concat(F.lit(_SWITCH), _switch(s)), F.lit(_SAME)), s))
     blocks = F.split(F.concat(F.lit("C"), F.array_join(marked, "")), _SWITCH, -1)
     return F.flatten(F.transform(blocks, lambda b: F.transform(
@@ -101,17 +110,28 @@ def _known(norm: Column, req: Column, pref: Column) -> Column:
 def ngrams(jd: Column, stop_words: Sequence[str], top: int = lookups.NGRAM_CAP) -> Column:
     """K8/K9: the most frequent unigrams and bigrams as array<struct<term, tf>>, tf desc, term asc.
 
-    Stop words go before bigrams form, so a bigram may span a removed word.
+    Stop words go before bigrams form, so a bigram may span a removed word. Counted in Arrow
+    batches: sorting a text's own tokens in array functions takes several times as long.
     """
-    def counted(tokens: Column) -> Column:
-        pairs = F.transform(
-            F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))),
-            lambda t, i: F.concat_ws(" ", F.get(tokens, i), t))
-        runs = run_lengths(F.concat(tokens, pairs))
-        ordered = F.sort_array(F.transform(runs, lambda r: F.struct((-r["n"]).alias("neg"), r["value"].alias("term"))))
-        return F.transform(F.slice(ordered, 1, top), lambda r: F.struct(r["term"].alias("term"), (-r["neg"]).alias("tf")))
-
-    return bind(without(word_tokens(F.lower(jd)), stop_words), counted)
+    def counted(texts: pa.Array) -> pa.Array:
+        # inside, so that it travels by value and workers need not import us
+        terms, counts, ends, missing = [], [], [0], []
+        for t in texts.to_pylist():
+            tokens = [w for w in token.findall(t or "") if w not in stops]
+            runs = Counter(tokens)
+            runs.update(map(" ".join, zip(tokens, tokens[1:])))
+            bar = sorted(runs.values())[-top] if len(runs) > top else 0
+            best = sorted([r for r in runs.items() if r[1] > bar], key=lambda r: (-r[1], r[0]))
+            best += [(w, bar) for w in nsmallest(top - len(best), [w for w, n in runs.items() if n == bar])]
+            terms += [w for w, _ in best]
+            counts += [n for _, n in best]
+            ends.append(len(terms))
+            missing.append(t is None)
+        found = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["term", "tf"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found, mask=pa.array(missing, pa.bool_()))
+
+    token, stops = re.compile(WORD_TOKEN), frozenset(stop_words)
+    return F.arrow_udf(counted, "array<struct<term:string,tf:bigint>>")(F.lower(jd))
 
 
 def _soft_candidates(ranked: Column) -> Column:
@@ -179,15 +199,15 @@ def keywords(jd: Column, stop_words: Sequence[str] = lookups.STOP_WORDS) -> Colu
             k["keyword"].alias("keyword"), k["count"].alias("count"), k["in_req"].alias("in_req"),
             k["section"].alias("section"), F.lit(soft).alias("soft")))
 
-    def from_sections(norm: Column, s: Column) -> Column:
-        return bind(_known(norm, s["req"], s["pref"]), lambda known: bind(
-            F.concat(tagged(known, False), tagged(_soft(
-                norm, s["req"], s["pref"], known, ngrams(jd, stop_words, lookups.SALIENT_CAP)), True)),
-            weighted))
+    def from_sections(s: Column) -> Column:
+        return bind(_known(s["norm"], s["req"], s["pref"]), lambda known: bind(
+            F.concat(tagged(known, False), tagged(_soft(s["norm"], s["req"], s["pref"], known, s["ranked"]), True)), weighted))
 
     parts = bind(segments(jd), lambda segs: F.struct(
         section_text(segs, "required").alias("req"), section_text(segs, "preferred").alias("pref")))
-    return bind(normalize_text(jd), lambda norm: bind(parts, lambda s: from_sections(norm, s)))
+    return bind(F.struct(normalize_text(jd).alias("norm"), ngrams(jd, stop_words, lookups.SALIENT_CAP).alias("ranked"), parts.alias("p")),
+                lambda s: bind(F.struct(s["norm"].alias("norm"), s["ranked"].alias("ranked"), s["p"]["req"].alias("req"),
+                                        s["p"]["pref"].alias("pref")), from_sections))
 
 
 def known_keywords(jd: Column) -> Column:
