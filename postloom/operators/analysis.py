@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from postloom import lookups
 from postloom.functions.text import bind, built_once, plain_tokens, run_lengths, sentences, text, without, word_tokens
+from postloom.operators.batches import BLOCK, Meeting, meet
 from postloom.operators.keywords import first_sentence, keyword_context, keywords
 from postloom.operators.matching import bullets, keyword_hits
 from postloom.operators.scale import fits_broadcast, hot_keys, maybe_broadcast, salted_join, unnest
@@ -71,6 +72,47 @@ class Analysis:
         owner = self.candidates.select("candidate_id", "profile_id")
         return cut_lineage(keyword_hits(names, self.candidates, self.fits).join(owner, "candidate_id"), "hits")
 
+    @cached_property
+    def in_batches(self) -> bool:
+        """Whether pairs are formed where the posting is: few candidates, and ids that name one row each."""
+        def single(df: DataFrame, key: str) -> bool:
+            return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull()).isEmpty()
+
+        return self.fits and self.hits_fit and single(self.candidates, "candidate_id") and single(self.postings, "posting_id")
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """Blocks of candidates of one profile: candidate_id, profile_id, text, candidate_sq, block, slot."""
+        words = built_once(_words, "text", tuple(self.stop_words))
+        own = self.candidates.select("candidate_id", "profile_id", "text", F.aggregate(
+            words, F.lit(0).cast("long"), lambda acc, w: acc + w["n"] * w["n"]).alias("candidate_sq"))
+        nth = own.withColumn("nth", F.row_number().over(W.partitionBy("profile_id").orderBy("candidate_id")) - 1)
+        blocks = F.dense_rank().over(W.orderBy("profile_id", F.expr(f"nth div {BLOCK}"))) - 1
+        return cut_lineage(nth.withColumn("block", blocks).withColumn("slot", F.col("nth") % BLOCK).drop("nth"), "members")
+
+    def met(self, spots: bool = False) -> DataFrame:
+        """One row per pair with all its sums, the keywords it holds and lacks, and the nearest bullets of the latter."""
+        place = self.members.select("candidate_id", "block", "slot")
+        words = unnest(self.members, built_once(_words, "text", tuple(self.stop_words)), "block", "slot")
+        hits = self.hits.select("candidate_id", "keyword", "match_tier").join(place, "candidate_id").drop("candidate_id")
+        vectors = bullet_vectors(self.candidates, self.stop_words).join(place, "candidate_id").select(
+            "block", "slot", "token", "bullet_index", "idf", "weight").toArrow() if spots else None
+        found = F.col("keywords")
+        ordered = self.postings.select(
+            "posting_id", "profiles", F.size(found).cast("long").alias("total"),
+            F.aggregate(found, F.lit(0.0), lambda acc, k: acc + k["importance"]).alias("total_weight"),
+            F.size(F.filter(found, lambda k: k["section"] == "required")).cast("long").alias("required_total"),
+            F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc + w["n"] * w["n"]).alias("posting_sq"),
+            _gap_order(found, "sentence").alias("keywords"), "words",
+            *([F.transform("sentences", F.lower).alias("lowered")] if spots else []))
+        wanted = ordered.withColumn("profile_id", F.explode("profiles")).drop("profiles")
+        rows = wanted.join(F.broadcast(self.members.select("profile_id", "block").distinct()), "profile_id")
+        kept = ["posting_id", "profile_id", "total", "total_weight", "required_total", "posting_sq", "keywords", "block"]
+        meeting = Meeting(kept, place.select("block", "slot").toArrow(), words.toArrow(), hits.toArrow(), vectors)
+        pairs = unnest(meet(rows, meeting), F.col("pairs"), *kept)
+        members = self.members.select("candidate_id", "candidate_sq", "block", F.col("slot").cast("int").alias("nth"), "text")
+        return pairs.join(F.broadcast(members), ["block", "nth"])
+
     @cached_property
     def hits_fit(self) -> bool:
         return self.hits.count() <= self.hit_rows
@@ -142,6 +184,11 @@ def matched_keywords(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
 
 def matched_missing(a: Analysis) -> DataFrame:
     """M4 as rows: every keyword of a pair with its tier, null when missing."""
+    if a.in_batches:
+        every = F.concat("held", F.transform("missing", lambda m: F.struct(m["at"].alias("at"), F.lit(None).cast("int").alias("match_tier"))))
+        return unnest(a.met(), F.transform(every, lambda h: F.struct(
+            F.get("keywords", h["at"])["keyword"].alias("keyword"), F.get("keywords", h["at"])["section"].alias("section"),
+            h["match_tier"].alias("match_tier"))), *PAIR)
     wanted = pairs(a).select(*PAIR)
     all_rows = wanted.join(posting_keywords(a).drop("profiles"), "posting_id")
     found = a.hits.select("candidate_id", "keyword", "match_tier")
@@ -167,7 +214,13 @@ def pair_similarity(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
     With two documents a shared word has idf 1 and a lone word one fixed idf, so the
     cosine follows from sums over shared words and two totals; no vectors are built.
     """
+    if wanted is None and a.in_batches:
+        return _with_similarity(a.met())
     base = pairs(a, wanted).join(shared_words(a, wanted), list(PAIR), "left").na.fill(0, ["dot", "posting_shared", "candidate_shared"])
+    return _with_similarity(base)
+
+
+def _with_similarity(base: DataFrame) -> DataFrame:
     length = "({lone} * {all} - ({lone} - 1) * {shared})"
     a2 = length.format(lone=LONE, all="posting_sq", shared="posting_shared")
     b2 = length.format(lone=LONE, all="candidate_sq", shared="candidate_shared")
@@ -176,6 +229,8 @@ def pair_similarity(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
 
 def keyword_credit(a: Analysis) -> DataFrame:
     """Per pair with a keyword in common: the importance and number of the matched ones."""
+    if a.in_batches:
+        return a.met().filter("matched > 0").select(*PAIR, "matched_weight", "matched", "required_matched")
     return matched_keywords(a).groupBy(*PAIR).agg(
         F.sum("importance").alias("matched_weight"), F.count(F.lit(1)).alias("matched"),
         F.count_if(F.col("section") == "required").alias("required_matched"))
@@ -186,13 +241,21 @@ def pair_scores(a: Analysis, wanted: DataFrame | None = None, credit: DataFrame
 
     ``wanted`` limits the work to the given pairs; ``credit`` is a written :func:`keyword_credit`.
     """
-    base = pair_similarity(a, wanted).join(keyword_credit(a) if credit is None else credit, list(PAIR), "left")
+    if a.in_batches and credit is None:
+        every = _scored(_with_similarity(a.met()))
+        return every if wanted is None else every.join(wanted.select(*PAIR), list(PAIR))
+    return _scored(pair_similarity(a, wanted).join(keyword_credit(a) if credit is None else credit, list(PAIR), "left"))
+
+
+SCORES = ("coverage", "match_rate", "similarity", "ats_score", "total", "matched", "required_total", "required_matched")
+
+
+def _scored(base: DataFrame, *more: str) -> DataFrame:
     return (base.na.fill(0, ["matched_weight", "matched", "required_matched"])
             .withColumn("coverage", F.expr("matched_weight / case when total_weight = 0 then 1D else total_weight end"))
             .withColumn("match_rate", F.expr("100D * matched / greatest(total, 1)"))
             .withColumn("ats_score", F.expr("greatest(0D, least(100D, 100D * (0.8D * coverage + 0.2D * similarity)))"))
-            .select(*PAIR, "profile_id", "coverage", "match_rate", "similarity", "ats_score",
-                    "total", "matched", "required_total", "required_matched"))
+            .select(*PAIR, "profile_id", *SCORES, *more))
 
 
 def contenders(a: Analysis, k: int, credit: DataFrame, slack: float = 1e-4) -> DataFrame:
@@ -249,6 +312,10 @@ def find_spots(a: Analysis, k: int = lookups.SPOT_CAP) -> DataFrame:
     Query tokens meet candidate tokens on the token, so only shared tokens make rows.
     Tokens outside the candidate's vocabulary have no weight there and drop out.
     """
+    if a.in_batches and k == lookups.SPOT_CAP:
+        return unnest(a.met(spots=True), F.transform(F.filter("missing", lambda m: F.size(m["spots"]) > 0), lambda m: F.struct(
+            F.get("keywords", m["at"])["keyword"].alias("keyword"), m["spots"].alias("spots"))), *PAIR)
+
     def query(k: Column) -> Column:
         tokens = without(word_tokens(F.lower(F.concat(k["keyword"], F.lit(" "), keyword_context(F.col("sentences"), k)))), a.stop_words)
         return F.transform(run_lengths(tokens), lambda r: F.struct(
@@ -280,11 +347,11 @@ def find_spots(a: Analysis, k: int = lookups.SPOT_CAP) -> DataFrame:
 
 # --- assembly -----------------------------------------------------------------------
 
-def _gap_order(found: Column) -> Column:
+def _gap_order(found: Column, *more: str) -> Column:
     rank = lambda k: F.when(k["section"] == "required", 0).when(k["section"] == "preferred", 2).otherwise(1)
     return F.sort_array(F.transform(found, lambda k: F.struct(
         rank(k).alias("rank"), (-k["importance"]).alias("neg"), k["keyword"].alias("keyword"),
-        k["in_req"].alias("in_requirements"), k["section"].alias("section"))))
+        k["in_req"].alias("in_requirements"), k["section"].alias("section"), *[k[c].alias(c) for c in more], k["importance"].alias("importance"))))
 
 
 def pair_gaps(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
@@ -292,6 +359,8 @@ def pair_gaps(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
 
     ``wanted`` limits the work to the given pairs, for reports on a few per candidate.
     """
+    if wanted is None and a.in_batches:
+        return a.met().select(*PAIR, _held(), _gaps())
     asked = pairs(a).select(*PAIR) if wanted is None else wanted.select(*PAIR)
     held = matched_keywords(a, wanted).groupBy(*PAIR).agg(F.sort_array(F.collect_list("keyword")).alias("matched_keywords"))
     rows = asked.join(held, list(PAIR), "left").withColumn(
@@ -303,14 +372,30 @@ def pair_gaps(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
         g["section"].alias("section"))).alias("gaps"))
 
 
+def _held() -> Column:
+    return F.sort_array(F.transform("held", lambda h: F.get("keywords", h["at"])["keyword"])).alias("matched_keywords")
+
+
+def _gaps() -> Column:
+    """The keywords that a pair lacks; they stand in the order of gaps in its posting's row."""
+    return F.transform("missing", lambda m: bind(F.get("keywords", m["at"]), lambda g: F.struct(
+        g["keyword"].alias("keyword"), g["importance"].alias("importance"), g["in_requirements"].alias("in_requirements"),
+        g["section"].alias("section")))).alias("gaps")
+
+
 def assemble_analysis(a: Analysis, labels: DataFrame | None = None) -> DataFrame:
     """The nested analysis per pair. ``labels`` (posting_id, jd_source) say what text each posting was judged by."""
-    scores = pair_scores(a)
-    spots = find_spots(a).groupBy(*PAIR).agg(
-        F.map_from_entries(F.collect_list(F.struct("keyword", "spots"))).alias("by_keyword"))
-    lines = a.candidates.select("candidate_id", bullets(text(F.col("text"))).alias("resume_bullets"))
-    joined = (pair_gaps(a).join(scores, list(PAIR)).join(spots, list(PAIR), "left")
-              .join(maybe_broadcast(lines, a.fits), "candidate_id"))
+    if a.in_batches:
+        near = F.map_from_entries(F.transform("missing", lambda m: F.struct(F.get("keywords", m["at"])["keyword"], m["spots"])))
+        joined = _scored(_with_similarity(a.met(spots=True)), "held", "missing", "keywords", "text").select(
+            *PAIR, "profile_id", *SCORES, _held(), _gaps(), near.alias("by_keyword"), bullets(text(F.col("text"))).alias("resume_bullets"))
+    else:
+        scores = pair_scores(a)
+        spots = find_spots(a).groupBy(*PAIR).agg(
+            F.map_from_entries(F.collect_list(F.struct("keyword", "spots"))).alias("by_keyword"))
+        lines = a.candidates.select("candidate_id", bullets(text(F.col("text"))).alias("resume_bullets"))
+        joined = (pair_gaps(a).join(scores, list(PAIR)).join(spots, list(PAIR), "left")
+                  .join(maybe_broadcast(lines, a.fits), "candidate_id"))
 
     def spot(s: Column) -> Column:
         return F.struct(s["bullet_index"].cast("long").alias("bullet_index"),

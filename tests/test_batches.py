@@ -1,13 +1,14 @@
-"""Keyword extraction."""
+"""Keyword extraction and pairs where the posting is: same rows as the joins, and no shuffle of pairs."""
 import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from postloom import lookups
 from postloom.functions.text import SPACES
-from postloom.operators import keywords
+from postloom.operators import analysis, keywords
 
 WORDS = "python kafka spark docker billing ledger reports sql linux airflow metrics invoices payroll kubernetes".split()
 
@@ -38,3 +39,38 @@ def test_segments_at_every_white_space(spark):
         cut = [p.strip(SPACES) for line in re.split("[\n\r\x0b\x0c\x1c-\x1e\x85  ]", texts[r.i])
                for p in re.split(f"(?<=[.;:])[{re.escape(SPACES)}]+", line.strip(SPACES))]
         assert [s.segment for s in r.s] == [p for p in cut if p]
+
+
+@pytest.fixture(scope="module")
+def prepared(spark):
+    rng = random.Random(5)
+    line = lambda: " ".join(rng.choices(WORDS, k=7)).capitalize() + "."
+    posts = spark.createDataFrame([(i, [["A"], ["A", "B"], []][i % 3], "Requirements:\n" + "\n".join(line() for _ in range(4)) if i else None)
+                                   for i in range(20)], "posting_id long, profiles array<string>, description string")
+    cands = spark.createDataFrame([(i, "AB"[i % 2], "\n".join("- " + line() for _ in range(4)) if i != 6 else None) for i in range(150)],
+                                  "candidate_id long, profile_id string, text string")
+    return analysis.Analysis.prepare(posts, cands)
+
+
+def test_batches_equal_joins(prepared):
+    """Three blocks of candidates; every result of the joins comes out."""
+    a = prepared
+    wide = analysis.Analysis(a.postings, a.candidates, False, a.stop_words)
+    assert a.in_batches and not wide.in_batches
+    rounded = lambda v: round(v, 6) if isinstance(v, float) else [rounded(x) for x in v] if isinstance(v, (list, tuple)) else v
+    for made in (analysis.pair_scores, analysis.pair_gaps, analysis.find_spots, analysis.matched_missing, analysis.keyword_credit,
+                 analysis.assemble_analysis):
+        columns = made(a).columns if made is not analysis.matched_missing else [*analysis.PAIR, "keyword", "section", "match_tier"]
+        got, want = (sorted(map(repr, map(rounded, made(x).select(*columns).collect()))) for x in (a, wide))
+        assert got == want and got, made.__name__
+
+
+def test_pairs_are_not_shuffled(prepared):
+    for df in (analysis.assemble_analysis(prepared), analysis.pair_scores(prepared), analysis.find_spots(prepared)):
+        text = plan(df)
+        assert "MapInArrow" in text and "Exchange hashpartitioning(posting_id" not in text
+
+
+def test_repeated_ids_take_the_joins(spark, prepared):
+    twice = analysis.Analysis(prepared.postings.union(prepared.postings), prepared.candidates, True, prepared.stop_words)
+    assert not twice.in_batches
