@@ -220,7 +220,9 @@ def land(posts: DataFrame, root: str, runs: int, run: int) -> None:
         part = body.unionByName(broken)
         files = part if files is None else files.unionByName(part)
     files = files.withColumn("pull", F.lit(run)).repartition("source", "slug")
-    files.write.mode("append").partitionBy("pull", "source", "slug").text(root)
+    # tasks move their own files into place; otherwise the driver moves all of them, one after the other
+    files.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(
+        "pull", "source", "slug").text(root)
 
 
 def tracker_payloads(posts: DataFrame) -> DataFrame:

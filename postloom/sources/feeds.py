@@ -50,6 +50,14 @@ def read_payloads(spark: SparkSession, path: str, key: str = "slug") -> DataFram
                         F.concat_ws(" ", landed, place).alias("file"))
 
 
+def list_in_few_tasks(spark: SparkSession) -> None:
+    """Let the session list folders in a few tasks a core. By itself Spark starts a task for each folder, up to 10,000,
+    each time files are listed; a stream does that three times a run, and every board has a folder of its own."""
+    name, most = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism
+    if int(spark.conf.get(name)) > most:
+        spark.conf.set(name, str(most))
+
+
 def _place() -> Column:
     """A file's path; the metadata column holds it as a URI."""
     return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))

@@ -202,6 +202,7 @@ def stream_ingest(job: IngestJob, postings: DataFrame, interval: str | None = No
 
 def stream_payloads(job: IngestJob, root: str, interval: str | None = None) -> StreamingQuery:
     """T1 over raw payload files as they land below ``root`` (see ``feeds.landed_files``)."""
+    feeds.list_in_few_tasks(job.spark)
     return _started(job, feeds.landed_files(job.spark, root, stream=True), job.run_files, interval)
 
 

@@ -157,3 +157,17 @@ def test_relanded_rows_settle_the_same_way(spark):
     names = "source string, source_job_id string, title string, company string, location string, seq long, description string"
     got = {dedup.dedup_insert(spark.createDataFrame(rows_[k:] + rows_[:k], names).repartition(3)).first()["description"] for k in range(3)}
     assert len(got) == 1
+
+
+def test_listing_takes_a_few_tasks_a_core(spark):
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        feeds.list_in_few_tasks(spark)
+        assert int(spark.conf.get(name)) == 4 * spark.sparkContext.defaultParallelism
+        spark.conf.set(name, "3")       # what a session has set lower stays
+        feeds.list_in_few_tasks(spark)
+        assert spark.conf.get(name) == "3"
+    finally:
+        spark.conf.set(name, before)
