@@ -14,6 +14,7 @@ left out; a null doc_id joins no label; if one label is missing, every score is
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import fold_of, map_texts
+from postloom.llm.common import BATCH_ROWS, fold_of, map_texts
 from postloom.session import cut_lineage
 
 FOLDS, HELD_OUT = 5, 0
@@ -32,7 +33,7 @@ PREFIXES = (4, 5, 6)
 L2, PAIRING = 1e-3, 1.0
 STEPS = 400
 THRESHOLD = 0.5
-KNOWN_WORDS = 400_000       # words a worker remembers
+KNOWN_WORDS = 100_000       # words a worker remembers, or features that it counts before it sends them on
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -104,6 +105,22 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> t
     return rows.select("_y", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), n
 
 
+def feature_counts(batches: Iterable[pa.RecordBatch], most: int = KNOWN_WORDS) -> Iterator[pa.RecordBatch]:
+    """Rows of each label (a: 1, b: 0) that have a feature, added up in the task, so that few rows and batches leave it."""
+    of: dict[str, list[int]] = {}
+    sent = lambda: pa.RecordBatch.from_arrays([pa.array(list(of), pa.string()), *(
+        pa.array([n[y] for n in of.values()], pa.int64()) for y in (1, 0))], names=["feature", "a", "b"])
+    for batch in batches:
+        for y, text in zip(batch.column("_y").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for f in features_of(words_of(text)):
+                of.setdefault(f, [0, 0])[y] += 1
+            if len(of) >= most:
+                yield sent()
+                of.clear()
+    if of:
+        yield sent()
+
+
 def fit(rows: list[tuple[int, list[int]]], pairs: list[tuple[list[int], list[int]]], size: int, share: dict[int, float],
         l2: float = L2, pairing: float = PAIRING, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the weighted log loss, ridge and pairing penalty. Rows and pairs hold feature numbers."""
@@ -144,20 +161,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: i
         return Model({}, float(np.log(p / (1 - p))))
     sample = cut_lineage(sample, "toxicity-sample")
 
-    def explode(batches):
-        for batch in batches:
-            for y, text in zip(batch.column("_y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                made = sorted(features_of(words_of(text)))
-                yield pa.RecordBatch.from_arrays([pa.array([y] * len(made), pa.int32()), pa.array(made, pa.string())],
-                                                 names=["y", "feature"])
-
     taken = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     t0, t1 = taken.get(0, 0), taken.get(1, 0)
     if not t0 or not t1:
         p = (n1 + 1) / (n0 + n1 + 2)
         return Model({}, float(np.log(p / (1 - p))))
-    seen = sample.mapInArrow(explode, "y int, feature string").groupBy("feature").agg(
-        F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    seen = sample.mapInArrow(feature_counts, "feature string, a long, b long").groupBy("feature").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b"))
     rate = (F.col("a") + F.col("b")) / (t0 + t1)
     z = (F.col("a") / t1 - F.col("b") / t0) / F.sqrt(rate * (1 - rate) * (1 / t0 + 1 / t1) + 1e-12)
     chosen = (seen.filter(F.col("a") >= MIN_DOCS).withColumn("z", z).filter("z > 3")
@@ -167,14 +177,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: i
     number = {f: i for i, f in enumerate(names)}
 
     def index(batches):
+        of = lambda words: sorted(number[f] for f in features_of(words) if f in number)
         for batch in batches:
-            for y, text in zip(batch.column("_y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                of = lambda words: sorted(number[f] for f in features_of(words) if f in number)
-                swaps = [(of(a), of(b)) for a, b in counterfactuals(text, identity)]
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                texts = part.column("text").to_pylist()
+                swaps = [[(of(a), of(b)) for a, b in counterfactuals(t, identity)] for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([y], pa.int32()), pa.array([of(words_of(text))], pa.list_(pa.int32())),
-                     pa.array([[a for a, _ in swaps]], pa.list_(pa.list_(pa.int32()))),
-                     pa.array([[b for _, b in swaps]], pa.list_(pa.list_(pa.int32())))], names=["y", "x", "a", "b"])
+                    [part.column("_y"), pa.array([of(words_of(t)) for t in texts], pa.list_(pa.int32())),
+                     *(pa.array([[pair[side] for pair in s] for s in swaps], pa.list_(pa.list_(pa.int32()))) for side in (0, 1))],
+                    names=["y", "x", "a", "b"])
 
     rows, pairs = [], []
     for r in sample.mapInArrow(index, "y int, x array<int>, a array<array<int>>, b array<array<int>>").toLocalIterator():

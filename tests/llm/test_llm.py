@@ -503,3 +503,21 @@ def test_cutoff_is_a_chi_square_quantile():
     # the upper tail of an even number of degrees is a Poisson sum
     poisson = sum(np.exp(-t / 2) * (t / 2) ** k / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(outliers.STATISTICS // 2))
     assert poisson == pytest.approx(1e-3, rel=0.01)
+
+
+def test_toxicity_counts_features_in_the_task():
+    import pyarrow as pa
+
+    from postloom.llm.toxicity import feature_counts, features_of, words_of
+
+    rows = [(i % 2, "you idiot fool" if i % 2 else f"a calm sunny day {'abcdefgh'[i % 8] * 3}") for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.int32()), pa.array([t for _, t in rows])], names=["_y", "text"])
+    want = {y: Counter(f for v, t in rows if v == y for f in features_of(words_of(t))) for y in (0, 1)}
+    for most, sends in ((100_000, 1), (3, None)):       # one batch, or many that add up to the same
+        out = list(feature_counts([batch], most))
+        assert sends is None or len(out) == sends
+        got = {0: Counter(), 1: Counter()}
+        for r in pa.Table.from_batches(out).to_pylist():
+            got[1][r["feature"]] += r["a"]
+            got[0][r["feature"]] += r["b"]
+        assert {y: +c for y, c in got.items()} == want
