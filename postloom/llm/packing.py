@@ -18,6 +18,9 @@ packed like others, each with sequences of its own; a null doc_id goes through.
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterable
+from itertools import chain, filterfalse
 
 import numpy as np
 import public_tokenizers
@@ -36,7 +39,7 @@ GROUP_CHARS = 1_000_000             # bytes of texts handled together
 GROUP = 200                         # words that are encoded as one text
 # texts, and parts that must give the same ids
 PROBES = (("Aa,b  (c)\n\tDÉ.", ("aa", ",", "b", "(", "c", ")", "dé", ".")), ("x!! y", ("x", "!!", "y")))
-_TAIL = b".,!?;:#*$%&|"             # punctuation that is peeled off a word that ends in a letter
+_TAIL = re.compile(rb"[.,!?;:](?<=[a-z].)")     # punctuation that ends a run of letters
 
 
 class WordIds:
@@ -53,6 +56,8 @@ class WordIds:
             whole, cut = ([i for t in ts for i in self.tokenizer.encode(t, add_special_tokens=False).ids] for ts in ([text], parts))
             if whole != cut:
                 raise ValueError(f"{path} does not lower the case, drop white space and cut at punctuation")
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.marks = [b"\xcc", b"\xcd", *{t.content.encode()[:2] for t in added}]     # the first two: U+0300 to U+036F
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)     # ids that end a word
@@ -65,47 +70,45 @@ class WordIds:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def words(self, raw: bytes) -> list[bytes]:
+        """Words of a text, in lower case and cut before punctuation after a letter: so a word is known whatever its case
+        and whatever follows it. A text that may hold a special token, or a mark that composes with small letters only, is
+        just split."""
+        if not any(m in raw for m in self.marks):
+            raw = _TAIL.sub(rb" \g<0>", raw.lower())
+        return raw.split()
+
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of each word. Words of ASCII letters are encoded many at a time and cut apart at the ids that end a word."""
-        plain = [w for w in words if w.isalpha()]
-        texts = [b" ".join(plain[i:i + GROUP]).decode("ascii") for i in range(0, len(plain), GROUP)]
-        made = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.array([i for ids in made for i in ids], "<u4")
-        ends = 4 * (np.flatnonzero(self.closes[flat]) + 1)
-        if len(ends) == len(plain) and (not plain or ends[-1] == 4 * len(flat)):
-            raw, cuts = flat.tobytes(), ends.tolist()
-            out = {w: raw[a:b] for w, a, b in zip(plain, [0, *cuts], cuts)}
-            alone = [w for w in words if not w.isalpha()]
-        else:                            # a vocabulary whose ids don't show where words end
-            out, alone = {}, words
+        """Ids of each word. Words of letters are encoded many at a time and cut apart at the ids that end a word."""
+        plain, alone, out = [], [], {}
+        for w in words:
+            (plain if w.isalpha() or w.decode("utf-8", "replace").isalpha() else alone).append(w)
+        parts = [plain[i:i + GROUP] for i in range(0, len(plain), GROUP)]
+        made = self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)
+        for part, x in zip(parts, made, strict=True):
+            ids = np.array(x.ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(ends) == len(part) and ends[-1] == 4 * len(ids):
+                raw, cuts = ids.tobytes(), ends.tolist()
+                out.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+            else:                        # the ids don't show where words end
+                alone += part
         made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in alone], add_special_tokens=False)
-        return out | {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(alone, made, strict=True)}
+        out.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(alone, made, strict=True))
+        return out
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """A table with the ids of all of ``words``."""
         if self.young_chars > KNOWN_CHARS:
             self.old, self.young, self.young_chars = self.young, {}, 0
-        made, split, cores = {}, {}, set()
-        for w in words.difference(self.young):
-            if w in self.old:
-                made[w] = self.old[w]
-                continue
-            if w.isalpha() and w.islower():
-                cores.add(w)
-                continue
-            core = w.rstrip(_TAIL)
-            # lower case A-Z only; a word that may hold a special token stays as it is
-            if b"<" in w or not core or not (core[-1:].isalpha()):
-                core = w
-            tail = w[len(core):]
-            core = core if b"<" in core else core.lower()
-            split[w] = (core, tail)
-            cores.update(x for x in (core, tail) if x)
-        new = [c for c in cores if c not in self.young and c not in self.old]
-        ids = self._encode(new)
-        get = lambda c: ids.get(c) or self.young.get(c) or self.old.get(c, b"")
-        made.update(ids)
-        made.update((w, get(core) + get(tail) if tail else get(core)) for w, (core, tail) in split.items())
+        made, new = {}, []
+        for w in set(filterfalse(self.young.__contains__, words)):
+            ids = self.old.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                made[w] = ids
+        made.update(self._encode(new))
         if max(map(len, made), default=0) > LONG_WORD:
             self._keep({w: x for w, x in made.items() if len(w) <= LONG_WORD})
             return self.young | made
@@ -144,8 +147,8 @@ def pack(docs: DataFrame, path: str | None = None, full: int = FULL) -> DataFram
         ids = WordIds.get(path)
         for batch in batches:
             for part in groups(batch, "text", GROUP_CHARS):
-                texts = [(x or b"").split() for x in part.column("text").cast(pa.binary()).to_pylist()]
-                table = ids.learn(set().union(*texts))
+                texts = [ids.words(x or b"") for x in part.column("text").cast(pa.binary()).to_pylist()]
+                table = ids.learn(chain.from_iterable(texts))
                 row, start, length, tokens, made = [], [], [], [], []
                 for i, words in enumerate(texts):
                     whole = b"".join(map(table.__getitem__, words)) + end

@@ -505,6 +505,22 @@ def test_cutoff_is_a_chi_square_quantile():
     assert poisson == pytest.approx(1e-3, rel=0.01)
 
 
+def test_words_of_one_core_share_an_entry():
+    import public_tokenizers
+
+    from postloom.llm.packing import VOCABULARY, WordIds
+
+    ids = WordIds(public_tokenizers.path(VOCABULARY))
+    texts = ["Abc abc, ABC. abc?! a.b ... 3.5. it's. don't, café. CAFÉ İx straße 7:30 x!!", "H̱abc W̊ <|endoftext|> <|ENDOFTEXT|> Abc.",
+             "áb. e.́ ﬁn Ω ΣΣ. 中文, กำ. \U0001d504b!"]
+    cut = [ids.words(t.encode()) for t in texts]
+    assert cut[0].count(b"abc") == 4        # one entry, whatever the case and what follows
+    table = ids.learn(set().union(*cut))
+    for text, words in zip(texts, cut, strict=True):
+        whole = ids.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(table[w] for w in words), "<u4").tolist() == whole
+
+
 def test_toxicity_counts_features_in_the_task():
     import pyarrow as pa
 
