@@ -67,3 +67,15 @@ def test_no_profiles_and_no_postings(spark, posts):
     none = profiles.profile_table(spark, drawn(2)).limit(0)
     assert profiles.passing_pairs(posts, none, "seq").count() == profiles.filter_profile_table(posts, none, "seq").count() == 0
     assert profiles.passing_pairs(posts.limit(0), profiles.profile_table(spark, drawn(3)), "seq").count() == 0
+
+
+def test_texts_are_read_once_by_scan_and_by_index(spark, posts, monkeypatch):
+    drew = drawn(30, 4)
+    table = profiles.profile_table(spark, drew)
+    want = rows(filters.filter_multi_profile(posts, drew, "seq"))
+    for most in (profiles.SCAN_TERMS, 3):
+        monkeypatch.setattr(profiles, "SCAN_TERMS", most)
+        made, every = profiles.passing_pairs(posts, table, "seq"), profiles.filter_profile_table(posts, table, "seq")
+        assert rows(every) == want and rows(made) == [r[:2] for r in want if r[2] is None]
+        for df in (made, every):
+            assert "description" not in df._jdf.queryExecution().optimizedPlan().toString()
