@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,8 +91,11 @@ class Analysis:
         blocks = F.dense_rank().over(W.orderBy("profile_id", F.expr(f"nth div {BLOCK}"))) - 1
         return cut_lineage(nth.withColumn("block", blocks).withColumn("slot", F.col("nth") % BLOCK).drop("nth"), "members")
 
-    def met(self, spots: bool = False) -> DataFrame:
-        """One row per pair with all its sums, the keywords it holds and lacks, and the nearest bullets of the latter."""
+    def met(self, spots: bool = False, lists: bool = True, best: tuple[int, float] | None = None) -> DataFrame:
+        """One row per pair with all its sums, the keywords it holds and lacks, and the nearest bullets of the latter.
+
+        Without ``lists`` the sums alone; with ``best`` (k, slack) those of pairs that may be among their candidate's k best.
+        """
         place = self.members.select("candidate_id", "block", "slot")
         words = unnest(self.members, built_once(_words, "text", tuple(self.stop_words)), "block", "slot")
         hits = self.hits.select("candidate_id", "keyword", "match_tier").join(place, "candidate_id").drop("candidate_id")
@@ -103,14 +107,16 @@ class Analysis:
             F.aggregate(found, F.lit(0.0), lambda acc, k: acc + k["importance"]).alias("total_weight"),
             F.size(F.filter(found, lambda k: k["section"] == "required")).cast("long").alias("required_total"),
             F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc + w["n"] * w["n"]).alias("posting_sq"),
-            _gap_order(found, "sentence").alias("keywords"), "words",
+            _gap_order(found, *(["sentence"] if lists else [])).alias("keywords"), "words",
             *([F.transform("sentences", F.lower).alias("lowered")] if spots else []))
         wanted = ordered.withColumn("profile_id", F.explode("profiles")).drop("profiles")
         rows = wanted.join(F.broadcast(self.members.select("profile_id", "block").distinct()), "profile_id")
-        kept = ["posting_id", "profile_id", "total", "total_weight", "required_total", "posting_sq", "keywords", "block"]
-        meeting = Meeting(kept, place.select("block", "slot").toArrow(), words.toArrow(), hits.toArrow(), vectors)
+        kept = ["posting_id", "profile_id", "total", "total_weight", "required_total", "posting_sq", *(["keywords"] if lists else []), "block"]
+        meeting = Meeting(kept, self.members.select("block", "slot", "candidate_sq").toArrow(), words.toArrow(), hits.toArrow(), vectors,
+                          lists, best, _score_of)
         pairs = unnest(meet(rows, meeting), F.col("pairs"), *kept)
-        members = self.members.select("candidate_id", "candidate_sq", "block", F.col("slot").cast("int").alias("nth"), "text")
+        members = self.members.select("candidate_id", "candidate_sq", "block", F.col("slot").cast("int").alias("nth"),
+                                      *(["text"] if lists else []))
         return pairs.join(F.broadcast(members), ["block", "nth"])
 
     @cached_property
@@ -215,7 +221,7 @@ def pair_similarity(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
     cosine follows from sums over shared words and two totals; no vectors are built.
     """
     if wanted is None and a.in_batches:
-        return _with_similarity(a.met())
+        return _with_similarity(a.met(lists=False))
     base = pairs(a, wanted).join(shared_words(a, wanted), list(PAIR), "left").na.fill(0, ["dot", "posting_shared", "candidate_shared"])
     return _with_similarity(base)
 
@@ -230,7 +236,7 @@ def _with_similarity(base: DataFrame) -> DataFrame:
 def keyword_credit(a: Analysis) -> DataFrame:
     """Per pair with a keyword in common: the importance and number of the matched ones."""
     if a.in_batches:
-        return a.met().filter("matched > 0").select(*PAIR, "matched_weight", "matched", "required_matched")
+        return a.met(lists=False).filter("matched > 0").select(*PAIR, "matched_weight", "matched", "required_matched")
     return matched_keywords(a).groupBy(*PAIR).agg(
         F.sum("importance").alias("matched_weight"), F.count(F.lit(1)).alias("matched"),
         F.count_if(F.col("section") == "required").alias("required_matched"))
@@ -242,7 +248,7 @@ def pair_scores(a: Analysis, wanted: DataFrame | None = None, credit: DataFrame
     ``wanted`` limits the work to the given pairs; ``credit`` is a written :func:`keyword_credit`.
     """
     if a.in_batches and credit is None:
-        every = _scored(_with_similarity(a.met()))
+        every = _scored(_with_similarity(a.met(lists=False)))
         return every if wanted is None else every.join(wanted.select(*PAIR), list(PAIR))
     return _scored(pair_similarity(a, wanted).join(keyword_credit(a) if credit is None else credit, list(PAIR), "left"))
 
@@ -258,6 +264,15 @@ def _scored(base: DataFrame, *more: str) -> DataFrame:
             .select(*PAIR, "profile_id", *SCORES, *more))
 
 
+def _score_of(p: dict[str, np.ndarray]) -> np.ndarray:
+    """The scores of :func:`_scored` from a pair's sums, in batches."""
+    lone = (1 + np.log(1.5)) ** 2
+    sq = ((lone * p[f"{who}_sq"] - (lone - 1) * p[f"{who}_shared"]) for who in ("posting", "candidate"))
+    near = p["dot"] / np.sqrt(np.where(p["dot"] == 0, 1.0, next(sq) * next(sq)))
+    held = p["matched_weight"] / np.where(p["total_weight"] == 0, 1.0, p["total_weight"])
+    return np.clip(COVERAGE_POINTS * held + SIMILARITY_POINTS * near, 0.0, 100.0)
+
+
 def contenders(a: Analysis, k: int, credit: DataFrame, slack: float = 1e-4) -> DataFrame:
     """The pairs that may be among the ``k`` best of their candidate; every other pair certainly is not.
 
@@ -282,7 +297,13 @@ def contenders(a: Analysis, k: int, credit: DataFrame, slack: float = 1e-4) -> D
 
 
 def top_scores(a: Analysis, k: int) -> DataFrame:
-    """:func:`pair_scores` of the pairs that :func:`contenders` leaves; its ``k`` best per candidate are those of all."""
+    """:func:`pair_scores` of the pairs that may be among the best; the ``k`` best of these per candidate are those of all.
+
+    In batches every pair is scored where its posting is, and a task lets go of what ``k`` of its own pairs beat; the
+    margin covers scores that are ranked after rounding. Elsewhere :func:`contenders` finds the pairs.
+    """
+    if a.in_batches:
+        return cut_lineage(_scored(_with_similarity(a.met(lists=False, best=(k, 2e-4)))), "best")
     credit = cut_lineage(keyword_credit(a), "credit")
     return pair_scores(a, contenders(a, k, credit), credit)
 

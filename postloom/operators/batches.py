@@ -7,7 +7,7 @@ row is: nothing is shuffled, and the row's texts are not copied for each pair.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,10 @@ from postloom.functions.text import WORD_TOKEN
 
 BLOCK = 64                  # candidates that share a row
 CELLS = 2_000_000           # sums of the rows that are worked on at a time, about
-PAIRS = ("array<struct<nth:int,dot:bigint,posting_shared:bigint,candidate_shared:bigint,matched_weight:double,matched:bigint,"
-         "required_matched:bigint,held:array<struct<at:int,match_tier:int>>,"
-         "missing:array<struct<at:int,spots:array<struct<bullet_index:int,similarity:double>>>>>>")
+SUMS = ("nth:int,dot:bigint,posting_shared:bigint,candidate_shared:bigint,matched_weight:double,matched:bigint,"
+        "required_matched:bigint")
+LISTS = "held:array<struct<at:int,match_tier:int>>,missing:array<struct<at:int,spots:array<struct<bullet_index:int,similarity:double>>>>"
+NAMES = [f.split(":")[0] for f in SUMS.split(",")]
 
 
 class Index:
@@ -65,17 +66,43 @@ def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+class Best:
+    """The pairs that may be among a candidate's ``k`` best: none with a score that ``k`` pairs seen before beat by ``slack``."""
+
+    def __init__(self, k: int, slack: float, n_candidates: int):
+        self.k, self.slack = k, slack
+        self.who = np.repeat(np.arange(n_candidates), k)
+        self.top = np.full(n_candidates * k, -np.inf)     # each candidate's best scores so far, falling
+
+    def keep(self, who: np.ndarray, score: np.ndarray) -> np.ndarray:
+        bar = self.top[self.k - 1::self.k] - self.slack
+        some = np.flatnonzero(~(score < bar[who]))
+        both, scores = np.concatenate([self.who, who[some]]), np.concatenate([self.top, score[some]])
+        order = np.lexsort((-scores, both))
+        self.top = scores[order[_ranks(np.bincount(both)) < self.k]]
+        bar = self.top[self.k - 1::self.k] - self.slack
+        return some[~(score[some] < bar[who[some]])]
+
+
 class Meeting:
-    """The function that ``mapInArrow`` runs. ``members``: block and slot of each candidate; other tables hold its items by both.
+    """The function that ``mapInArrow`` runs. ``members``: block, slot and candidate_sq of each candidate; other tables hold its
+    items by block and slot.
 
     ``words``: value, n. ``hits``: keyword, match_tier. ``vectors``: token, bullet_index, idf, weight; None leaves the
-    spots out.
+    spots out. Without ``lists`` a pair has its sums alone. ``best`` (k, slack), without lists, leaves out pairs that
+    certainly are not among their candidate's k best; ``score`` gives that order from the sums.
     """
 
-    def __init__(self, kept: list[str], members: pa.Table, words: pa.Table, hits: pa.Table, vectors: pa.Table | None):
+    def __init__(self, kept: list[str], members: pa.Table, words: pa.Table, hits: pa.Table, vectors: pa.Table | None,
+                 lists: bool = True, best: tuple[int, float] | None = None, score: Callable | None = None):
         ints = lambda t, c: t[c].to_numpy().astype(np.int64)
+        self.lists, self.best, self.score = lists, best, score
         self.kept, n_blocks = kept, int(members.num_rows and ints(members, "block").max() + 1)
         self.size = np.bincount(ints(members, "block"), minlength=n_blocks)
+        self.first_member = np.cumsum(self.size) - self.size
+        if best is not None:
+            self.member_sq = np.zeros(members.num_rows)
+            self.member_sq[self.first_member[ints(members, "block")] + ints(members, "slot")] = ints(members, "candidate_sq")
         self.words = Index(words["value"].to_pylist(), ints(words, "block"), n_blocks)
         self.word_slot, self.word_n = ints(words, "slot"), ints(words, "n").astype(float)
         self.hits = Index(hits["keyword"].to_pylist(), ints(hits, "block"), n_blocks)
@@ -99,6 +126,7 @@ class Meeting:
         self.norm_slot, self.norm_idf = slot[one], self.idf[one]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None if self.best is None else Best(*self.best, len(self.member_sq))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -108,9 +136,9 @@ class Meeting:
             cuts = np.flatnonzero(np.diff(np.cumsum(cells) // CELLS)) + 1
             for first, end in zip([0, *cuts], [*cuts, batch.num_rows]):
                 part = batch.slice(int(first), int(end - first))
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in self.kept), self.pairs(part)], [*self.kept, "pairs"])
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in self.kept), self.pairs(part, best)], [*self.kept, "pairs"])
 
-    def pairs(self, part: pa.RecordBatch) -> pa.Array:
+    def pairs(self, part: pa.RecordBatch, best: Best | None) -> pa.Array:
         blocks = part["block"].to_numpy().astype(np.int64)
         row, size = np.arange(len(blocks)), self.size[blocks]
         n_pairs, first_pair = int(size.sum()), np.cumsum(size) - size
@@ -129,11 +157,14 @@ class Meeting:
         first_cell = np.cumsum(size * n) - size * n
         i, e = self.hits.meet(self.hits.find(names), blocks[k_row])
         pair = first_pair[k_row[i]] + self.hit_slot[e]
-        tier = np.zeros(int((size * n).sum()), np.int32)
-        tier[first_cell[k_row[i]] + self.hit_slot[e] * n[k_row[i]] + k_at[i]] = self.tier[e]
         required = pc.fill_null(pc.equal(pc.struct_field(found, "section"), "required"), False).to_numpy(zero_copy_only=False)
         sums += [pa.array(add(pair, pc.struct_field(found, "importance").to_numpy()[i])), whole(add(pair, None)),
                  whole(add(pair, required[i].astype(float)))]
+        sums = [pa.array(_ranks(size).astype(np.int32)), *sums]
+        if not self.lists:
+            return self._sums(part, size, sums, best)
+        tier = np.zeros(int((size * n).sum()), np.int32)
+        tier[first_cell[k_row[i]] + self.hit_slot[e] * n[k_row[i]] + k_at[i]] = self.tier[e]
         per_pair = np.repeat(n, size)
         cell_pair, cell_at = np.repeat(np.arange(n_pairs), per_pair), _ranks(per_pair).astype(np.int32)
         has, lack = np.flatnonzero(tier), np.flatnonzero(tier == 0)
@@ -144,9 +175,17 @@ class Meeting:
         spots = _lists(np.bincount(cell, minlength=len(tier))[lack], pa.StructArray.from_arrays(
             [pa.array(bullet.astype(np.int32)), pa.array(near)], ["bullet_index", "similarity"]))
         missing = listed(lack, {"spots": spots})
-        return _lists(size, pa.StructArray.from_arrays(
-            [pa.array(_ranks(size).astype(np.int32)), *sums, held, missing],
-            ["nth", "dot", "posting_shared", "candidate_shared", "matched_weight", "matched", "required_matched", "held", "missing"]))
+        return _lists(size, pa.StructArray.from_arrays([*sums, held, missing], [*NAMES, "held", "missing"]))
+
+    def _sums(self, part: pa.RecordBatch, size: np.ndarray, sums: list[pa.Array], best: Best | None) -> pa.Array:
+        """The pairs with their sums: all, or those that may be among the best."""
+        if best is None:
+            return _lists(size, pa.StructArray.from_arrays(sums, NAMES))
+        row = np.repeat(np.arange(len(size)), size)
+        who = self.first_member[part["block"].to_numpy().astype(np.int64)][row] + sums[0].to_numpy()
+        inputs = {n: s.to_numpy() for n, s in zip(NAMES, sums)} | {c: part[c].to_numpy(zero_copy_only=False)[row] for c in ("total_weight", "posting_sq")}
+        keep = best.keep(who, self.score(inputs | {"candidate_sq": self.member_sq[who]}))
+        return _lists(np.bincount(row[keep], minlength=len(size)), pa.StructArray.from_arrays([s.take(pa.array(keep)) for s in sums], NAMES))
 
     def _near(self, part, names, blocks, k_row, k_at, n, first_cell, tier):
         """M7: (cell, bullet, similarity) of the nearest bullets of missing keywords, by cell, nearest first."""
@@ -196,4 +235,4 @@ class Meeting:
 def meet(rows: DataFrame, meeting: Meeting) -> DataFrame:
     """``rows`` (block, keywords in the order of gaps, words, lowered sentences, and the kept columns) with their pairs."""
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in meeting.kept)
-    return rows.mapInArrow(meeting, f"{schema}, pairs {PAIRS}")
+    return rows.mapInArrow(meeting, f"{schema}, pairs array<struct<{SUMS}{',' + LISTS if meeting.lists else ''}>>")

@@ -3,12 +3,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from postloom import lookups
 from postloom.functions.text import SPACES
-from postloom.operators import analysis, keywords
+from postloom.operators import analysis, batches, keywords
 
 WORDS = "python kafka spark docker billing ledger reports sql linux airflow metrics invoices payroll kubernetes".split()
 
@@ -65,6 +66,38 @@ def test_batches_equal_joins(prepared):
         assert got == want and got, made.__name__
 
 
+def test_bars_of_earlier_batches_count():
+    rng = np.random.default_rng(2)
+    best, seen, kept = batches.Best(3, 0.1, 4), [], []
+    for _ in range(20):
+        who, score = rng.integers(0, 4, 30), rng.random(30) * 10
+        keep = best.keep(who, score)
+        seen += zip(who, score)
+        kept += zip(who[keep], score[keep])
+    for c in range(4):
+        mine = sorted((s for w, s in seen if w == c), reverse=True)
+        held = sorted((s for w, s in kept if w == c), reverse=True)
+        n = sum(s >= mine[2] - 0.1 for s in mine)
+        assert held[:n] == mine[:n] and len(held) < len(mine) / 2
+
+
+def test_best_pairs_are_kept_in_batches(prepared):
+    """One pass, no join of texts: the best of what is kept are the best of all, ties after rounding included."""
+    a = analysis.Analysis(prepared.postings.coalesce(1), prepared.candidates, prepared.fits, prepared.stop_words)
+    every = analysis.pair_scores(a).collect()
+    for k in (1, 3):
+        df = analysis.top_scores(a, k)
+        got = {(r.candidate_id, r.posting_id): r for r in df.collect()}
+        assert len(got) < len(every)
+        for c in {r.candidate_id for r in every}:
+            mine = sorted((r for r in every if r.candidate_id == c), key=lambda r: -r.ats_score)
+            for r in mine:
+                if round(r.ats_score, 4) >= round(mine[min(k, len(mine)) - 1].ats_score, 4):
+                    assert got[c, r.posting_id] == r
+    assert analysis.top_scores(a, 1000).count() == len(every)
+    assert "credit" not in plan(df) and "missing" not in plan(analysis.pair_scores(a))
+
+
 def test_pairs_are_not_shuffled(prepared):
     for df in (analysis.assemble_analysis(prepared), analysis.pair_scores(prepared), analysis.find_spots(prepared)):
         text = plan(df)
