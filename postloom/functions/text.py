@@ -10,7 +10,10 @@ import html
 import re
 from collections.abc import Callable, Iterable, Mapping
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -140,6 +143,30 @@ def run_lengths(values: Column) -> Column:
     return bind(F.sort_array(values), counted)
 
 
+def counted_tokens(tokens: Column, stop_words: Iterable[str]) -> Column:
+    """``run_lengths`` of a long array of tokens without the given words, counted for many rows at a time in Arrow batches."""
+    dropped = list(stop_words)
+
+    # defined inside, so that it travels by value and workers need not import us
+    def counted(lists: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        names = coded.dictionary.take(order)
+        rank = np.empty(len(names), np.int64)
+        rank[order.to_numpy()] = np.arange(len(names))
+        keep = ~pc.is_in(names, value_set=pa.array(dropped, pa.string())).to_numpy(zero_copy_only=False)
+        code = rank[coded.indices.to_numpy()]
+        row = np.repeat(np.arange(len(sizes)), sizes)[keep[code]]
+        found, n = np.unique(row * max(1, len(names)) + code[keep[code]], return_counts=True)
+        row, code = found // max(1, len(names)), found % max(1, len(names))
+        runs = pa.StructArray.from_arrays([names.take(pa.array(code)), pa.array(n.astype(np.int64))], ["value", "n"])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), runs, mask=lists.is_null())
+
+    return F.arrow_udf(counted, "array<struct<value:string,n:bigint>>")(tokens)
+
+
 def count_substring(haystack: Column, needle: Column) -> Column:
     """Non-overlapping occurrences, scanned from the left."""
     gone = F.length(haystack) - F.length(F.replace(haystack, needle, F.lit("")))

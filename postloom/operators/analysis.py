@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postloom import lookups
-from postloom.functions.text import bind, built_once, plain_tokens, run_lengths, sentences, text, without, word_tokens
+from postloom.functions.text import bind, built_once, counted_tokens, plain_tokens, run_lengths, sentences, text, without, word_tokens
 from postloom.operators.batches import BLOCK, Meeting, meet
 from postloom.operators.keywords import first_sentence, keyword_context, keywords
 from postloom.operators.matching import bullets, keyword_hits
@@ -39,7 +39,7 @@ def posting_features(postings: DataFrame, stop_words: Sequence[str] = lookups.ST
 
 
 def _words(column: str, stop_words: tuple[str, ...]) -> Column:
-    return run_lengths(without(plain_tokens(F.lower(text(F.col(column)))), stop_words))
+    return counted_tokens(plain_tokens(F.lower(text(F.col(column)))), stop_words)
 
 
 def _keywords_with_sentence(column: str, stop_words: tuple[str, ...]) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from heapq import nsmallest
 from operator import or_
@@ -21,7 +21,7 @@ from postloom import lookups
 from postloom.functions.phrases import PhraseScanner, lookup
 from postloom.operators.scale import unnest
 from postloom.functions.text import (
-    WORD_TOKEN, bind, built_once, count_substring, normalize_text, run_lengths, segment_pieces, text,
+    WORD_TOKEN, bind, built_once, normalize_text, run_lengths, segment_pieces, text,
 )
 
 SKILL_SCAN = PhraseScanner(lookups.KNOWN_SKILLS)
@@ -107,41 +107,78 @@ def _known(norm: Column, req: Column, pref: Column) -> Column:
 
 # --- discovered terms -------------------------------------------------------------
 
+def _counter(stop_words: Sequence[str], top: int) -> Callable[[str], list[tuple[str, int]]]:
+    """What finds a lower-case text's most frequent n-grams. Made here, so that it travels by value and workers need not import us."""
+    token, stops = re.compile(WORD_TOKEN), frozenset(stop_words)
+
+    def best(low: str) -> list[tuple[str, int]]:
+        tokens = [w for w in token.findall(low) if w not in stops]
+        runs = Counter(tokens)
+        runs.update(map(" ".join, zip(tokens, tokens[1:])))
+        bar = sorted(runs.values())[-top] if len(runs) > top else 0
+        first = sorted([r for r in runs.items() if r[1] > bar], key=lambda r: (-r[1], r[0]))
+        return first + [(w, bar) for w in nsmallest(top - len(first), [w for w, n in runs.items() if n == bar])]
+
+    return best
+
+
 def ngrams(jd: Column, stop_words: Sequence[str], top: int = lookups.NGRAM_CAP) -> Column:
     """K8/K9: the most frequent unigrams and bigrams as array<struct<term, tf>>, tf desc, term asc.
 
     Stop words go before bigrams form, so a bigram may span a removed word. Counted in Arrow
     batches: sorting a text's own tokens in array functions takes several times as long.
     """
+    best = _counter(stop_words, top)
+
     def counted(texts: pa.Array) -> pa.Array:
-        # inside, so that it travels by value and workers need not import us
         terms, counts, ends, missing = [], [], [0], []
         for t in texts.to_pylist():
-            tokens = [w for w in token.findall(t or "") if w not in stops]
-            runs = Counter(tokens)
-            runs.update(map(" ".join, zip(tokens, tokens[1:])))
-            bar = sorted(runs.values())[-top] if len(runs) > top else 0
-            best = sorted([r for r in runs.items() if r[1] > bar], key=lambda r: (-r[1], r[0]))
-            best += [(w, bar) for w in nsmallest(top - len(best), [w for w, n in runs.items() if n == bar])]
-            terms += [w for w, _ in best]
-            counts += [n for _, n in best]
+            for term, n in best(t or ""):
+                terms.append(term)
+                counts.append(n)
             ends.append(len(terms))
             missing.append(t is None)
         found = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["term", "tf"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found, mask=pa.array(missing, pa.bool_()))
 
-    token, stops = re.compile(WORD_TOKEN), frozenset(stop_words)
     return F.arrow_udf(counted, "array<struct<term:string,tf:bigint>>")(F.lower(jd))
 
 
+def _salient(jd: Column, stop_words: Sequence[str]) -> Column:
+    """struct<norm, ranked>: the normalised text, and its ranked terms as K10 looks at them.
+
+    ``ranked`` is array<struct<term, words, hits>>: the term bare of marks at its words' ends, these words, and how often
+    the text holds the term, scanned from the left. Python's white space is that of ``collapse``.
+    """
+    best = _counter(stop_words, lookups.SALIENT_CAP)
+
+    def read(texts: pa.Array) -> pa.Array:
+        norms, terms, words, hits, ends, word_ends, missing = [], [], [], [], [0], [0], []
+        for t in texts.to_pylist():
+            norm = " ".join((t or "").split())
+            for found, _ in best(t or ""):
+                bare = [w for part in found.strip(" .,-#+/").split(" ") if (w := part.strip(".,-"))]
+                term = " ".join(bare)
+                terms.append(term)
+                words += bare
+                word_ends.append(len(words))
+                hits.append(norm.count(term) if term else 0)
+            ends.append(len(terms))
+            norms.append(None if t is None else norm)
+            missing.append(t is None)
+        split = pa.ListArray.from_arrays(pa.array(word_ends, pa.int32()), pa.array(words, pa.string()))
+        found = pa.StructArray.from_arrays([pa.array(terms, pa.string()), split, pa.array(hits, pa.int64())], ["term", "words", "hits"])
+        ranked = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found, mask=pa.array(missing, pa.bool_()))
+        return pa.StructArray.from_arrays([pa.array(norms, pa.string()), ranked], ["norm", "ranked"])
+
+    return F.arrow_udf(read, "struct<norm:string,ranked:array<struct<term:string,words:array<string>,hits:bigint>>>")(F.lower(jd))
+
+
 def _soft_candidates(ranked: Column) -> Column:
-    """K10, the rules that do not depend on earlier picks: array<struct<term, keyword, parts>>."""
-    def cleaned(r: Column) -> Column:
-        bare = F.btrim(r["term"], F.lit(" .,-#+/"))
-        words = F.filter(F.transform(F.split(bare, " "), lambda t: F.btrim(t, F.lit(".,-"))), lambda t: t != "")
-        return bind(words, lambda ts: bind(F.array_join(ts, " "), lambda term: F.struct(
-            term.alias("term"), canonical(term).alias("keyword"), ts.alias("words"),
-            F.transform(ts, canonical).alias("parts"))))
+    """K10, the rules that do not depend on earlier picks, for terms of ``_salient``: array<struct<term, keyword, hits, words, parts>>."""
+    def named(r: Column) -> Column:
+        return F.struct(r["term"].alias("term"), canonical(r["term"]).alias("keyword"), r["hits"].alias("hits"),
+                        r["words"].alias("words"), F.transform(r["words"], canonical).alias("parts"))
 
     def allowed(c: Column) -> Column:
         # isin looks a word up in a hash set; overlaps with a literal array compare or rebuild all of it for each term
@@ -152,14 +189,14 @@ def _soft_candidates(ranked: Column) -> Column:
                 & ~c["keyword"].isin(list(lookups.KNOWN_SKILLS))
                 & ~c["term"].rlike(r"\A[0-9]+\z"))
 
-    return F.filter(F.transform(ranked, cleaned), allowed)
+    return F.filter(F.transform(ranked, named), allowed)
 
 
-def _soft(norm: Column, req: Column, pref: Column, known: Column, ranked: Column) -> Column:
+def _soft(req: Column, pref: Column, known: Column, ranked: Column) -> Column:
     """Greedy scan. What has been accepted blocks later terms that contain it, hence a fold."""
     seed = F.struct(
         F.transform(known, lambda k: k["keyword"]).alias("found"),
-        F.array().cast("array<struct<term:string,keyword:string>>").alias("kept"))
+        F.array().cast("array<struct<term:string,keyword:string,hits:bigint>>").alias("kept"))
 
     def step(acc: Column, c: Column) -> Column:
         ok = ((F.size(acc["kept"]) < lookups.SOFT_CAP)
@@ -167,13 +204,14 @@ def _soft(norm: Column, req: Column, pref: Column, known: Column, ranked: Column
               & ~F.array_contains(acc["found"], c["keyword"]))
         return F.when(ok, F.struct(
             F.concat(acc["found"], F.array(c["keyword"])).alias("found"),
-            F.concat(acc["kept"], F.array(F.struct(c["term"].alias("term"), c["keyword"].alias("keyword")))).alias("kept"),
+            F.concat(acc["kept"], F.array(F.struct(
+                c["term"].alias("term"), c["keyword"].alias("keyword"), c["hits"].alias("hits")))).alias("kept"),
         )).otherwise(acc)
 
     kept = F.aggregate(_soft_candidates(ranked), seed, step, lambda acc: acc["kept"])
     return F.transform(kept, lambda k: F.struct(
         k["keyword"].alias("keyword"),
-        count_substring(norm, k["term"]).alias("count"),
+        k["hits"].alias("count"),
         req.contains(k["term"]).alias("in_req"),
         F.when(req.contains(k["term"]), "required").when(pref.contains(k["term"]), "preferred")
         .otherwise("core").alias("section")))
@@ -201,12 +239,12 @@ def keywords(jd: Column, stop_words: Sequence[str] = lookups.STOP_WORDS) -> Colu
 
     def from_sections(s: Column) -> Column:
         return bind(_known(s["norm"], s["req"], s["pref"]), lambda known: bind(
-            F.concat(tagged(known, False), tagged(_soft(s["norm"], s["req"], s["pref"], known, s["ranked"]), True)), weighted))
+            F.concat(tagged(known, False), tagged(_soft(s["req"], s["pref"], known, s["ranked"]), True)), weighted))
 
     parts = bind(segments(jd), lambda segs: F.struct(
         section_text(segs, "required").alias("req"), section_text(segs, "preferred").alias("pref")))
-    return bind(F.struct(normalize_text(jd).alias("norm"), ngrams(jd, stop_words, lookups.SALIENT_CAP).alias("ranked"), parts.alias("p")),
-                lambda s: bind(F.struct(s["norm"].alias("norm"), s["ranked"].alias("ranked"), s["p"]["req"].alias("req"),
+    return bind(F.struct(_salient(jd, stop_words).alias("t"), parts.alias("p")),
+                lambda s: bind(F.struct(s["t"]["norm"].alias("norm"), s["t"]["ranked"].alias("ranked"), s["p"]["req"].alias("req"),
                                         s["p"]["pref"].alias("pref")), from_sections))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom import lookups
-from postloom.functions.text import SPACES
+from postloom.functions.text import SPACES, count_substring, counted_tokens, normalize_text, run_lengths, without
 from postloom.operators import analysis, batches, keywords
 
 WORDS = "python kafka spark docker billing ledger reports sql linux airflow metrics invoices payroll kubernetes".split()
@@ -32,6 +32,28 @@ def test_ngrams_counted_in_batches(spark):
         assert [(g.term, g.tf) for g in r.n] == sorted(runs.items(), key=lambda x: (-x[1], x[0]))[:5]
 
 
+def test_salient_terms_are_cleaned_and_counted_with_the_text(spark):
+    """The normalised text and a term's places are those of the column expressions, for every kind of white space."""
+    texts = ["".join(f"Kafka{s}C++-, data.{s}{s}kafka" for s in SPACES), "aa aa aa", " \u200bx\u180ey z9. ", "", None, "İstanbul ΣΑΣ Ÿ"]
+    assert set(SPACES) == {c for c in map(chr, range(0x110000)) if c.isspace()}
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select(
+        "i", keywords._salient(F.col("t"), lookups.STOP_WORDS).alias("s"), normalize_text(F.col("t")).alias("norm")).select(
+        "*", F.transform("s.ranked", lambda r: count_substring(F.col("norm"), r["term"])).alias("hits"))
+    for r in df.collect():
+        assert r.s.norm == r.norm and (r.hits is None if texts[r.i] is None else [t.hits for t in r.s.ranked] == r.hits)
+        assert all(" ".join(t.words) == t.term for t in r.s.ranked or [])
+
+
+def test_tokens_counted_in_batches(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choices([*WORDS, "the", "of", "é", "\U0001f600", "\uffff"], k=rng.randrange(40))) for i in range(40)] + [(40, []), (41, None)]
+    df = spark.createDataFrame(rows, "i long, t array<string>").coalesce(1).select(
+        "i", counted_tokens(F.col("t"), ["the", "of"]).alias("got"), run_lengths(without(F.col("t"), ["the", "of"])).alias("want"))
+    assert "ArrowEvalPython" in plan(df)
+    for r in df.collect():
+        assert r.got == r.want
+
+
 def test_segments_at_every_white_space(spark):
     gaps = [a + b for a in [*SPACES, ""] for b in ("\n", " ", "\xa0", "")]
     texts = [f"{g}need to have:{g}a b.{g}c;{g}d{g}e{g}" for g in gaps]
