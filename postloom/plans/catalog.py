@@ -482,7 +482,8 @@ def _streamed(spark: SparkSession, sf: str, channel: str, between: Callable[[Ing
     for part in range(RUNS):
         due = F.col("batch_id") * RUNS >= part * (last + 1)
         later = F.col("batch_id") * RUNS >= (part + 1) * (last + 1)
-        posts.filter(due & ~later).write.mode("append").parquet(landed)
+        # a part is a range of ids, so few tasks hold its rows; what lands in few files would be read by as few
+        posts.filter(due & ~later).repartition("seq").write.mode("append").parquet(landed)
         if between is not None:
             between(job, part)
         stream_ingest(job, spark.readStream.schema(posts.schema).parquet(landed)).awaitTermination()
