@@ -158,7 +158,7 @@ class Meeting:
         i, e = self.hits.meet(self.hits.find(names), blocks[k_row])
         pair = first_pair[k_row[i]] + self.hit_slot[e]
         required = pc.fill_null(pc.equal(pc.struct_field(found, "section"), "required"), False).to_numpy(zero_copy_only=False)
-        sums += [pa.array(add(pair, pc.struct_field(found, "importance").to_numpy()[i])), whole(add(pair, None)),
+        sums += [pa.array(add(pair, pc.struct_field(found, "importance").to_numpy()[i]).astype(float)), whole(add(pair, None)),
                  whole(add(pair, required[i].astype(float)))]
         sums = [pa.array(_ranks(size).astype(np.int32)), *sums]
         if not self.lists:
