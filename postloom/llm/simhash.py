@@ -9,8 +9,9 @@ found in a table of error patterns by syndrome - and compared there with the fin
 link is lost, and each is found once, at the home of the smaller fingerprint.
 
 Equal fingerprints are one class before anything is compared, so large groups of copies cost one row; a fingerprint has at
-most 2,080 others within two bits, so links grow in proportion to distinct fingerprints. The join on the anchor is a plain
-sort-merge join that adaptive execution may split. Links go to ``components``.
+most 2,080 others within two bits, so links grow in proportion to distinct fingerprints. The join on the anchor is a
+sort-merge join that adaptive execution may split; a hint asks for it, since Spark takes the reaches for a table as small as
+the fingerprints they come from and would broadcast all 61 rows of each. Links go to ``components``.
 
 Defined cases: null text counts as empty; no word gives fingerprint zero, linked like any other; repeated rows and repeated
 ids share a class; a null doc_id gets the component of its class, which is null only if no row of the component has an id.
@@ -140,7 +141,7 @@ def links(classes: DataFrame) -> DataFrame:
 
     fps = classes.select("fp")
     return (fps.mapInArrow(homes, "anchor long, a long")
-            .join(fps.mapInArrow(reaches, "at long, b long"),
+            .join(fps.mapInArrow(reaches, "at long, b long").hint("merge"),
                   (F.col("anchor") == F.col("at")) & (F.col("a") < F.col("b"))
                   & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE))
             .select("a", "b"))

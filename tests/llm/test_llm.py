@@ -204,6 +204,24 @@ def test_simhash_links_and_components(spark):
     assert rows_of(components.components(chain), "node", "root") == sorted([(i, 0) for i in range(41)] + [(90, 90), (95, 90), (100, 90)], key=repr)
 
 
+def shuffled(df, n):
+    assert df.count() == n and df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return "SortMergeJoin" in text and "Broadcast" not in text
+
+
+def test_reaches_are_not_broadcast(spark):
+    """Spark takes the anchors that fingerprints reach for a table as small as the fingerprints."""
+    assert shuffled(simhash.links(spark.createDataFrame([(v,) for v in (0, 1, 3, 255)], "fp long")), 3)
+
+
+def test_drawn_blocks_are_not_broadcast(spark):
+    """Nor is a file of blocks, which is compressed."""
+    placed = spark.createDataFrame([("a", 0, 5, 1), (None, 3, 9, 2)], "source string, _start long, size long, doc_id long")
+    drawn = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), (None, 2, 1)], "source string, block long, times long")
+    assert shuffled(mixing._taken(placed, drawn, 4), 3)
+
+
 def test_fingerprint():
     assert simhash.fingerprint(b" \n") == 0
     assert simhash.fingerprint(b"A  b") == xxh64_intdigest(b"a b", 42)
