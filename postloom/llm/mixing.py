@@ -166,13 +166,13 @@ def _plan(docs: DataFrame, block: int, shard_slots: int = SHARD_SLOTS):
 
 def _meet(rows: DataFrame, drawn: DataFrame, block: int) -> DataFrame:
     """Pieces of the placed rows and the draws of their block."""
-    drawn = drawn.withColumnRenamed("source", "_s")
+    # a shuffle: the draws grow with the data, and a broadcast of them takes ten times as much as their files
+    drawn = drawn.withColumnRenamed("source", "_s").hint("merge")
     return pieces(rows, block).join(drawn, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("block")))
 
 
 def _taken(rows: DataFrame, drawn: DataFrame, block: int) -> DataFrame:
     """Pieces and how often their block is taken."""
-    # written, so that the join is planned by the true size: it grows with the data and must not be broadcast
     return _meet(rows, cut_lineage(drawn.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times")), "taken-blocks"), block)
 
 
