@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postloom import lookups
-from postloom.functions.text import bind, built_once, counted_tokens, plain_tokens, run_lengths, sentences, text, without, word_tokens
-from postloom.operators.batches import BLOCK, Meeting, meet
+from postloom.functions.text import bind, built_once, counted_tokens, plain_tokens, run_lengths, sentences, strip, text, without, word_tokens
+from postloom.operators.batches import BLOCK, EVERY, GAPS, MATCHED, MISSING, SPOTS, Field, Meeting, meet
 from postloom.operators.keywords import first_sentence, keyword_context, keywords
 from postloom.operators.matching import bullets, keyword_hits
 from postloom.operators.scale import fits_broadcast, hot_keys, maybe_broadcast, salted_join, unnest
@@ -25,17 +25,17 @@ HITS_BROADCAST_ROWS = 1_000_000
 COVERAGE_POINTS, SIMILARITY_POINTS = 80.0, 20.0     # of the 100 points of a score
 
 
-def posting_features(postings: DataFrame, stop_words: Sequence[str] = lookups.STOP_WORDS) -> DataFrame:
+def posting_features(postings: DataFrame, stop_words: Sequence[str] = lookups.STOP_WORDS, keep: Sequence[str] = ()) -> DataFrame:
     """Everything the analysis reads from a posting, computed inside its row.
 
     Input needs ``posting_id``, ``profiles`` and ``description``. The result is written
-    once; each later step reads only the columns it needs.
+    once; each later step reads only the columns it needs. ``keep`` columns go along.
     """
     stops = tuple(stop_words)
     return postings.select("posting_id", "profiles",
                            built_once(_keywords_with_sentence, "description", stops).alias("keywords"),
                            sentences(text(F.col("description"))).alias("sentences"),
-                           built_once(_words, "description", stops).alias("words"))
+                           built_once(_words, "description", stops).alias("words"), *keep)
 
 
 def _words(column: str, stop_words: tuple[str, ...]) -> Column:
@@ -59,7 +59,7 @@ def _keywords_with_sentence(column: str, stop_words: tuple[str, ...]) -> Column:
 class Analysis:
     """The inputs all pair results share. Each is materialised once, and only when asked for."""
 
-    postings: DataFrame       # posting_id, profiles, keywords, sentences, words
+    postings: DataFrame       # posting_id, profiles, keywords, sentences, words; title, company and description for documents
     candidates: DataFrame     # candidate_id, profile_id, text
     fits: bool                # candidate text is small enough to broadcast what derives from it
     stop_words: Sequence[str]
@@ -91,32 +91,35 @@ class Analysis:
         blocks = F.dense_rank().over(W.orderBy("profile_id", F.expr(f"nth div {BLOCK}"))) - 1
         return cut_lineage(nth.withColumn("block", blocks).withColumn("slot", F.col("nth") % BLOCK).drop("nth"), "members")
 
-    def met(self, spots: bool = False, lists: bool = True, best: tuple[int, float] | None = None) -> DataFrame:
-        """One row per pair with all its sums, the keywords it holds and lacks, and the nearest bullets of the latter.
+    def met(self, *fields: Field, best: tuple[int, float] | None = None, keep: Sequence[Column] = (), of_member: Sequence[Column] = ()) -> DataFrame:
+        """One row per pair with all its sums and the ``fields`` made of its keywords, each where the posting is.
 
-        Without ``lists`` the sums alone; with ``best`` (k, slack) those of pairs that may be among their candidate's k best.
+        ``keep`` columns come from the posting, ``of_member`` ones from the candidate. Without fields, ``best`` (k, slack)
+        gives the pairs that may be among their candidate's k best.
         """
+        spots = any(f.spots for f in fields)
+        told = [self.postings.select(c).columns[0] for c in keep]
         place = self.members.select("candidate_id", "block", "slot")
         words = unnest(self.members, built_once(_words, "text", tuple(self.stop_words)), "block", "slot")
         hits = self.hits.select("candidate_id", "keyword", "match_tier").join(place, "candidate_id").drop("candidate_id")
         vectors = bullet_vectors(self.candidates, self.stop_words).join(place, "candidate_id").select(
             "block", "slot", "token", "bullet_index", "idf", "weight").toArrow() if spots else None
+        own = self.members.select("block", "slot", F.posexplode(bullets(text(F.col("text")))).alias("bullet_index", "bullet")).toArrow() if spots else None
         found = F.col("keywords")
         ordered = self.postings.select(
             "posting_id", "profiles", F.size(found).cast("long").alias("total"),
             F.aggregate(found, F.lit(0.0), lambda acc, k: acc + k["importance"]).alias("total_weight"),
             F.size(F.filter(found, lambda k: k["section"] == "required")).cast("long").alias("required_total"),
             F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc + w["n"] * w["n"]).alias("posting_sq"),
-            _gap_order(found, *(["sentence"] if lists else [])).alias("keywords"), "words",
-            *([F.transform("sentences", F.lower).alias("lowered")] if spots else []))
+            _gap_order(found, "sentence").alias("keywords"), "words",
+            *([F.transform("sentences", F.lower).alias("lowered")] if spots else []), *keep)
         wanted = ordered.withColumn("profile_id", F.explode("profiles")).drop("profiles")
         rows = wanted.join(F.broadcast(self.members.select("profile_id", "block").distinct()), "profile_id")
-        kept = ["posting_id", "profile_id", "total", "total_weight", "required_total", "posting_sq", *(["keywords"] if lists else []), "block"]
+        kept = ["posting_id", "profile_id", "total", "total_weight", "required_total", "posting_sq", *told, "block"]
         meeting = Meeting(kept, self.members.select("block", "slot", "candidate_sq").toArrow(), words.toArrow(), hits.toArrow(), vectors,
-                          lists, best, _score_of)
+                          own, fields, best, _score_of)
         pairs = unnest(meet(rows, meeting), F.col("pairs"), *kept)
-        members = self.members.select("candidate_id", "candidate_sq", "block", F.col("slot").cast("int").alias("nth"),
-                                      *(["text"] if lists else []))
+        members = self.members.select("candidate_id", "candidate_sq", "block", F.col("slot").cast("int").alias("nth"), *of_member)
         return pairs.join(F.broadcast(members), ["block", "nth"])
 
     @cached_property
@@ -125,13 +128,13 @@ class Analysis:
 
     @classmethod
     def prepare(cls, postings: DataFrame, candidates: DataFrame,
-                stop_words: Sequence[str] = lookups.STOP_WORDS) -> "Analysis":
-        """``postings``: posting_id, description and ``profiles``, the filter profiles it passes.
+                stop_words: Sequence[str] = lookups.STOP_WORDS, keep: Sequence[str] = ()) -> "Analysis":
+        """``postings``: posting_id, description and ``profiles``, the filter profiles it passes; ``keep`` columns stay beside them.
 
         A candidate is analysed against the postings that pass the candidate's own
         profile, as one installation does for its one résumé.
         """
-        features = cut_lineage(posting_features(postings, stop_words), "features")
+        features = cut_lineage(posting_features(postings, stop_words, keep), "features")
         return cls(features, candidates, fits_broadcast(candidates, "text"), stop_words)
 
 
@@ -188,17 +191,19 @@ def matched_keywords(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
     return _meet(posting_keywords(a), a.hits, "keyword", a.hits_fit)
 
 
-def matched_missing(a: Analysis) -> DataFrame:
-    """M4 as rows: every keyword of a pair with its tier, null when missing."""
+def matched_missing(a: Analysis, lists: bool = False) -> DataFrame:
+    """M4 as rows: every keyword of a pair with its tier, null when missing.
+
+    With ``lists`` a pair that has keywords is one row, and they stand in ``every``; in batches nothing is then shuffled for it.
+    """
     if a.in_batches:
-        every = F.concat("held", F.transform("missing", lambda m: F.struct(m["at"].alias("at"), F.lit(None).cast("int").alias("match_tier"))))
-        return unnest(a.met(), F.transform(every, lambda h: F.struct(
-            F.get("keywords", h["at"])["keyword"].alias("keyword"), F.get("keywords", h["at"])["section"].alias("section"),
-            h["match_tier"].alias("match_tier"))), *PAIR)
+        met = a.met(EVERY).select(*PAIR, "every")
+        return met.filter(F.size("every") > 0) if lists else unnest(met, F.col("every"), *PAIR)
     wanted = pairs(a).select(*PAIR)
     all_rows = wanted.join(posting_keywords(a).drop("profiles"), "posting_id")
     found = a.hits.select("candidate_id", "keyword", "match_tier")
-    return all_rows.join(maybe_broadcast(found, a.hits_fit), ["candidate_id", "keyword"], "left")
+    rows = all_rows.join(maybe_broadcast(found, a.hits_fit), ["candidate_id", "keyword"], "left")
+    return rows.groupBy(*PAIR).agg(F.collect_list(F.struct("keyword", "section", "match_tier")).alias("every")) if lists else rows
 
 
 def shared_words(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
@@ -221,7 +226,7 @@ def pair_similarity(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
     cosine follows from sums over shared words and two totals; no vectors are built.
     """
     if wanted is None and a.in_batches:
-        return _with_similarity(a.met(lists=False))
+        return _with_similarity(a.met())
     base = pairs(a, wanted).join(shared_words(a, wanted), list(PAIR), "left").na.fill(0, ["dot", "posting_shared", "candidate_shared"])
     return _with_similarity(base)
 
@@ -236,7 +241,7 @@ def _with_similarity(base: DataFrame) -> DataFrame:
 def keyword_credit(a: Analysis) -> DataFrame:
     """Per pair with a keyword in common: the importance and number of the matched ones."""
     if a.in_batches:
-        return a.met(lists=False).filter("matched > 0").select(*PAIR, "matched_weight", "matched", "required_matched")
+        return a.met().filter("matched > 0").select(*PAIR, "matched_weight", "matched", "required_matched")
     return matched_keywords(a).groupBy(*PAIR).agg(
         F.sum("importance").alias("matched_weight"), F.count(F.lit(1)).alias("matched"),
         F.count_if(F.col("section") == "required").alias("required_matched"))
@@ -248,7 +253,7 @@ def pair_scores(a: Analysis, wanted: DataFrame | None = None, credit: DataFrame
     ``wanted`` limits the work to the given pairs; ``credit`` is a written :func:`keyword_credit`.
     """
     if a.in_batches and credit is None:
-        every = _scored(_with_similarity(a.met(lists=False)))
+        every = _scored(_with_similarity(a.met()))
         return every if wanted is None else every.join(wanted.select(*PAIR), list(PAIR))
     return _scored(pair_similarity(a, wanted).join(keyword_credit(a) if credit is None else credit, list(PAIR), "left"))
 
@@ -303,7 +308,7 @@ def top_scores(a: Analysis, k: int) -> DataFrame:
     margin covers scores that are ranked after rounding. Elsewhere :func:`contenders` finds the pairs.
     """
     if a.in_batches:
-        return cut_lineage(_scored(_with_similarity(a.met(lists=False, best=(k, 2e-4)))), "best")
+        return cut_lineage(_scored(_with_similarity(a.met(best=(k, 2e-4)))), "best")
     credit = cut_lineage(keyword_credit(a), "credit")
     return pair_scores(a, contenders(a, k, credit), credit)
 
@@ -334,8 +339,7 @@ def find_spots(a: Analysis, k: int = lookups.SPOT_CAP) -> DataFrame:
     Tokens outside the candidate's vocabulary have no weight there and drop out.
     """
     if a.in_batches and k == lookups.SPOT_CAP:
-        return unnest(a.met(spots=True), F.transform(F.filter("missing", lambda m: F.size(m["spots"]) > 0), lambda m: F.struct(
-            F.get("keywords", m["at"])["keyword"].alias("keyword"), m["spots"].alias("spots"))), *PAIR)
+        return unnest(a.met(SPOTS), F.col("spots"), *PAIR)
 
     def query(k: Column) -> Column:
         tokens = without(word_tokens(F.lower(F.concat(k["keyword"], F.lit(" "), keyword_context(F.col("sentences"), k)))), a.stop_words)
@@ -372,7 +376,8 @@ def _gap_order(found: Column, *more: str) -> Column:
     rank = lambda k: F.when(k["section"] == "required", 0).when(k["section"] == "preferred", 2).otherwise(1)
     return F.sort_array(F.transform(found, lambda k: F.struct(
         rank(k).alias("rank"), (-k["importance"]).alias("neg"), k["keyword"].alias("keyword"),
-        k["in_req"].alias("in_requirements"), k["section"].alias("section"), *[k[c].alias(c) for c in more], k["importance"].alias("importance"))))
+        k["in_req"].alias("in_requirements"), k["section"].alias("section"), *[k[c].alias(c) for c in more], k["importance"].alias("importance"),
+        F.round(k["importance"], 3).alias("rounded"))))
 
 
 def pair_gaps(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
@@ -381,7 +386,7 @@ def pair_gaps(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
     ``wanted`` limits the work to the given pairs, for reports on a few per candidate.
     """
     if wanted is None and a.in_batches:
-        return a.met().select(*PAIR, _held(), _gaps())
+        return a.met(MATCHED, GAPS).select(*PAIR, "matched_keywords", "gaps")
     asked = pairs(a).select(*PAIR) if wanted is None else wanted.select(*PAIR)
     held = matched_keywords(a, wanted).groupBy(*PAIR).agg(F.sort_array(F.collect_list("keyword")).alias("matched_keywords"))
     rows = asked.join(held, list(PAIR), "left").withColumn(
@@ -393,30 +398,28 @@ def pair_gaps(a: Analysis, wanted: DataFrame | None = None) -> DataFrame:
         g["section"].alias("section"))).alias("gaps"))
 
 
-def _held() -> Column:
-    return F.sort_array(F.transform("held", lambda h: F.get("keywords", h["at"])["keyword"])).alias("matched_keywords")
-
-
-def _gaps() -> Column:
-    """The keywords that a pair lacks; they stand in the order of gaps in its posting's row."""
-    return F.transform("missing", lambda m: bind(F.get("keywords", m["at"]), lambda g: F.struct(
-        g["keyword"].alias("keyword"), g["importance"].alias("importance"), g["in_requirements"].alias("in_requirements"),
-        g["section"].alias("section")))).alias("gaps")
+def assemble_analysis(a: Analysis, labels: DataFrame | None = None, texts: tuple[Field, ...] = ()) -> DataFrame:
+    """The nested analysis per pair. ``labels`` (posting_id, jd_source) say what text each posting was judged by.
 
-
-def assemble_analysis(a: Analysis, labels: DataFrame | None = None) -> DataFrame:
-    """The nested analysis per pair. ``labels`` (posting_id, jd_source) say what text each posting was judged by."""
+    ``texts`` are what a document needs of the keywords (:mod:`postloom.operators.prompts`). In batches they are written where
+    the pair is, and come in place of the nested columns, with the posting's title, company and ``body`` if it has them and
+    the ``resume``.
+    """
+    if a.in_batches and texts:
+        told = [F.col("title"), F.col("company"), strip(text(F.col("description"))).alias("body")] if "description" in a.postings.columns else []
+        met = a.met(*texts, keep=told, of_member=[strip(text(F.col("text"))).alias("resume")])
+        joined = _scored(_with_similarity(met), *(f.name for f in texts), *(["title", "company", "body"] if told else []), "resume")
+        return joined.withColumn("score", F.round("ats_score", 1))
     if a.in_batches:
-        near = F.map_from_entries(F.transform("missing", lambda m: F.struct(F.get("keywords", m["at"])["keyword"], m["spots"])))
-        joined = _scored(_with_similarity(a.met(spots=True)), "held", "missing", "keywords", "text").select(
-            *PAIR, "profile_id", *SCORES, _held(), _gaps(), near.alias("by_keyword"), bullets(text(F.col("text"))).alias("resume_bullets"))
-    else:
-        scores = pair_scores(a)
-        spots = find_spots(a).groupBy(*PAIR).agg(
-            F.map_from_entries(F.collect_list(F.struct("keyword", "spots"))).alias("by_keyword"))
-        lines = a.candidates.select("candidate_id", bullets(text(F.col("text"))).alias("resume_bullets"))
-        joined = (pair_gaps(a).join(scores, list(PAIR)).join(spots, list(PAIR), "left")
-                  .join(maybe_broadcast(lines, a.fits), "candidate_id"))
+        joined = _scored(_with_similarity(a.met(MATCHED, MISSING, of_member=[bullets(text(F.col("text"))).alias("resume_bullets")])),
+                         "matched_keywords", "missing_keywords", "resume_bullets")
+        return _assembled(joined, labels)
+    scores = pair_scores(a)
+    spots = find_spots(a).groupBy(*PAIR).agg(
+        F.map_from_entries(F.collect_list(F.struct("keyword", "spots"))).alias("by_keyword"))
+    lines = a.candidates.select("candidate_id", bullets(text(F.col("text"))).alias("resume_bullets"))
+    joined = (pair_gaps(a).join(scores, list(PAIR)).join(spots, list(PAIR), "left")
+              .join(maybe_broadcast(lines, a.fits), "candidate_id"))
 
     def spot(s: Column) -> Column:
         return F.struct(s["bullet_index"].cast("long").alias("bullet_index"),
@@ -428,7 +431,10 @@ def assemble_analysis(a: Analysis, labels: DataFrame | None = None) -> DataFrame
         g["keyword"].alias("keyword"), F.round(g["importance"], 3).alias("importance"),
         g["in_requirements"].alias("in_requirements"), g["section"].alias("section"),
         F.coalesce(F.transform(F.element_at("by_keyword", g["keyword"]), spot), none).alias("spots")))
-    out = joined.withColumn("missing_keywords", missing)
+    return _assembled(joined.withColumn("missing_keywords", missing), labels)
+
+
+def _assembled(out: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is not None:
         out = out.join(labels.select("posting_id", "jd_source"), "posting_id")
     tail = ["jd_source"] if labels is not None else []

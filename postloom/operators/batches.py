@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,6 @@ BLOCK = 64                  # candidates that share a row
 CELLS = 2_000_000           # sums of the rows that are worked on at a time, about
 SUMS = ("nth:int,dot:bigint,posting_shared:bigint,candidate_shared:bigint,matched_weight:double,matched:bigint,"
         "required_matched:bigint")
-LISTS = "held:array<struct<at:int,match_tier:int>>,missing:array<struct<at:int,spots:array<struct<bullet_index:int,similarity:double>>>>"
 NAMES = [f.split(":")[0] for f in SUMS.split(",")]
 
 
@@ -66,6 +68,111 @@ def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def rounded(x: np.ndarray, places: int = 3) -> np.ndarray:
+    """As Spark rounds a double: half up, by the shortest decimal that names it."""
+    scaled = x * 10 ** places
+    out = np.rint(scaled) / 10 ** places
+    for i in np.flatnonzero(np.abs(np.abs(scaled - np.floor(scaled)) - 0.5) < 1e-6):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+    return out
+
+
+# --- what is made of a pair's keywords ----------------------------------------------
+
+@dataclass
+class Cells:
+    """A cell is a pair and a keyword of its posting; cells stand by pair, and there in the order of gaps."""
+
+    n_pairs: int
+    pair: np.ndarray            # of each cell
+    keyword: np.ndarray         # where its keyword stands in ``found``
+    tier: np.ndarray            # 0 where the pair lacks it
+    found: pa.StructArray       # keywords of all rows
+    spot_cell: np.ndarray       # cells of the nearest bullets, nearest first
+    spot_place: np.ndarray      # these bullets
+    near: np.ndarray            # and their similarity
+    bullet_index: np.ndarray    # of each place
+    bullets: pa.Array | None
+
+    def of(self, field: str, cells: np.ndarray) -> pa.Array:
+        return pc.struct_field(self.found, field).take(pa.array(self.keyword[cells]))
+
+    def listed(self, cells: np.ndarray, values: pa.Array) -> pa.Array:
+        """One list a pair of the values of ``cells``, which stand by pair."""
+        return _lists(np.bincount(self.pair[cells], minlength=self.n_pairs), values)
+
+    def held(self) -> np.ndarray:
+        """The cells that pairs have, by keyword."""
+        names = pc.struct_field(self.found, "keyword").dictionary_encode()
+        rank = np.empty(len(names.dictionary), np.int64)
+        rank[pc.sort_indices(names.dictionary).to_numpy()] = np.arange(len(rank))
+        cells = np.flatnonzero(self.tier)
+        return cells[np.lexsort((rank[names.indices.to_numpy()[self.keyword[cells]]], self.pair[cells]))]
+
+    def missing(self, most: int | None = None) -> np.ndarray:
+        """The cells that pairs lack, all or the first ``most`` of each."""
+        cells = np.flatnonzero(self.tier == 0)
+        return cells if most is None else cells[_ranks(np.bincount(self.pair[cells], minlength=self.n_pairs)) < most]
+
+    def near_text(self, shown: pa.Array, most: int) -> tuple[np.ndarray, pa.Array]:
+        """The cells with spots, and the first ``most`` of each as text; ``shown`` has the text of every place."""
+        few = _ranks(np.unique(self.spot_cell, return_counts=True)[1]) < most
+        cells, sizes = np.unique(self.spot_cell[few], return_counts=True)
+        return cells, pc.binary_join(_lists(sizes, shown.take(pa.array(self.spot_place[few]))), "; ")
+
+
+class Field(NamedTuple):
+    """A column that batches make of each pair's keywords."""
+
+    name: str
+    type: str
+    make: Callable[[Cells], pa.Array]
+    spots: bool = False         # needs the nearest bullets
+
+
+def _struct(**fields: pa.Array) -> pa.StructArray:
+    return pa.StructArray.from_arrays(list(fields.values()), list(fields))
+
+
+def _matched_keywords(c: Cells) -> pa.Array:
+    cells = c.held()
+    return c.listed(cells, c.of("keyword", cells))
+
+
+def _every(c: Cells) -> pa.Array:
+    cells = np.arange(len(c.tier))
+    return c.listed(cells, _struct(keyword=c.of("keyword", cells), section=c.of("section", cells),
+                                   match_tier=pa.array(c.tier, mask=c.tier == 0)))
+
+
+def _gaps(c: Cells) -> pa.Array:
+    cells = c.missing()
+    return c.listed(cells, _struct(**{f: c.of(f, cells) for f in ("keyword", "importance", "in_requirements", "section")}))
+
+
+def _spots(c: Cells) -> pa.Array:
+    cells, sizes = np.unique(c.spot_cell, return_counts=True)
+    near = _struct(bullet_index=pa.array(c.bullet_index[c.spot_place].astype(np.int32)), similarity=pa.array(c.near))
+    return c.listed(cells, _struct(keyword=c.of("keyword", cells), spots=_lists(sizes, near)))
+
+
+def _missing_keywords(c: Cells) -> pa.Array:
+    cells = c.missing()
+    near = _struct(bullet_index=pa.array(c.bullet_index[c.spot_place]), bullet=c.bullets.take(pa.array(c.spot_place)),
+                   similarity=pa.array(rounded(c.near)))
+    spots = _lists(np.bincount(c.spot_cell, minlength=len(c.tier))[cells], near)
+    return c.listed(cells, _struct(keyword=c.of("keyword", cells), importance=c.of("rounded", cells),
+                                   in_requirements=c.of("in_requirements", cells), section=c.of("section", cells), spots=spots))
+
+
+MATCHED = Field("matched_keywords", "array<string>", _matched_keywords)
+EVERY = Field("every", "array<struct<keyword:string,section:string,match_tier:int>>", _every)
+GAPS = Field("gaps", "array<struct<keyword:string,importance:double,in_requirements:boolean,section:string>>", _gaps)
+SPOTS = Field("spots", "array<struct<keyword:string,spots:array<struct<bullet_index:int,similarity:double>>>>", _spots, True)
+MISSING = Field("missing_keywords", "array<struct<keyword:string,importance:double,in_requirements:boolean,section:string,"
+                "spots:array<struct<bullet_index:bigint,bullet:string,similarity:double>>>>", _missing_keywords, True)
+
+
 class Best:
     """The pairs that may be among a candidate's ``k`` best: none with a score that ``k`` pairs seen before beat by ``slack``."""
 
@@ -88,15 +195,15 @@ class Meeting:
     """The function that ``mapInArrow`` runs. ``members``: block, slot and candidate_sq of each candidate; other tables hold its
     items by block and slot.
 
-    ``words``: value, n. ``hits``: keyword, match_tier. ``vectors``: token, bullet_index, idf, weight; None leaves the
-    spots out. Without ``lists`` a pair has its sums alone. ``best`` (k, slack), without lists, leaves out pairs that
-    certainly are not among their candidate's k best; ``score`` gives that order from the sums.
+    ``words``: value, n. ``hits``: keyword, match_tier. ``vectors``: token, bullet_index, idf, weight, and ``bullets``:
+    bullet_index, bullet; None leaves the spots out. ``fields`` are what a pair has beside its sums. ``best`` (k, slack), without
+    fields, leaves out pairs that certainly are not among their candidate's k best; ``score`` gives that order from the sums.
     """
 
     def __init__(self, kept: list[str], members: pa.Table, words: pa.Table, hits: pa.Table, vectors: pa.Table | None,
-                 lists: bool = True, best: tuple[int, float] | None = None, score: Callable | None = None):
+                 bullets: pa.Table | None = None, fields: tuple[Field, ...] = (), best: tuple[int, float] | None = None, score: Callable | None = None):
         ints = lambda t, c: t[c].to_numpy().astype(np.int64)
-        self.lists, self.best, self.score = lists, best, score
+        self.fields, self.best, self.score = fields, best, score
         self.kept, n_blocks = kept, int(members.num_rows and ints(members, "block").max() + 1)
         self.size = np.bincount(ints(members, "block"), minlength=n_blocks)
         self.first_member = np.cumsum(self.size) - self.size
@@ -107,7 +214,7 @@ class Meeting:
         self.word_slot, self.word_n = ints(words, "slot"), ints(words, "n").astype(float)
         self.hits = Index(hits["keyword"].to_pylist(), ints(hits, "block"), n_blocks)
         self.hit_slot, self.tier = ints(hits, "slot"), ints(hits, "match_tier")
-        self.spots = vectors is not None
+        self.spots, self.place_bullet, self.place_text = vectors is not None, np.zeros(0, np.int64), pa.array([], pa.string())
         if vectors is None:
             return
         block, slot, bullet = (ints(vectors, c) for c in ("block", "slot", "bullet_index"))
@@ -115,6 +222,8 @@ class Meeting:
         self.n_places = np.bincount(places[0], minlength=n_blocks)
         self.first_place = np.cumsum(self.n_places) - self.n_places
         self.place_slot, self.place_bullet = places[1], places[2]
+        said = {(r["block"], r["slot"], r["bullet_index"]): r["bullet"] for r in bullets.to_pylist()}
+        self.place_text = pa.array([said[p] for p in zip(*places.tolist())], pa.string())
         token = vectors["token"].to_pylist()
         self.vectors = Index(token, block, n_blocks)
         self.place = place.reshape(-1) - self.first_place[block]
@@ -161,21 +270,16 @@ class Meeting:
         sums += [pa.array(add(pair, pc.struct_field(found, "importance").to_numpy()[i]).astype(float)), whole(add(pair, None)),
                  whole(add(pair, required[i].astype(float)))]
         sums = [pa.array(_ranks(size).astype(np.int32)), *sums]
-        if not self.lists:
+        if not self.fields:
             return self._sums(part, size, sums, best)
         tier = np.zeros(int((size * n).sum()), np.int32)
         tier[first_cell[k_row[i]] + self.hit_slot[e] * n[k_row[i]] + k_at[i]] = self.tier[e]
         per_pair = np.repeat(n, size)
-        cell_pair, cell_at = np.repeat(np.arange(n_pairs), per_pair), _ranks(per_pair).astype(np.int32)
-        has, lack = np.flatnonzero(tier), np.flatnonzero(tier == 0)
-        listed = lambda cells, fields: _lists(np.bincount(cell_pair[cells], minlength=n_pairs), pa.StructArray.from_arrays(
-            [pa.array(cell_at[cells]), *fields.values()], ["at", *fields]))
-        held = listed(has, {"match_tier": pa.array(tier[has])})
-        cell, bullet, near = self._near(part, names, blocks, k_row, k_at, n, first_cell, tier) if self.spots else (lack[:0], lack[:0], np.zeros(0))
-        spots = _lists(np.bincount(cell, minlength=len(tier))[lack], pa.StructArray.from_arrays(
-            [pa.array(bullet.astype(np.int32)), pa.array(near)], ["bullet_index", "similarity"]))
-        missing = listed(lack, {"spots": spots})
-        return _lists(size, pa.StructArray.from_arrays([*sums, held, missing], [*NAMES, "held", "missing"]))
+        keyword = np.repeat(np.repeat(np.cumsum(n) - n, size), per_pair) + _ranks(per_pair)
+        none = np.zeros(0, np.int64)
+        near = self._near(part, names, blocks, k_row, k_at, n, first_cell, tier) if self.spots else (none, none, np.zeros(0))
+        cells = Cells(n_pairs, np.repeat(np.arange(n_pairs), per_pair), keyword, tier, found, *near, self.place_bullet, self.place_text)
+        return _lists(size, pa.StructArray.from_arrays([*sums, *(f.make(cells) for f in self.fields)], [*NAMES, *(f.name for f in self.fields)]))
 
     def _sums(self, part: pa.RecordBatch, size: np.ndarray, sums: list[pa.Array], best: Best | None) -> pa.Array:
         """The pairs with their sums: all, or those that may be among the best."""
@@ -188,7 +292,7 @@ class Meeting:
         return _lists(np.bincount(row[keep], minlength=len(size)), pa.StructArray.from_arrays([s.take(pa.array(keep)) for s in sums], NAMES))
 
     def _near(self, part, names, blocks, k_row, k_at, n, first_cell, tier):
-        """M7: (cell, bullet, similarity) of the nearest bullets of missing keywords, by cell, nearest first."""
+        """M7: (cell, place of the bullet, similarity) of the nearest bullets of missing keywords, by cell, nearest first."""
         known = lambda text: [v for t in token.findall(text) if (v := self.vocabulary.get(t)) is not None]
         token, asked, at = re.compile(WORD_TOKEN), [], 0
         words, sentence = names.to_pylist(), pc.struct_field(part["keywords"].flatten(), "sentence").to_pylist()
@@ -222,12 +326,12 @@ class Meeting:
         near = dots[some] / np.sqrt(norms[first_norm[k] + slot])
         cell = first_cell[k_row[k]] + slot * n[k_row[k]] + k_at[k]
         good = (tier[cell] == 0) & (near > lookups.SPOT_FLOOR)
-        cell, bullet, near = cell[good], bullet[good], near[good]
+        cell, place, bullet, near = cell[good], place[good], bullet[good], near[good]
         # nearest first; of equally near bullets the later one, compared at 9 decimals
         order = np.lexsort((-bullet, -np.round(near, 9), cell))
-        cell, bullet, near = cell[order], bullet[order], near[order]
+        cell, place, near = cell[order], place[order], near[order]
         top = _ranks(np.unique(cell, return_counts=True)[1]) < self.cap
-        return cell[top], bullet[top], near[top]
+        return cell[top], place[top], near[top]
 
     cap = lookups.SPOT_CAP
 
@@ -235,4 +339,5 @@ class Meeting:
 def meet(rows: DataFrame, meeting: Meeting) -> DataFrame:
     """``rows`` (block, keywords in the order of gaps, words, lowered sentences, and the kept columns) with their pairs."""
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in meeting.kept)
-    return rows.mapInArrow(meeting, f"{schema}, pairs array<struct<{SUMS}{',' + LISTS if meeting.lists else ''}>>")
+    made = "".join(f",{f.name}:{f.type}" for f in meeting.fields)
+    return rows.mapInArrow(meeting, f"{schema}, pairs array<struct<{SUMS}{made}>>")

@@ -327,11 +327,13 @@ def keyword_match(spark, sf):
 
 @query
 def matched_missing(spark, sf):
-    rows = analysis.matched_missing(_analysis(spark, sf))
-    return rows.groupBy("candidate_id", "posting_id").agg(
-        F.count("match_tier").alias("n_matched"), F.count_if(F.col("match_tier").isNull()).alias("n_missing"),
-        F.count_if(F.col("match_tier").isNotNull() & (F.col("section") == "required")).alias("required_matched"),
-        F.count_if(F.col("section") == "required").alias("required_total"))
+    lists = analysis.matched_missing(_analysis(spark, sf), lists=True)
+    count = lambda wanted: F.size(F.filter("every", wanted)).cast("long")
+    return lists.select(
+        "candidate_id", "posting_id", count(lambda k: k["match_tier"].isNotNull()).alias("n_matched"),
+        count(lambda k: k["match_tier"].isNull()).alias("n_missing"),
+        count(lambda k: k["match_tier"].isNotNull() & (k["section"] == "required")).alias("required_matched"),
+        count(lambda k: k["section"] == "required").alias("required_total"))
 
 
 @query
