@@ -41,10 +41,10 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return overlay.postings(spark, sf, all_cores=True).select("seq", "description")
 
 
-def _analysis(spark: SparkSession, sf: str) -> analysis.Analysis:
+def _analysis(spark: SparkSession, sf: str, keep: tuple[str, ...] = ()) -> analysis.Analysis:
     wanted = filters.passing_profiles(_started(spark, sf), overlay.PROFILES)
     return analysis.Analysis.prepare(
-        wanted.select(F.col("seq").alias("posting_id"), "profiles", "description"), overlay.candidates(spark, sf))
+        wanted.select(F.col("seq").alias("posting_id"), "profiles", *{"description": 0, **dict.fromkeys(keep)}), overlay.candidates(spark, sf), keep=keep)
 
 
 def _state(spark: SparkSession, sf: str) -> DataFrame:
@@ -437,22 +437,25 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return overlay.postings(spark, sf).withColumnRenamed("seq", "posting_id")
 
 
+TOLD = ("title", "company", "description")
+
+
 @query
 def tailoring_prompts(spark, sf):
-    a = _analysis(spark, sf)
-    made = prompts.tailoring_prompts(analysis.assemble_analysis(a), _documents(spark, sf), a.candidates)
+    a = _analysis(spark, sf, TOLD)
+    made = prompts.tailoring_prompts(analysis.assemble_analysis(a, texts=prompts.TAILORING), _documents(spark, sf), a.candidates)
     return made.select("candidate_id", "posting_id", F.md5("prompt").alias("prompt"), F.length("prompt").cast("long").alias("chars"))
 
 
 @query
 def gap_block(spark, sf):
-    return prompts.gap_block(analysis.assemble_analysis(_analysis(spark, sf)))
+    return prompts.gap_block(analysis.assemble_analysis(_analysis(spark, sf), texts=prompts.GAP_BLOCK))
 
 
 @query
 def gap_requests(spark, sf):
-    a = _analysis(spark, sf)
-    made = prompts.gap_requests(analysis.assemble_analysis(a), _documents(spark, sf), a.candidates)
+    a = _analysis(spark, sf, TOLD)
+    made = prompts.gap_requests(analysis.assemble_analysis(a, texts=prompts.REQUEST), _documents(spark, sf), a.candidates)
     return made.select("candidate_id", "posting_id", F.md5("request").alias("request"), F.length("request").cast("long").alias("chars"))
 
 
